@@ -32,9 +32,13 @@ _CHARS_PER_BLOCK = 16
 _UNROLLED_CHARS = 32
 
 
+def choices(words: list[str]) -> Column:
+    """A literal array: the split of a literal folds to a constant once per query."""
+    return F.split(F.lit("|".join(words)), "[|]")
+
+
 def word(digest: Column, slot: int, words: list[str]) -> Column:
-    choices = F.array(*[F.lit(w) for w in words])
-    return F.element_at(choices, (pick(digest, slot, len(words)) + 1).cast("int"))
+    return F.element_at(choices(words), (pick(digest, slot, len(words)) + 1).cast("int"))
 
 
 def modulus(rule: Rule) -> int | None:
@@ -138,9 +142,9 @@ def _text(rule, text, h, extra, keyring):
     stream, sentences = extra[0], rule.params["sentences"]
 
     def sentence(start: Column) -> Column:
-        choices = F.array(*[F.lit(w) for w in corpora.PROSE_WORDS])
+        lexicon = choices(corpora.PROSE_WORDS)
         piece = [F.conv(F.substr(stream, start + 4 * i, F.lit(4)), 16, 10).cast("int") for i in range(13)]
-        drawn = [F.element_at(choices, p % len(corpora.PROSE_WORDS) + 1) for p in piece[1:]]
+        drawn = [F.element_at(lexicon, p % len(corpora.PROSE_WORDS) + 1) for p in piece[1:]]
         body = F.array_join(F.slice(F.array(*drawn), F.lit(1), piece[0] % 9 + 4), " ")
         return F.concat(F.upper(F.substring(body, 1, 1)), F.substr(body, F.lit(2)), F.lit("."))
 
@@ -238,7 +242,7 @@ def _ipv4_public(rule, text, h, extra, keyring):
 
 
 def _uuid(rule, text, h, extra, keyring):
-    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), (hex_int(h, 17, 1) % 4 + 1).cast("int"))
+    variant = F.element_at(choices(list("89ab")), (hex_int(h, 17, 1) % 4 + 1).cast("int"))
     return F.concat(
         F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-"),
         variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12),
@@ -247,7 +251,7 @@ def _uuid(rule, text, h, extra, keyring):
 
 def _alphanumeric(rule, text, h, extra, keyring):
     alphabet, length = ALPHABETS[rule.params["case"]], rule.params["length"]
-    symbols = F.array(*[F.lit(c) for c in alphabet])
+    symbols = choices(list(alphabet))
 
     def symbol(start: Column) -> Column:
         drawn = F.conv(F.substr(extra[0], start, F.lit(4)), 16, 10).cast("int")
