@@ -7,6 +7,7 @@ is there, so output that a lost run left behind is never read.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ class Manifest:
     def rows(self) -> DataFrame:
         if not self._exists():
             return self._spark.createDataFrame([], SCHEMA)
-        return self._spark.read.schema(SCHEMA).parquet(self._path)
+        return self._spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self._path)
 
     def entries(self, key: ProgressKey) -> DataFrame:
         """Rows of one table or step; a different policy hash is refused."""
@@ -59,12 +60,21 @@ class Manifest:
             raise PolicyError("checkpoint policy hash differs from this run")
         return mine
 
-    def append(
-        self, key: ProgressKey, *, chunk: int = 0, lower: str | None = None, upper: str | None = None,
-        rows_done: int = 0, done: bool = True, path: str | None = None,
-    ) -> None:
-        if rows_done < 0:
-            raise PolicyError("checkpoint row count cannot be negative")
+    def append(self, key: ProgressKey, **values) -> None:
+        self.append_all(key, [values])
+
+    def append_all(self, key: ProgressKey, entries: list[dict]) -> None:
+        """Record entries together. Each call owns a folder, so tables may commit at the same time."""
         now = dt.datetime.now(dt.timezone.utc)
-        row = (key.run_uid, key.kind, key.db, key.name, chunk, lower, upper, rows_done, done, key.policy_hash, path, now)
-        self._spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(self._path)
+        rows = []
+        for entry in entries:
+            row = {
+                "run_uid": key.run_uid, "kind": key.kind, "db": key.db, "name": key.name, "chunk": 0, "lower": None,
+                "upper": None, "rows_done": 0, "done": True, "policy_hash": key.policy_hash, "path": None,
+                "updated_at": now, **entry,
+            }
+            if row["rows_done"] < 0:
+                raise PolicyError("checkpoint row count cannot be negative")
+            rows.append(tuple(row.values()))
+        frame = self._spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        frame.write.parquet(f"{self._path}/entry-{uuid.uuid4().hex}")

@@ -89,11 +89,10 @@ def run_chunks(
         plan = [_chunk_from_row(known[i]) for i in sorted(known)]
     else:
         plan = chunks()
-        for chunk in plan:
-            manifest.append(
-                progress_key, chunk=chunk.index, lower=chunk.lower, upper=chunk.upper, done=False,
-                path="\n".join(chunk.files) or None,
-            )
+        manifest.append_all(progress_key, [
+            {"chunk": c.index, "lower": c.lower, "upper": c.upper, "done": False, "path": "\n".join(c.files) or None}
+            for c in plan
+        ])
     ran = 0
     for chunk in plan:
         if chunk.index in done:

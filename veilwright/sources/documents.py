@@ -12,13 +12,14 @@ sourceCluster struct<name: string, namespace: string, crVersion: string>,
 backup struct<storageName: string, completedAt: string, state: string>,
 s3 struct<bucket: string, endpointUrl: string, region: string>,
 anonymized struct<run: string, policy: string, policyHash: string>,
-publicURL string
+publicURL string, _corrupt_record string
 """
 POINTER_VERSION = 2
 LOG_SCHEMA = (
     "msg string, db string, table string, step string, name string, "
-    "tablesDone int, tablesTotal int, rowsDone bigint, stepsDone int"
+    "tablesDone int, tablesTotal int, rowsDone bigint, stepsDone int, _corrupt_record string"
 )
+_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 _DESTINATION = (
     r"^s3://[^/@?#%:\s\x00-\x1f\x7f]+(:[0-9]*)?/"
@@ -38,12 +39,13 @@ def read_pointers(texts: DataFrame, text: str = "value") -> DataFrame:
 
     A missing version means 1. Optional addresses are checked where given.
     """
-    parsed = texts.withColumn("document", F.from_json(F.col(text), POINTER_SCHEMA, {"mode": "PERMISSIVE"}))
+    parsed = texts.withColumn("document", F.from_json(F.col(text), POINTER_SCHEMA, _STRICT))
     version = F.coalesce("document.schemaVersion", F.lit(1))
     parsed = parsed.withColumn("document", F.col("document").withField("schemaVersion", version))
     endpoint, public = F.coalesce("document.s3.endpointUrl", F.lit("")), F.coalesce("document.publicURL", F.lit(""))
     valid = (
-        (F.coalesce("document.name", F.lit("")) != "")
+        F.col("document._corrupt_record").isNull()
+        & (F.coalesce("document.name", F.lit("")) != "")
         & valid_destination(F.col("document.destination"))
         & (version >= 1)
         & ((endpoint == "") | endpoint.rlike(_HTTP_URL))
@@ -54,14 +56,14 @@ def read_pointers(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def write_pointers(pointers: DataFrame, document: str = "document") -> DataFrame:
     """Adds `json`: the document as version 2; NULL where it is not valid."""
-    current = F.col(document).withField("schemaVersion", F.lit(POINTER_VERSION))
+    current = F.col(document).dropFields("_corrupt_record").withField("schemaVersion", F.lit(POINTER_VERSION))
     return pointers.withColumn("json", F.when(F.col("valid"), F.to_json(current)))
 
 
 def parse_logs(lines: DataFrame, text: str = "value") -> DataFrame:
     """Log lines as fields; lines that are not JSON objects are dropped."""
-    parsed = lines.withColumn("entry", F.from_json(F.col(text), LOG_SCHEMA, {"mode": "PERMISSIVE"}))
-    # PERMISSIVE turns a broken line into NULLs; an object without `msg` says nothing either.
+    parsed = lines.withColumn("entry", F.from_json(F.col(text), LOG_SCHEMA, _STRICT))
+    # A broken line keeps its text in the corrupt-record field; an object without `msg` says nothing.
     keep = [c for c in lines.columns if c != text]
     fields = [
         F.col(f"entry.{name}").alias(name) if name.startswith("msg") else
@@ -69,4 +71,5 @@ def parse_logs(lines: DataFrame, text: str = "value") -> DataFrame:
         F.coalesce(f"entry.{name}", F.lit(0)).alias(name)
         for name in ("msg", "db", "table", "step", "name", "tablesDone", "tablesTotal", "rowsDone", "stepsDone")
     ]
-    return parsed.where(F.col("entry.msg").isNotNull()).select(*keep, *fields)
+    good = F.col("entry._corrupt_record").isNull() & F.col("entry.msg").isNotNull()
+    return parsed.where(good).select(*keep, *fields)
