@@ -371,11 +371,11 @@ def oracles() -> dict[str, str]:
             count_if(({mod('t', 321)}) - 20 NOT BETWEEN 0 AND 255) AS bad_tiny,
             count_if(({mod('d', 2001)}) > 999) AS bad_money, 0 AS bad_fits FROM b""",
         "unique_resolve": f"""
-          WITH RECURSIVE b AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS rn,
+          WITH RECURSIVE b AS MATERIALIZED (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS rn,
               {row_hash('customer', 'c_custkey::VARCHAR', 'code')} AS h, {consistent('hash', 'c_mktsegment')} AS s FROM customer),
-          tries AS (SELECT rn, r, CASE WHEN r = 0 THEN h ELSE
+          tries AS MATERIALIZED (SELECT rn, r, CASE WHEN r = 0 THEN h ELSE
               {hmac(f"(unhex('{label}') || unhex(h) || unhex(lpad(to_hex(r), 2, '0')))")} END AS h FROM b, range(8) AS t(r)),
-          options AS (SELECT rn, list({digits('h', 4)} ORDER BY r) AS codes FROM tries GROUP BY rn),
+          options AS MATERIALIZED (SELECT rn, list({digits('h', 4)} ORDER BY r) AS codes FROM tries GROUP BY rn),
           walk AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS taken, 0::BIGINT AS r, NULL::VARCHAR AS code
             UNION ALL SELECT n.rn, list_append(n.taken, n.code), list_position(n.codes, n.code) - 1, n.code FROM (
               SELECT o.rn, w.taken, o.codes, list_filter(o.codes, lambda x: NOT list_contains(w.taken, x))[1] AS code

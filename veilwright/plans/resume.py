@@ -27,9 +27,9 @@ class Chunk:
     upper: str | None = None
     files: tuple[str, ...] = ()
 
-    def rows(self, df: DataFrame, key: str | None) -> DataFrame:
+    def rows(self, df: DataFrame, key: str | None, read: Callable[..., DataFrame] | None = None) -> DataFrame:
         if self.files:
-            return df.sparkSession.read.schema(df.schema).parquet(*self.files)
+            return read(self.files) if read else df.sparkSession.read.schema(df.schema).parquet(*self.files)
         condition = F.lit(True)
         if key is not None:
             kind = df.schema[key].dataType
@@ -74,12 +74,14 @@ def run_chunks(
     output: str,
     key: str | None = None,
     stop_after: int | None = None,
+    read: Callable[..., DataFrame] | None = None,
 ) -> int:
     """Rewrite every chunk not committed yet; return the rows selected over all chunks.
 
     `rewrite` returns the marked rows of `transform(..., mark=True)`. Counting and
     checking happen in the pass that writes. Boundaries are fixed by the first run and
-    read back by later ones. `stop_after` ends the run early, as a lost driver would.
+    read back by later ones. `read` opens a group of files of a source that is not
+    parquet. `stop_after` ends the run early, as a lost driver would.
     """
     recorded = manifest.entries(progress_key)
     # One row per chunk: as many rows as the caller asked chunks for.
@@ -100,7 +102,7 @@ def run_chunks(
         if stop_after is not None and ran >= stop_after:
             break
         path = f"{output}/chunk={chunk.index}"
-        selected = write_checked(rewrite(chunk.rows(df, key)), path)
+        selected = write_checked(rewrite(chunk.rows(df, key, read)), path)
         manifest.append(progress_key, chunk=chunk.index, rows_done=selected, path=path)
         done[chunk.index] = selected
         ran += 1

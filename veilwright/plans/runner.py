@@ -125,6 +125,7 @@ class Run:
                 lambda part: transform_unique(part, transform, self.keyring, retries, mark=True),
                 lambda: file_chunks(frame, o.chunks) if by_files else key_chunks(frame, key, o.chunks),
                 self.manifest, self._key(plan), output, key, o.stop_after,
+                lambda files: self.dataset.read_files(plan.database, plan.table, files),
             )
         with self._lock:
             self.report.tablesDone += 1

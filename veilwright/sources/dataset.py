@@ -27,6 +27,11 @@ class Dataset:
     def table(self, database: str, table: str) -> DataFrame:
         raise NotImplementedError
 
+    def read_files(self, database: str, table: str, files: tuple[str, ...]) -> DataFrame:
+        """The rows of some of a table's files."""
+        frame = self.table(database, table)
+        return frame.sparkSession.read.schema(frame.schema).parquet(*files)
+
     def overlay(self, database: str, table: str) -> dict:
         """Lengths, keys and other facts that the stored format does not keep."""
         return {}
@@ -91,6 +96,10 @@ class Folder(Dataset):
     def table(self, database, table):
         return self._spark.read.format(self._format).options(**self._options).load(self._path(database, table))
 
+    def read_files(self, database, table, files):
+        schema = self.table(database, table).schema
+        return self._spark.read.format(self._format).options(**self._options).schema(schema).load(list(files))
+
     def overlay(self, database, table):
         return self._overlays.get(database, {}).get(table, {})
 
