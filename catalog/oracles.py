@@ -36,7 +36,7 @@ def row_hash(table: str, keys: str, column: str) -> str:
     return hmac(f"""encode('["demo","{table}","[' || {keys} || ']","{column}"]')""")
 
 
-def mod(h: str, modulus: int) -> str:
+def mod(h: str, modulus: int | str) -> str:
     pieces = ", ".join(f"('0x' || substr({h}, {1 + 4 * i}, 4))::HUGEINT" for i in range(16))
     return f"list_reduce([0::HUGEINT, {pieces}], lambda a, x: (a * 65536 + x) % {modulus}::HUGEINT)"
 
@@ -189,7 +189,7 @@ def generated(name: str, h: str, params: dict) -> str:
 def strategy(name: str) -> str:
     table, key, source, params = STRATEGY_INPUTS[name]
     if name == "constant":
-        return f"SELECT {key}, 'COUNTRY' AS value FROM {table}"
+        return f"SELECT {key}, 'BRAND' AS value FROM {table}"
     if name == "null":
         return f"SELECT {key}, NULL::VARCHAR AS value FROM {table}"
     if name == "mask":
@@ -362,6 +362,21 @@ def oracles() -> dict[str, str]:
             FROM (SELECT 1 FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)
           UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 0, count(*)
             FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)""",
+        "preflight": """
+          WITH keys AS (
+            SELECT 'key_with_duplicates' AS policy, count(*) AS bad FROM
+              (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+            UNION ALL SELECT 'composite_key', count(*) FROM
+              (SELECT 1 FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)
+            UNION ALL SELECT 'plain', count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)),
+          outcomes AS (SELECT policy, CASE WHEN bad > 0 THEN 'schema' ELSE 'ok' END AS outcome FROM keys
+            UNION ALL SELECT * FROM (VALUES ('missing_column', 'schema'), ('key_as_target', 'schema'),
+              ('text_into_number', 'schema'), ('date_into_time', 'ok'), ('late_start', 'policy'),
+              ('number_too_wide', 'schema'), ('no_room', 'schema'), ('no_room_for_mail', 'schema'),
+              ('null_into_required', 'schema'), ('array_target', 'schema'), ('array_to_null', 'ok'),
+              ('missing_table', 'schema')) AS t(policy, outcome))
+          SELECT policy, outcome, CASE outcome WHEN 'ok' THEN 0 WHEN 'policy' THEN 10 ELSE 11 END AS exit_code
+          FROM outcomes""",
         "value_violation": f"""
           WITH b AS (SELECT c_name, {consistent('email', 'c_name')} AS m,
               {row_hash('customer', 'c_custkey::VARCHAR', 'tiny')} AS t,
@@ -375,7 +390,10 @@ def oracles() -> dict[str, str]:
               {row_hash('customer', 'c_custkey::VARCHAR', 'code')} AS h, {consistent('hash', 'c_mktsegment')} AS s FROM customer),
           tries AS MATERIALIZED (SELECT rn, r, CASE WHEN r = 0 THEN h ELSE
               {hmac(f"(unhex('{label}') || unhex(h) || unhex(lpad(to_hex(r), 2, '0')))")} END AS h FROM b, range(8) AS t(r)),
-          options AS MATERIALIZED (SELECT rn, list({digits('h', 4)} ORDER BY r) AS codes FROM tries GROUP BY rn),
+          wide AS MATERIALIZED (SELECT rn, r, h, w, (10 ** w)::HUGEINT AS m FROM tries,
+            (SELECT length(count(*)::VARCHAR) + 1 AS w FROM customer)),
+          options AS MATERIALIZED (SELECT rn, list(lpad(({mod('h', 'm')})::VARCHAR, w::INTEGER, '0') ORDER BY r) AS codes
+            FROM wide GROUP BY rn),
           walk AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS taken, 0::BIGINT AS r, NULL::VARCHAR AS code
             UNION ALL SELECT n.rn, list_append(n.taken, n.code), list_position(n.codes, n.code) - 1, n.code FROM (
               SELECT o.rn, w.taken, o.codes, list_filter(o.codes, lambda x: NOT list_contains(w.taken, x))[1] AS code

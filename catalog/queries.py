@@ -17,6 +17,7 @@ from veilwright.plans.rules import compile_rule
 from veilwright.plans.runner import run_totals as totals_of_run
 from veilwright.plans.steps import run_step
 from veilwright.sources import documents, fixtures
+from veilwright.sources.dataset import spread
 from veilwright.sources.scratch import scratch_path, written
 from veilwright.streaming.apply_stream import apply_policy_stream, start_to_files
 
@@ -31,27 +32,32 @@ def query(function):
     return function
 
 
+def rewritten(df, plan, keyring, **options):
+    """`transform` over a source that is dealt out to every core."""
+    return transform(spread(df), plan, keyring, **options)
+
+
 # --- keyed digests ------------------------------------------------------------------------
 
 
 @query
 def value_hash_consistent(spark, sf_dir):
     df = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
-    return transform(df, plan_for(df, "documents", [{"name": "value", "strategy": "hash"}]), KEYRING)
+    return rewritten(df, plan_for(df, "documents", [{"name": "value", "strategy": "hash"}]), KEYRING)
 
 
 @query
 def value_hash_row(spark, sf_dir):
     df = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("value"))
     rule = {"name": "value", "strategy": "hash", "consistent": False}
-    return transform(df, plan_for(df, "conversations", [rule], ["conv_id", "turn"]), KEYRING)
+    return rewritten(df, plan_for(df, "conversations", [rule], ["conv_id", "turn"]), KEYRING)
 
 
 @query
 def value_hash_row_text_key(spark, sf_dir):
     df = load(spark, sf_dir, "customer").select("c_name", "c_custkey", F.col("c_mktsegment").alias("value"))
     rule = {"name": "value", "strategy": "hash", "consistent": False}
-    return transform(df, plan_for(df, "customer", [rule], ["c_name", "c_custkey"]), KEYRING)
+    return rewritten(df, plan_for(df, "customer", [rule], ["c_name", "c_custkey"]), KEYRING)
 
 
 @query
@@ -59,23 +65,22 @@ def retry_hash(spark, sf_dir):
     df = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("value"))
     df = df.withColumn(RETRY, (F.col("o_orderkey") % 8).cast("int")).withColumn("attempt", F.col(RETRY))
     rule = {"name": "value", "strategy": "hash", "consistent": False}
-    return transform(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING, retry=RETRY)
+    return rewritten(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING, retry=RETRY)
 
 
 @query
 def digest_mod(spark, sf_dir):
     payload = F.col("l_orderkey").cast("string").cast("binary")
-    df = load(spark, sf_dir, "lineitem").select("l_orderkey", digest.keyed_digest(KEYRING, payload).alias("h"))
-    words = [f"w{i}" for i in range(5)]
-    df = df.withColumns(dict(zip(words, digest.digest_words(F.col("h")))))
-    made = [F.col(w) for w in words]
+    df = spread(load(spark, sf_dir, "lineitem").select("l_orderkey")).select("l_orderkey", digest.keyed_digest(KEYRING, payload).alias("h"))
+    words = [F.col(f"w{i}") for i in range(4)]
+    df = df.withColumns({f"w{i}": w for i, w in enumerate(digest.digest_words(F.col("h")))})
+    moduli = {"mod_101": 101, "mod_e9": 10**9, "mod_e18": 10**18}
+    df = df.withColumns({f"odd_{name}": digest.odd_residue(words, m) for name, m in moduli.items()})
     return df.select(
         "l_orderkey",
-        digest.digest_mod(F.col("h"), made, 101).alias("mod_101"),
-        digest.digest_mod(F.col("h"), made, 10**9).alias("mod_e9"),
-        digest.digest_mod(F.col("h"), made, 10**18).alias("mod_e18"),
-        digest.digest_mod(F.col("h"), None, 2**64).cast("string").alias("mod_2_64"),
-        digest.digest_mod(F.col("h"), None, 10**33).cast("string").alias("mod_e33"),
+        *[digest.join_residue(words, F.col(f"odd_{name}"), m).alias(name) for name, m in moduli.items()],
+        digest.wide_mod(F.col("h"), 2**64).alias("mod_2_64"),
+        digest.wide_mod(F.col("h"), 10**33).alias("mod_e33"),
     )
 
 
@@ -111,7 +116,7 @@ def apply_table(spark, sf_dir):
         {"name": "c_mktsegment", "strategy": "constant", "params": {"value": "SEGMENT"}},
         {"name": "c_acctbal", "strategy": "number", "params": {"min": -999, "max": 9999}},
     ]
-    return transform(df, plan_for(df, "customer", columns, ["c_custkey"], where="c_nationkey = 3"), KEYRING)
+    return rewritten(df, plan_for(df, "customer", columns, ["c_custkey"], where="c_nationkey = 3"), KEYRING)
 
 
 @query
@@ -119,7 +124,7 @@ def ignore_where(spark, sf_dir):
     df = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     rule = {"name": "o_orderstatus", "strategy": "constant", "params": {"value": "X"}}
     where = "nullif(o_orderpriority, '5-LOW') = '1-URGENT'"
-    return transform(df, plan_for(df, "orders", [rule], ["o_orderkey"], where=where), KEYRING)
+    return rewritten(df, plan_for(df, "orders", [rule], ["o_orderkey"], where=where), KEYRING)
 
 
 @query
@@ -129,7 +134,7 @@ def on_null(spark, sf_dir):
         {"name": "value", "strategy": "hash", "onNull": "Generate"},
         {"name": "kept", "strategy": "constant", "params": {"value": "C"}},
     ]
-    return transform(df, plan_for(df, "customer", columns), KEYRING)
+    return rewritten(df, plan_for(df, "customer", columns), KEYRING)
 
 
 @query
@@ -139,7 +144,7 @@ def on_empty(spark, sf_dir):
         {"name": "value", "strategy": "phone", "onEmpty": "Generate"},
         {"name": "kept", "strategy": "mask"},
     ]
-    return transform(df, plan_for(df, "customer", columns), KEYRING)
+    return rewritten(df, plan_for(df, "customer", columns), KEYRING)
 
 
 @query
@@ -177,7 +182,7 @@ STRATEGY_INPUTS = {
     "digits": ("orders", "o_orderkey", "o_orderpriority", {"length": 12}),
     "number": ("orders", "o_orderkey", "o_custkey", {"min": -50, "max": 1000000}),
     "text": ("customer", "c_custkey", "c_name", {"sentences": 2, "maxLength": 100}),
-    "constant": ("nation", "n_nationkey", "n_name", {"value": "COUNTRY"}),
+    "constant": ("part", "p_partkey", "p_brand", {"value": "BRAND"}),
     "hash": ("customer", "c_custkey", "c_name", {"encoding": "base64"}),
     "mask": ("part", "p_partkey", "p_name", {"keepPrefix": 2, "keepSuffix": 1, "maskChar": "#"}),
     "null": ("events", "event_id", "props", {}),
@@ -189,7 +194,7 @@ def _strategy_query(name):
         table, key, source, params = STRATEGY_INPUTS[name]
         df = load(spark, sf_dir, table).select(key, F.col(source).alias("value"))
         rule = {"name": "value", "strategy": name, **({"params": params} if params else {})}
-        return transform(df, plan_for(df, table, [rule], [key]), KEYRING)
+        return rewritten(df, plan_for(df, table, [rule], [key]), KEYRING)
 
     build.__name__ = name
     return build
@@ -203,7 +208,7 @@ for _name in STRATEGY_INPUTS:
 def email_domain(spark, sf_dir):
     df = load(spark, sf_dir, "customer").select("c_custkey", F.upper("c_name").alias("value"))
     rule = {"name": "value", "strategy": "email", "params": {"domain": "example.com"}}
-    return transform(df, plan_for(df, "customer", [rule]), KEYRING)
+    return rewritten(df, plan_for(df, "customer", [rule]), KEYRING)
 
 
 @query
@@ -211,28 +216,28 @@ def date_datetime(spark, sf_dir):
     df = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     rule = {"name": "o_orderdate", "strategy": "date", "consistent": False,
             "params": {"from": "2001-02-03", "to": "2004-05-06", "format": "datetime"}}
-    return transform(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING)
+    return rewritten(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING)
 
 
 @query
 def date_consistent(spark, sf_dir):
     df = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     rule = {"name": "o_orderdate", "strategy": "date", "params": {"from": "2001-02-03", "to": "2004-05-06"}}
-    return transform(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING)
+    return rewritten(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING)
 
 
 @query
 def digits_composite_key(spark, sf_dir):
     df = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("value"))
     rule = {"name": "value", "strategy": "digits", "params": {"length": 30}}
-    return transform(df, plan_for(df, "conversations", [rule], ["conv_id", "turn"]), KEYRING)
+    return rewritten(df, plan_for(df, "conversations", [rule], ["conv_id", "turn"]), KEYRING)
 
 
 @query
 def number_full_range(spark, sf_dir):
     df = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("value"))
     rule = {"name": "value", "strategy": "number", "params": {"min": -(2**63), "max": 2**63 - 1}}
-    return transform(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING)
+    return rewritten(df, plan_for(df, "orders", [rule], ["o_orderkey"]), KEYRING)
 
 
 @query
@@ -243,7 +248,7 @@ def keyless_table(spark, sf_dir):
         {"name": "l_linestatus", "strategy": "vatId"},
     ]
     df = df.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
-    return transform(df, plan_for(df, "lineitem", columns), KEYRING)
+    return rewritten(df, plan_for(df, "lineitem", columns), KEYRING)
 
 
 @query
@@ -259,7 +264,7 @@ def output_length(spark, sf_dir):
         {"name": f"v_{name}", "strategy": name, **({"params": p} if p else {})} for name, p in rules.items()
     ]
     plan = plan_for(wide, "customer", columns, ["c_custkey"])
-    made = transform(wide, plan, KEYRING)
+    made = rewritten(wide, plan, KEYRING)
     widths = F.array(*[
         F.struct(F.lit(rule.strategy).alias("strategy"), F.lit(rule.output_length()).alias("declared"),
                  F.char_length(rule.name).alias("made"))
@@ -283,8 +288,8 @@ def _named_orders(spark, sf_dir):
 def link_preserved(spark, sf_dir):
     parent = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
     child = _named_orders(spark, sf_dir)
-    left = transform(child, plan_for(child, "orders", [{"name": "o_name", "strategy": "fullName"}]), KEYRING)
-    right = transform(parent, plan_for(parent, "customer", [{"name": "c_name", "strategy": "fullName"}]), KEYRING)
+    left = rewritten(child, plan_for(child, "orders", [{"name": "o_name", "strategy": "fullName"}]), KEYRING)
+    right = rewritten(parent, plan_for(parent, "customer", [{"name": "c_name", "strategy": "fullName"}]), KEYRING)
     return checks.link_preserved(left, right, [("o_custkey", "c_custkey"), ("o_name", "c_name")])
 
 
@@ -294,10 +299,10 @@ def link_preserved_pair(spark, sf_dir):
     parent = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
     child = _named_orders(spark, sf_dir)
     rule = {"name": "c_name", "strategy": "phone"}
-    right = transform(parent, plan_for(parent, "customer", [rule]), KEYRING)
-    kept = transform(child, plan_for(child, "orders", [{**rule, "name": "o_name"}]), KEYRING)
+    right = rewritten(parent, plan_for(parent, "customer", [rule]), KEYRING)
+    kept = rewritten(child, plan_for(child, "orders", [{**rule, "name": "o_name"}]), KEYRING)
     broken_rule = {**rule, "name": "o_name", "consistent": False}
-    broken = transform(child, plan_for(child, "orders", [broken_rule], ["o_orderkey"]), KEYRING)
+    broken = rewritten(child, plan_for(child, "orders", [broken_rule], ["o_orderkey"]), KEYRING)
     on = [("o_custkey", "c_custkey"), ("o_name", "c_name")]
     made = [
         checks.link_preserved(frame, right, on).select(F.lit(label).alias("rule"), "child_rows", "linked_rows")
@@ -324,6 +329,43 @@ def unique_check(spark, sf_dir):
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+@query
+def preflight(spark, sf_dir):
+    """Checks before any write: each policy over the real tables, and the class it ends in."""
+    tables = {
+        t: load(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "conversations", "events", "embeddings")
+    }
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
+            "conversations": ["conv_id", "turn"], "events": ["event_id"], "embeddings": ["vec_id"]}
+    overlays = {t: {"primaryKey": k, "columns": {n: {"nullable": False} for n in k}} for t, k in keys.items()}
+    overlays["customer"]["columns"] |= {"c_name": {"length": 30}, "c_mktsegment": {"nullable": False}}
+    dataset = Tables({"demo": tables}, {"demo": overlays})
+    wide = {"strategy": "hash"}
+    cases = {
+        "key_with_duplicates": ("lineitem", {"name": "l_returnflag", **wide}),
+        "composite_key": ("conversations", {"name": "role", "strategy": "digits", "params": {"length": 9}}),
+        "plain": ("orders", {"name": "o_orderstatus", **wide}),
+        "missing_column": ("orders", {"name": "absent", **wide}),
+        "key_as_target": ("orders", {"name": "o_orderkey", "strategy": "number"}),
+        "text_into_number": ("orders", {"name": "o_totalprice", "strategy": "city"}),
+        "date_into_time": ("orders", {"name": "o_orderdate", "strategy": "date"}),
+        "late_start": ("orders", {"name": "o_orderdate", "strategy": "date", "params": {"from": "2030-01-01"}}),
+        "number_too_wide": ("customer", {"name": "c_nationkey", "strategy": "number", "params": {"max": 2**31}}),
+        "no_room": ("customer", {"name": "c_name", **wide}),
+        "no_room_for_mail": ("customer", {"name": "c_name", "strategy": "email"}),
+        "null_into_required": ("customer", {"name": "c_mktsegment", "strategy": "null"}),
+        "array_target": ("embeddings", {"name": "embedding", "strategy": "constant", "params": {"value": "x"}}),
+        "array_to_null": ("embeddings", {"name": "embedding", "strategy": "null"}),
+        "missing_table": ("absent", {"name": "x", **wide}),
+    }
+    rows = []
+    for case, (table, column) in cases.items():
+        policy = {"databases": [{"namePattern": "de.o", "tables": [{"name": table, "columns": [column]}]}]}
+        report = Run(spark, policy, dataset, _options(spark, "preflight", dry_run=True)).execute()
+        rows.append((case, report.failure_class or report.result, report.exit_code()))
+    return spark.createDataFrame(rows, "policy string, outcome string, exit_code int")
+
+
 @query
 def value_violation(spark, sf_dir):
     df = load(spark, sf_dir, "customer").select(
@@ -346,9 +388,10 @@ def value_violation(spark, sf_dir):
 
 @query
 def unique_resolve(spark, sf_dir):
+    """Codes one digit longer than the row count needs: some collide at every scale."""
     df = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("code"), "c_mktsegment")
     columns = [
-        {"name": "code", "strategy": "digits", "params": {"length": 4}},
+        {"name": "code", "strategy": "digits", "params": {"length": len(str(df.count())) + 1}},
         {"name": "c_mktsegment", "strategy": "hash", "params": {"length": 10}},
     ]
     plan = plan_for(df, "customer", columns, ["c_custkey"], unique=(("code",),))

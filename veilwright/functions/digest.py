@@ -24,8 +24,6 @@ MAX_ATTEMPTS = 8
 _POLICY_HASH = re.compile(r"sha256:[0-9a-f]{64}")
 _BLOCK = 64
 _LONG_BITS = 63
-# Word widths, in hex characters, that a digest is cut into: 4 + 4 * 15 = 64.
-_WORDS = ((1, 4), (5, 15), (20, 15), (35, 15), (50, 15))
 
 
 @dataclass(frozen=True)
@@ -143,104 +141,80 @@ def stretch(digest: Column, blocks: int) -> Column:
 # --- 256-bit big-endian digest modulo m -------------------------------------------------
 
 
-def digest_words(digest: Column) -> list[Column]:
-    """The digest as one 16-bit and four 60-bit bigints; project these before `digest_mod`."""
-    return [hex_int(digest, start, width) for start, width in _WORDS]
+def fits_long(modulus: int) -> bool:
+    """Whether bigint arithmetic is enough for this modulus."""
+    twos, odd = _split_modulus(modulus)
+    return modulus <= 2**62 and twos <= 31 + 31 * (odd == 1) and odd.bit_length() <= _LONG_BITS - 4
 
 
 def _split_modulus(modulus: int) -> tuple[int, int]:
-    """modulus = 2**twos * rest, keeping `twos` small enough for the long arithmetic below."""
-    twos, rest = 0, modulus
-    while rest % 2 == 0 and rest > 1:
-        twos, rest = twos + 1, rest // 2
-    if rest > 1 and twos > 31:
-        rest, twos = rest << (twos - 31), 31
-    return twos, rest
+    """modulus = 2**twos * odd."""
+    twos = (modulus & -modulus).bit_length() - 1
+    return twos, modulus >> twos
 
 
-def fits_long(modulus: int) -> bool:
-    """Whether `digest_mod` needs nothing wider than bigint for this modulus."""
-    twos, rest = _split_modulus(modulus)
-    if modulus > 2**62:
-        return False
-    return rest == 1 or (rest.bit_length() <= _LONG_BITS - 4 and rest % 2 == 1)
+def digest_words(digest: Column) -> list[Column]:
+    """The digest as four 64-bit patterns in bigints. Negative target base: signed result."""
+    return [F.conv(F.substring(digest, start, 16), 16, -10).cast("bigint") for start in (1, 17, 33, 49)]
 
 
-def digest_mod(digest: Column, words: list[Column] | None, modulus: int) -> Column:
-    """digest mod `modulus`: bigint where the modulus allows, else decimal(38,0).
+def odd_residue(words: list[Column], modulus: int) -> Column:
+    """The words, read as one integer, modulo the odd part of `modulus`.
 
-    The odd part of the modulus is reduced by Horner steps as wide as a bigint
-    permits, the power of two is read off the low bits, and the two are joined by
-    the Chinese remainder theorem. Powers of ten up to 10^18 stay in bigints so.
+    Horner steps take as many bits at a time as leave a product inside a bigint.
     """
-    if modulus < 1 or modulus > 10**33:
-        raise ValueError("digest modulus must be between 1 and 10^33")
-    if not fits_long(modulus):
-        return _digest_mod_decimal(digest, modulus)
-    words = words or digest_words(digest)
-    twos, odd = _split_modulus(modulus)
+    _, odd = _split_modulus(modulus)
     if odd == 1:
-        return _low_bits(digest, words, twos)
-    rest = _horner(words, odd)
-    if twos == 0:
-        return rest
-    size = 1 << twos
-    inverse = pow(odd, -1, size)
-    low = _low_bits(digest, words, twos)
-    # pmod keeps the difference non-negative before it meets the inverse.
-    factor = (F.pmod(low - rest, F.lit(size)) * F.lit(inverse)) % F.lit(size)
-    return rest + F.lit(odd) * factor
-
-
-def _low_bits(digest: Column, words: list[Column], bits: int) -> Column:
-    if bits == 0:
         return F.lit(0).cast("bigint")
-    if bits <= 60:
-        return words[-1].bitwiseAND(F.lit((1 << bits) - 1))
-    top = words[-2].bitwiseAND(F.lit((1 << (bits - 60)) - 1))
-    return F.shiftleft(top, 60) + words[-1]
-
-
-def _horner(words: list[Column], modulus: int) -> Column:
-    step = _LONG_BITS - modulus.bit_length()
+    step = _LONG_BITS - odd.bit_length()
     value = None
-    for (_, width), word in zip(_WORDS, words):
-        left = 4 * width
+    for word in words:
+        left = 64
         while left:
             bits = min(step, left)
             left -= bits
-            piece = F.shiftright(word, left) if left else word
-            if left + bits < 4 * width:
+            piece = F.shiftrightunsigned(word, left) if left else word
+            if left + bits < 64:
                 piece = piece.bitwiseAND(F.lit((1 << bits) - 1))
             value = piece if value is None else value * F.lit(1 << bits) + piece
-            value = value % F.lit(modulus)
+            value = value % F.lit(odd)
     return value
 
 
-def _digest_mod_decimal(digest: Column, modulus: int) -> Column:
-    if modulus == 2**64:
-        high = F.conv(F.substring(digest, 49, 16), 16, 10)
-        return high.cast("decimal(38,0)")
-    wide = F.lit(modulus).cast("decimal(38,0)") if modulus < 2**63 else F.lit(str(modulus)).cast("decimal(38,0)")
-    value = F.lit(0).cast("decimal(38,0)")
-    for start in range(1, 65, 4):
-        piece = hex_int(digest, start, 4).cast("decimal(5,0)")
-        value = ((value * F.lit(16**4).cast("decimal(5,0)") + piece).cast("decimal(38,0)") % wide).cast("decimal(38,0)")
-    return value
+def join_residue(words: list[Column], residue: Column, modulus: int) -> Column:
+    """Digest mod `modulus` from its odd residue and its low bits (Chinese remainder theorem)."""
+    twos, odd = _split_modulus(modulus)
+    if twos == 0:
+        return residue
+    size = 1 << twos
+    low = words[-1].bitwiseAND(F.lit(size - 1))
+    if odd == 1:
+        return low
+    # pmod keeps the difference non-negative before it meets the inverse.
+    factor = (F.pmod(low - residue, F.lit(size)) * F.lit(pow(odd, -1, size))) % F.lit(size)
+    return residue + F.lit(odd) * factor
 
 
 @F.pandas_udf(T.StringType())
-def _wide_digits(digest: pd.Series, length: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if h is None else str(int(h, 16) % 10 ** int(n)).zfill(int(n)) for h, n in zip(digest, length)],
-        dtype=object,
-    )
+def _wide_mod(digest: pd.Series, modulus: pd.Series) -> pd.Series:
+    remainders = [None if h is None else str(int(h, 16) % int(m)) for h, m in zip(digest, modulus)]
+    return pd.Series(remainders, dtype=object)
+
+
+def wide_mod(digest: Column, modulus: int) -> Column:
+    """Digest mod any modulus, as decimal text, in Arrow batches: no Spark type multiplies 256 bits."""
+    if modulus == 2**64:
+        return F.conv(F.substring(digest, 49, 16), 16, 10)
+    return _wide_mod(digest, F.lit(str(modulus)))
 
 
-def digest_digits(digest: Column, words: list[Column] | None, length: int) -> Column:
-    """digest mod 10^length, zero-padded to `length` characters."""
-    if length > 33:
-        # A digest has at most 78 decimal digits; anything longer is leading zeros.
-        body = _wide_digits(digest, F.lit(min(length, 78)))
-        return F.lpad(body, length, "0") if length > 78 else body
-    return F.lpad(digest_mod(digest, words, 10**length).cast("string"), length, "0")
+def digest_mod(digest: Column, modulus: int) -> Column:
+    """Digest mod `modulus`, in one expression: bigint where that is enough, else decimal text.
+
+    `transform` projects the words, the residue and the result one after the other instead,
+    so that none of them is computed twice.
+    """
+    if not fits_long(modulus):
+        return wide_mod(digest, modulus)
+    words = digest_words(digest)
+    return join_residue(words, odd_residue(words, modulus), modulus)

@@ -54,8 +54,15 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc_arrow(wide), text)
 
 
+def trim(text: Column) -> Column:
+    """Without leading and trailing white space; only values that have some pay for the search."""
+    blank = F.lit(WHITE_SPACE)
+    edges = F.contains(blank, F.substring(text, 1, 1)) | F.contains(blank, F.substring(text, -1, 1))
+    return F.when(edges, F.btrim(text, blank)).otherwise(text)
+
+
 def nfc_trim(text: Column) -> Column:
-    return nfc(F.btrim(text, F.lit(WHITE_SPACE)))
+    return nfc(trim(text))
 
 
 def input_text(column: Column, data_type: T.DataType) -> Column:

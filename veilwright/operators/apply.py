@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SchemaError
 from ..functions.digest import Keyring, consistent_payload, keyed_digest, retry_digest, row_payload
-from ..functions.text import input_text, nfc_trim, pk_json
+from ..functions.text import input_text, nfc, pk_json, trim
 from ..plans.rules import Rule
 from ..plans.schema import ColumnInfo, violation
 from . import strategies
@@ -79,6 +79,10 @@ def _stored(info: ColumnInfo, value: Column) -> Column:
     return value.try_cast(info.data_type)
 
 
+def _with(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.withColumns(columns) if columns else df
+
+
 def transform(
     df: DataFrame,
     plan: TableTransform,
@@ -88,52 +92,58 @@ def transform(
 ) -> DataFrame:
     """Rewrite the policy columns of `df`; every other column and row is carried through.
 
-    Digests are projected once, then what formatters reuse, then the formatted values:
-    three narrow projections that keep one HMAC per value in the plan. `retry` names a
-    column with the UNIQUE attempt of each row. `mark` keeps two extra columns: whether
+    A chain of narrow projections, each making once what the next uses more than once:
+    trimmed text, normal form, digest, its numeric stages, formatted value. `retry` names
+    a column with the UNIQUE attempt of each row. `mark` keeps two extra columns: whether
     the row was selected, and one flag per rule for a value the column cannot hold.
     """
     names = df.columns
     staged = df.withColumn(TOUCHED, touched(plan.ignore_where))
     key_text = pk_json([(F.col(quote_identifier(c.name)), c.data_type) for c in plan.primary_key])[0]
-
-    texts, guards, digests = [], [], {}
-    for i, (rule, info) in enumerate(zip(plan.rules, plan.columns)):
-        text = F.coalesce(input_text(F.col(quote_identifier(info.name)), info.data_type), F.lit(""))
-        guard = F.col(TOUCHED) & _handled(rule, info, text)
-        texts.append(text)
-        guards.append(guard)
-        if rule.keyed:
-            if rule.consistent:
-                clean = nfc_trim(text)
-                clean = F.lower(clean) if rule.strategy == "email" else clean
-                payload = consistent_payload(rule.strategy, clean)
-            else:
-                payload = row_payload(plan.database, plan.table, key_text, info.name, escaped=True)
-            # Kept values get a NULL payload, so they cost no hashing.
-            digests[f"__digest_{i}"] = keyed_digest(keyring, F.when(guard, payload))
-    if digests:
-        staged = staged.withColumns(digests)
-        if retry:
-            staged = staged.withColumns(
-                {name: retry_digest(keyring, F.col(name), F.col(retry)) for name in digests}
+    keyed = [i for i, rule in enumerate(plan.rules) if rule.keyed]
+    linked = [i for i in keyed if plan.rules[i].consistent]
+
+    texts = [
+        F.coalesce(input_text(F.col(quote_identifier(info.name)), info.data_type), F.lit("")) for info in plan.columns
+    ]
+    guards = [
+        F.col(TOUCHED) & _handled(rule, info, text) for rule, info, text in zip(plan.rules, plan.columns, texts)
+    ]
+    # Values that are kept turn NULL here, so they cost no hashing.
+    staged = _with(staged, {f"__text_{i}": F.when(guards[i], trim(texts[i])) for i in linked})
+    staged = _with(staged, {f"__norm_{i}": nfc(F.col(f"__text_{i}")) for i in linked})
+    payloads = {}
+    for i in keyed:
+        rule, info = plan.rules[i], plan.columns[i]
+        if rule.consistent:
+            clean = F.col(f"__norm_{i}")
+            payloads[i] = consistent_payload(rule.strategy, F.lower(clean) if rule.strategy == "email" else clean)
+        else:
+            payloads[i] = F.when(
+                guards[i], row_payload(plan.database, plan.table, key_text, info.name, escaped=True)
             )
-
-    extras: dict[str, Column] = {}
-    extra_names: list[list[str]] = []
-    for i, rule in enumerate(plan.rules):
-        made = strategies.intermediates(rule, F.col(f"__digest_{i}")) if rule.keyed else []
-        extra_names.append([f"__extra_{i}_{j}" for j in range(len(made))])
-        extras.update(zip(extra_names[-1], made))
-    if extras:
-        staged = staged.withColumns(extras)
+    staged = _with(staged, {f"__digest_{i}": keyed_digest(keyring, payloads[i]) for i in keyed})
+    if retry:
+        again = {f"__digest_{i}": retry_digest(keyring, F.col(f"__digest_{i}"), F.col(retry)) for i in keyed}
+        staged = _with(staged, again)
+
+    chains = {i: strategies.stages(plan.rules[i], keyring) for i in keyed}
+    extras: dict[int, list[Column]] = {}
+    for level in range(max((len(chain) for chain in chains.values()), default=0)):
+        made: dict[str, Column] = {}
+        for i, chain in chains.items():
+            if level < len(chain):
+                values = chain[level](F.col(f"__digest_{i}"), extras.get(i, []))
+                labels = [f"__stage_{i}_{level}_{j}" for j in range(len(values))]
+                made.update(zip(labels, values))
+                extras[i] = [F.col(label) for label in labels]
+        staged = _with(staged, made)
 
     replaced: dict[str, Column] = {}
     flags: list[Column] = []
     for i, (rule, info) in enumerate(zip(plan.rules, plan.columns)):
         digest = F.col(f"__digest_{i}") if rule.keyed else F.lit(None)
-        extra = [F.col(name) for name in extra_names[i]]
-        value = strategies.generated(rule, texts[i], digest, extra, keyring)
+        value = strategies.generated(rule, texts[i], digest, extras.get(i, []), keyring)
         original = F.col(quote_identifier(info.name))
         replaced[info.name] = F.when(guards[i], _stored(info, value)).otherwise(original).cast(info.data_type)
         if mark:

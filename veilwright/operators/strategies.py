@@ -1,19 +1,21 @@
 """The 29 replacement strategies as Catalyst expressions over a keyed digest.
 
-`intermediates` names the expressions worth projecting once before formatting;
-`generated` turns the digest (and those) into the replacement text.
+`stages` lists the projections worth making once between digest and formatting;
+`generated` turns the digest and the last stage into the replacement text.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import PolicyError
 from ..functions import corpora
 from ..functions.digest import (
-    Keyring, digest_digits, digest_mod, digest_words, fits_long, hex_int, pick, stretch,
+    Keyring, digest_words, fits_long, hex_int, join_residue, odd_residue, pick, stretch, wide_mod,
 )
 from ..plans.rules import Rule
 
@@ -29,6 +31,8 @@ ALPHABETS = {
     "Lower": "abcdefghijklmnopqrstuvwxyz0123456789",
 }
 _CHARS_PER_BLOCK = 16
+# A 256-bit digest has at most 78 decimal digits; longer results are leading zeros.
+_DIGEST_DIGITS = 78
 _UNROLLED_CHARS = 32
 
 
@@ -41,38 +45,49 @@ def word(digest: Column, slot: int, words: list[str]) -> Column:
     return F.element_at(choices(words), (pick(digest, slot, len(words)) + 1).cast("int"))
 
 
-def modulus(rule: Rule) -> int | None:
+def modulus(rule: Rule, keyring: Keyring) -> int | None:
     """What the digest is reduced by, for the numeric strategies."""
     p = rule.params
-    if rule.strategy == "phone":
-        return 10 ** p["digits"]
-    if rule.strategy == "digits":
-        return 10 ** p["length"]
-    if rule.strategy == "vatId":
-        return 10**9
-    if rule.strategy == "iban":
-        return 10**18
-    if rule.strategy == "number":
-        return p["max"] - p["min"] + 1
     if rule.strategy == "date":
-        return None  # depends on the reference day; see `_date`
-    return None
-
-
-def intermediates(rule: Rule, digest: Column) -> list[Column]:
-    """Expressions used many times by `generated`; empty when the digest is enough."""
-    size = modulus(rule)
-    if rule.strategy == "date" or (size is not None and size <= 10**33 and fits_long(size)):
-        return digest_words(digest)
+        start, stop = date_bounds(rule, keyring)
+        days = (stop - start).days
+        return days * 86400 + 1 if p["format"] == "datetime" else days + 1
+    return {
+        "phone": lambda: 10 ** p["digits"],
+        "digits": lambda: 10 ** min(p["length"], _DIGEST_DIGITS),
+        "vatId": lambda: 10**9,
+        "iban": lambda: 10**18,
+        "number": lambda: p["max"] - p["min"] + 1,
+    }.get(rule.strategy, lambda: None)()
+
+
+def stages(rule: Rule, keyring: Keyring) -> list[Callable[[Column, list[Column]], list[Column]]]:
+    """Projections between the digest and the formatted value.
+
+    Each takes the digest and the columns of the stage before. Values that a later step
+    uses more than once get a stage of their own, so Catalyst computes them once.
+    """
+    size = modulus(rule, keyring)
+    if size is not None and not fits_long(size):
+        return [lambda h, before: [wide_mod(h, size)]]
+    if size is not None:
+        return [
+            lambda h, before: digest_words(h),
+            lambda h, words: [odd_residue(words, size), words[-1]],
+            lambda h, made: [join_residue([made[1]], made[0], size)],
+        ]
     if rule.strategy == "alphanumeric":
-        return [stretch(digest, -(-rule.params["length"] // _CHARS_PER_BLOCK))]
+        return [lambda h, before: [stretch(h, -(-rule.params["length"] // _CHARS_PER_BLOCK))]]
     if rule.strategy == "text":
-        return [stretch(digest, rule.params["sentences"])]
+        return [lambda h, before: [stretch(h, rule.params["sentences"])]]
     return []
 
 
 def generated(rule: Rule, text: Column, digest: Column, extra: list[Column], keyring: Keyring) -> Column:
-    """Replacement text for one value. Keep/Generate handling is the caller's."""
+    """Replacement text for one value, given the last stage's columns.
+
+    Keep/Generate handling is the caller's.
+    """
     return _GENERATORS[rule.strategy](rule, text, digest, extra, keyring)
 
 
@@ -160,51 +175,51 @@ def _text(rule, text, h, extra, keyring):
 # --- numbers and identifiers ------------------------------------------------------------
 
 
+def _padded(number: Column, width: int) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
+
+
 def _phone(rule, text, h, extra, keyring):
-    return digest_digits(h, extra, rule.params["digits"])
+    return _padded(extra[0], rule.params["digits"])
 
 
 def _digits(rule, text, h, extra, keyring):
-    return digest_digits(h, extra or None, rule.params["length"])
+    return _padded(extra[0], rule.params["length"])
 
 
 def _vat_id(rule, text, h, extra, keyring):
-    return F.concat(F.lit(rule.params["country"]), digest_digits(h, extra, 9))
+    return F.concat(F.lit(rule.params["country"]), _padded(extra[0], 9))
 
 
 def _iban(rule, text, h, extra, keyring):
-    account = digest_mod(h, extra, 10**18)
+    account = extra[0]
     # account * 10^6 + 131400 modulo 97, kept inside a bigint by reducing the account first.
     check = F.lit(98) - ((account % 97) * (10**6 % 97) + 131400) % 97
-    return F.concat(
-        F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), F.lpad(account.cast("string"), 18, "0")
-    )
+    return F.concat(F.lit("DE"), _padded(check, 2), _padded(account, 18))
 
 
 def _number(rule, text, h, extra, keyring):
-    low, size = rule.params["min"], modulus(rule)
-    rest = digest_mod(h, extra or None, size)
-    if fits_long(size):
-        return (rest + F.lit(low)).cast("bigint")
-    return (rest + F.lit(low).cast("decimal(38,0)")).cast("bigint")
+    low = rule.params["min"]
+    if fits_long(modulus(rule, keyring)):
+        return (extra[0] + F.lit(low)).cast("bigint")
+    wide = extra[0].cast("decimal(38,0)") + F.lit(low).cast("decimal(38,0)")
+    return wide.cast("bigint")
 
 
-def _date(rule, text, h, extra, keyring):
+def date_bounds(rule: Rule, keyring: Keyring) -> tuple[dt.date, dt.date]:
     start = dt.date.fromisoformat(rule.params["from"])
     stop = dt.date.fromisoformat(rule.params["to"]) if rule.params["to"] else keyring.reference_date
-    days = (stop - start).days
-    if days < 0:
-        raise ValueError("date range ends before it starts")
-    if rule.params["format"] == "datetime":
-        seconds = digest_mod(h, extra, days * 86400 + 1)
-        day = F.date_add(F.lit(start), (F.floor(seconds / 86400)).cast("int"))
-        rest = (seconds % 86400).cast("int")
-        clock = [F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60]
-        return F.concat(
-            F.date_format(day, "yyyy-MM-dd"), F.lit(" "),
-            F.concat_ws(":", *[F.lpad(c.cast("string"), 2, "0") for c in clock]),
-        )
-    return F.date_format(F.date_add(F.lit(start), digest_mod(h, extra, days + 1).cast("int")), "yyyy-MM-dd")
+    if stop < start:
+        raise PolicyError("date range ends before it starts")
+    return start, stop
+
+
+def _date(rule, text, h, extra, keyring):
+    start, _ = date_bounds(rule, keyring)
+    if rule.params["format"] == "date":
+        return F.date_format(F.date_add(F.lit(start), extra[0].cast("int")), "yyyy-MM-dd")
+    moment = F.timestamp_add("SECOND", extra[0], F.lit(start).cast("timestamp_ntz"))
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
 
 
 def _reserved_ranges() -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import PolicyError
@@ -37,26 +37,26 @@ class ProgressKey:
 
 class Manifest:
     def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path = spark, path.rstrip("/")
+        self.spark, self._path = spark, path.rstrip("/")
 
     def _exists(self) -> bool:
-        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
-        return path.getFileSystem(self._spark._jsc.hadoopConfiguration()).exists(path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def rows(self) -> DataFrame:
         if not self._exists():
-            return self._spark.createDataFrame([], SCHEMA)
-        return self._spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self._path)
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self._path)
 
-    def entries(self, key: ProgressKey) -> DataFrame:
-        """Rows of one table or step; a different policy hash is refused."""
+    def entries(self, key: ProgressKey) -> list[Row]:
+        """Rows of one table or step: at most two per chunk. A different policy hash is refused."""
         mine = self.rows().where(
             (F.col("run_uid") == key.run_uid)
             & (F.col("kind") == key.kind)
             & (F.col("db") == key.db)
             & (F.col("name") == key.name)
-        )
-        if not mine.where(F.col("policy_hash") != key.policy_hash).isEmpty():
+        ).collect()
+        if any(row["policy_hash"] != key.policy_hash for row in mine):
             raise PolicyError("checkpoint policy hash differs from this run")
         return mine
 
@@ -76,5 +76,5 @@ class Manifest:
             if row["rows_done"] < 0:
                 raise PolicyError("checkpoint row count cannot be negative")
             rows.append(tuple(row.values()))
-        frame = self._spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        frame = self.spark.createDataFrame(rows, SCHEMA).coalesce(1)
         frame.write.parquet(f"{self._path}/entry-{uuid.uuid4().hex}")

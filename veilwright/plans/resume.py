@@ -84,9 +84,8 @@ def run_chunks(
     parquet. `stop_after` ends the run early, as a lost driver would.
     """
     recorded = manifest.entries(progress_key)
-    # One row per chunk: as many rows as the caller asked chunks for.
-    known = {row["chunk"]: row for row in recorded.where("NOT done").collect()}
-    done = {row["chunk"]: row["rows_done"] for row in recorded.where("done").collect()}
+    known = {row["chunk"]: row for row in recorded if not row["done"]}
+    done = {row["chunk"]: row["rows_done"] for row in recorded if row["done"]}
     if known:
         plan = [_chunk_from_row(known[i]) for i in sorted(known)]
     else:
@@ -131,11 +130,10 @@ def write_checked(marked: DataFrame, path: str) -> int:
 
 def committed(manifest: Manifest, progress_key: ProgressKey) -> DataFrame:
     """The rows of committed chunks only."""
-    done = manifest.entries(progress_key).where("done").select("path").collect()
+    done = [row["path"] for row in manifest.entries(progress_key) if row["done"]]
     if not done:
         raise PolicyError("no committed chunk")
-    spark = manifest._spark
-    return spark.read.parquet(*[row["path"] for row in done])
+    return manifest.spark.read.parquet(*done)
 
 
 def pending_chunks(planned: DataFrame, finished: DataFrame, key: list[str]) -> DataFrame:

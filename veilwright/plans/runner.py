@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import PolicyError, classify
 from ..functions.digest import DEFAULT_NAMESPACE, Keyring
 from ..operators.unique import resolve_unique, transform_unique
-from ..sources.dataset import Dataset, truncated
+from ..sources.dataset import Dataset, spread, truncated
 from .policy import decode
 from .preflight import ExecutionPlan, PreflightOptions, TablePlan, preflight
 from .progress import Manifest, ProgressKey
@@ -112,7 +112,7 @@ class Run:
         o, frame = self.options, self.dataset.table(plan.database, plan.table)
         output, rows = f"{o.output}/{plan.database}/{plan.table}", 0
         if plan.action == "Truncate":
-            if self.manifest.entries(self._key(plan)).where("done").isEmpty():
+            if not any(row["done"] for row in self.manifest.entries(self._key(plan))):
                 truncated(frame).write.mode("overwrite").parquet(f"{output}/chunk=0")
                 self.manifest.append(self._key(plan), path=f"{output}/chunk=0")
         else:
@@ -122,7 +122,7 @@ class Run:
             by_files = o.chunk_by == "files" or key is None
             rows = run_chunks(
                 frame,
-                lambda part: transform_unique(part, transform, self.keyring, retries, mark=True),
+                lambda part: transform_unique(spread(part), transform, self.keyring, retries, mark=True),
                 lambda: file_chunks(frame, o.chunks) if by_files else key_chunks(frame, key, o.chunks),
                 self.manifest, self._key(plan), output, key, o.stop_after,
                 lambda files: self.dataset.read_files(plan.database, plan.table, files),

@@ -189,6 +189,26 @@ def match_databases(rules: list[dict], names: list[str], reserved: tuple[str, ..
     return matched
 
 
+def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """Deal rows out over the cores when a file source has fewer tasks than cores.
+
+    Hashing is CPU work, and a row group is the smallest unit that a scan can share out. A
+    source with as many files as cores, or a small one, comes back as it is: no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    total = 0
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    if total < min_bytes or total >= cores * (128 << 20):
+        return df
+    return df.repartition(cores)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write to a new place; a table is never overwritten while it is read."""
     df.write.format(fmt).mode("errorifexists").save(path)
