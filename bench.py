@@ -16,7 +16,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog import queries as registered  # noqa: E402
 from catalog.demo import KEYRING, load, plan_for  # noqa: E402
-from veilwright import transform  # noqa: E402
 
 HEADLINE = (
     "value_hash_consistent", "value_hash_row", "digest_mod", "apply_table", "keyless_table", "email", "iban",
@@ -45,7 +44,7 @@ def full_policy(spark: SparkSession, sf_dir: str):
     frames = []
     for table, (key, columns) in plans.items():
         df = load(spark, sf_dir, table)
-        out = transform(df, plan_for(df, table, columns, key), KEYRING)
+        out = registered.rewritten(df, plan_for(df, table, columns, key), KEYRING)
         frames.append(out.select(F.xxhash64(*[F.col(c) for c in out.columns]).alias("row")))
     return frames[0].unionAll(frames[1]).unionAll(frames[2])
 

@@ -316,6 +316,8 @@ def oracles() -> dict[str, str]:
           SELECT c_custkey, CASE WHEN value IS NOT NULL THEN {digits('h', 15)} END AS value,
             CASE WHEN value IS NOT NULL THEN repeat('*', length(value)) END AS kept FROM h""",
         "keyset_predicate": "SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > (10, 1)",
+        "pk_page": """
+          SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > (7, 2) ORDER BY conv_id, turn LIMIT 50""",
         "email_domain": f"""
           WITH b AS (SELECT c_custkey, {consistent('email', 'upper(c_name)')} AS h FROM customer)
           SELECT c_custkey, {email('h', "'example.com'")} AS value FROM b""",

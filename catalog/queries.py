@@ -153,6 +153,13 @@ def keyset_predicate(spark, sf_dir):
     return df.where(apply.after_cursor(("conv_id", "turn"), (10, 1)))
 
 
+@query
+def pk_page(spark, sf_dir):
+    """One page of a composite key after a cursor; the page size is the feature."""
+    df = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return apply.page_after(df, ("conv_id", "turn"), 50, (7, 2))
+
+
 # --- the strategies -----------------------------------------------------------------------
 
 # name -> (table, key column, source column, params)

@@ -177,3 +177,9 @@ def after_cursor(key: tuple[str, ...], cursor: tuple) -> Column:
     if len(key) > 1:
         beyond = (names[0] >= F.lit(cursor[0])) & beyond
     return beyond
+
+
+def page_after(df: DataFrame, key: tuple[str, ...], size: int, cursor: tuple | None = None) -> DataFrame:
+    """The next `size` rows in key order: each task keeps its own smallest rows, no global sort."""
+    rows = df if cursor is None else df.where(after_cursor(key, cursor))
+    return rows.orderBy(*[F.col(quote_identifier(name)) for name in key]).limit(size)

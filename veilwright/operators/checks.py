@@ -30,11 +30,15 @@ def link_preserved(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]
     parents = parent.groupBy(*[F.col(right).alias(f"__parent_{left}") for left, right in on]).agg(
         F.count("*").alias("__parents")
     )
-    condition = reduce(lambda a, b: a & b, [F.col(left) == F.col(f"__parent_{left}") for left, _ in on])
+    # Null-safe in the join, checked after it: a plain `=` would have Catalyst push a NOT NULL
+    # filter below the aggregate, which computes every pseudonym a second time.
+    condition = reduce(lambda a, b: a & b, [F.col(left).eqNullSafe(F.col(f"__parent_{left}")) for left, _ in on])
+    complete = reduce(lambda a, b: a & b, [F.col(left).isNotNull() for left, _ in on])
     matched = grouped.join(parents, condition, "left")
+    linked = F.when(complete, F.col("n") * F.coalesce("__parents", F.lit(0)))
     return matched.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("child_rows"),
-        F.coalesce(F.sum(F.col("n") * F.coalesce("__parents", F.lit(0))), F.lit(0)).alias("linked_rows"),
+        F.coalesce(F.sum(linked), F.lit(0)).alias("linked_rows"),
     )
 
 

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import PolicyError, classify
-from ..functions.digest import DEFAULT_NAMESPACE, Keyring
+from ..functions.digest import DEFAULT_NAMESPACE, Keyring, fresh_seed
 from ..operators.unique import resolve_unique, transform_unique
 from ..sources.dataset import Dataset, spread, truncated
-from .policy import decode
+from .policy import canonical_json, decode
 from .preflight import ExecutionPlan, PreflightOptions, TablePlan, preflight
 from .progress import Manifest, ProgressKey
+from .record import freeze
 from .report import Report
 from .resume import committed, file_chunks, key_chunks, run_chunks
 from .steps import run_steps
@@ -27,7 +28,7 @@ from .steps import run_steps
 @dataclass
 class RunOptions:
     run_uid: str
-    seed: bytes
+    seed: bytes | None  # None: a seed of its own for this run, which then cannot be resumed
     reference_time: dt.datetime | dt.date
     output: str
     workers: int = 4
@@ -74,8 +75,12 @@ class Run:
             raise PolicyError("workers must be 1..32 and page size 1..50000")
         spec, policy_hash = decode(self._policy)
         self.report.policyHash = policy_hash
+        mode = (spec.get("determinism") or {}).get("mode") or "PerRun"
+        if o.seed is None and mode == "Fixed":
+            raise PolicyError("Fixed determinism requires its seed")
+        seed = fresh_seed() if o.seed is None else o.seed
         try:
-            self.keyring = Keyring.derive(o.seed, policy_hash, o.reference_time, o.namespace)
+            self.keyring = Keyring.derive(seed, policy_hash, o.reference_time, o.namespace)
         except ValueError:
             raise PolicyError("determinism seed or reference time is invalid") from None
         checks = PreflightOptions(
@@ -87,6 +92,7 @@ class Run:
             self.report.message = "dry-run preflight completed without writes"
             return
         self.manifest = Manifest(self.spark, f"{o.output}/_progress")
+        freeze(self.spark, f"{o.output}/_run", o.run_uid, canonical_json(spec), policy_hash, self.keyring)
         definitions = {step["name"]: step for step in spec.get("steps") or []}
         for database in self.plan.databases:
             identity = (o.run_uid, database.name, policy_hash)
