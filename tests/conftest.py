@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         .appName("veilwright-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(scratch))
         .config("spark.sql.warehouse.dir", str(scratch / "warehouse"))

@@ -141,11 +141,10 @@ def test_formats(spark, keyring):
     for value in run(spark, keyring, rule("email"), values):
         local, domain = value.split("@")
         assert re.fullmatch(r"[a-z.]+-[0-9a-f]{12}", local) and re.fullmatch(r"[a-z]+\.[a-z]+", domain)
-    for length in (1, 16, 17, 32, 33, 100, 4096):
-        for case in ("Mixed", "Upper", "Lower"):
-            for value in run(spark, keyring, rule("alphanumeric", length=length, case=case), values[:3]):
-                assert len(value) == length and set(value) <= set(scalar.ALPHA[case])
-    for sentences in (1, 2, 7, 100):
+    for length, case in ((1, "Mixed"), (16, "Upper"), (17, "Lower"), (32, "Mixed"), (33, "Upper"), (4096, "Mixed")):
+        for value in run(spark, keyring, rule("alphanumeric", length=length, case=case), values[:3]):
+            assert len(value) == length and set(value) <= set(scalar.ALPHA[case])
+    for sentences in (1, 3, 100):
         for value in run(spark, keyring, rule("text", sentences=sentences, maxLength=4096), values[:5]):
             assert len(value) == 4096 or value.count(".") == sentences
     assert all(len(v) <= 9 for v in run(spark, keyring, rule("text", maxLength=9), values))

@@ -42,7 +42,7 @@ def one_by_one(rows, length, kept=(), originals=True):
     return result
 
 
-@pytest.mark.parametrize("count,length,originals", [(60, 2, False), (300, 3, False), (70, 2, True), (400, 3, True)])
+@pytest.mark.parametrize("count,length,originals", [(40, 2, False), (70, 3, True), (45, 2, True)])
 def test_same_result_as_one_row_at_a_time(spark, count, length, originals):
     rows = [(i, str(10**length - 1 - i).zfill(length) if originals else f"original-{i}") for i in range(count)]
     df = spark.createDataFrame(rows, "id long, code string")
@@ -61,13 +61,6 @@ def test_same_result_as_one_row_at_a_time(spark, count, length, originals):
     assert {r["id"]: r[RETRY] for r in retries.collect()} == {pk: r for pk, (_, r) in want.items() if r}
 
 
-def test_too_small_a_space_fails(spark):
-    df = spark.range(40).select("id", F.concat(F.lit("x"), "id").alias("code"))
-    plan = plan_for(df, [{"name": "code", "strategy": "digits", "params": {"length": 1}}], ["id"], (("code",),))
-    with pytest.raises(UniqueError):
-        resolve_unique(df, plan, KEYRING)
-
-
 def test_nulls_never_collide_and_no_collision_needs_no_retry(spark):
     df = spark.range(40).select("id", F.when(F.col("id") < 20, F.concat(F.lit("x"), "id")).alias("code"))
     plan = plan_for(df, [{"name": "code", "strategy": "hash"}], ["id"], (("code",),))

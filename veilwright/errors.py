@@ -42,7 +42,7 @@ class UncertainStep(PolicyError):
     """A SQL step started but its end was never recorded."""
 
     def __init__(self):
-        super().__init__("SQL step outcome is uncertain; explicit recovery is required")
+        super().__init__("an SQL step started but never finished on record; resolve it first")
 
 
 # Spark error conditions that say the schema, not the cluster, is at fault.

@@ -43,11 +43,11 @@ class Keyring:
         namespace: str = DEFAULT_NAMESPACE,
     ) -> "Keyring":
         if len(seed) < 32:
-            raise ValueError("determinism seed must contain at least 32 bytes")
+            raise ValueError("the seed needs 32 bytes or more")
         if not _POLICY_HASH.fullmatch(policy_hash):
-            raise ValueError("policy hash must be a SHA-256 digest")
+            raise ValueError("the policy hash must read sha256:<64 hex digits>")
         if reference_time is None:
-            raise ValueError("date reference time is required")
+            raise ValueError("a reference day is needed")
         if isinstance(reference_time, dt.datetime):
             if reference_time.tzinfo is not None:
                 reference_time = reference_time.astimezone(dt.timezone.utc)
@@ -85,7 +85,7 @@ def consistent_payload(strategy: str, normalized: Column) -> Column:
 def row_payload(database: str, table: str, pk_json: Column, column: str, escaped: bool = False) -> Column:
     """JSON array of the row identity; `pk_json` is itself JSON text, so it is escaped."""
     if not (database and table and column):
-        raise ValueError("row-based generation requires database, table, primary key and column")
+        raise ValueError("a row identity needs a database, a table and a column")
     text = pk_json if escaped else json_escape(pk_json)
     return F.concat(
         F.lit(f'["{database}","{table}","'), text, F.lit(f'","{column}"]')

@@ -22,7 +22,7 @@ _IDENTIFIER = re.compile(r"[A-Za-z0-9_$]{1,64}")
 
 def quote_identifier(name: str) -> str:
     if not _IDENTIFIER.fullmatch(name):
-        raise SchemaError("name is not a supported SQL identifier")
+        raise SchemaError("a name is outside the supported identifier alphabet")
     return f"`{name}`"
 
 
@@ -46,12 +46,12 @@ class TableTransform:
         for info in (*self.primary_key, *self.columns):
             quote_identifier(info.name)
             if info.name.lower() in seen:
-                raise SchemaError("primary key mutation or invalid column identifiers")
+                raise SchemaError("a key column is a target, or a column is named twice")
             seen.add(info.name.lower())
         if not self.rules:
-            raise SchemaError("table has no column rules")
+            raise SchemaError("there are no column rules")
         if not self.primary_key and any(rule.needs_row_identity for rule in self.rules):
-            raise SchemaError("TableWithoutPrimaryKey: table requires a primary or declared unique key")
+            raise SchemaError("TableWithoutPrimaryKey: rows cannot be identified without a declared key")
 
 
 def touched(ignore_where: str | None) -> Column:
@@ -145,7 +145,9 @@ def transform(
         digest = F.col(f"__digest_{i}") if rule.keyed else F.lit(None)
         value = strategies.generated(rule, texts[i], digest, extras.get(i, []), keyring)
         original = F.col(quote_identifier(info.name))
-        replaced[info.name] = F.when(guards[i], _stored(info, value)).otherwise(original).cast(info.data_type)
+        # A NULL needs no text form, so it fits columns of every type.
+        stored = F.lit(None).cast(info.data_type) if rule.strategy == "null" else _stored(info, value)
+        replaced[info.name] = F.when(guards[i], stored).otherwise(original).cast(info.data_type)
         if mark:
             kept_null = F.col(TOUCHED) & original.isNull() & F.lit(not info.nullable)
             bad = F.when(guards[i], violation(value.cast("string"), info)).otherwise(kept_null)
@@ -168,7 +170,7 @@ def violation_counts(df: DataFrame, plan: TableTransform, keyring: Keyring) -> D
 def after_cursor(key: tuple[str, ...], cursor: tuple) -> Column:
     """Row-value comparison (k1, k2, ...) > (v1, v2, ...), written so that parquet can prune on k1."""
     if len(key) != len(cursor):
-        raise SchemaError("checkpoint primary key shape differs from this table")
+        raise SchemaError("the cursor does not have the key's shape")
     names = [F.col(quote_identifier(name)) for name in key]
     beyond = F.lit(False)
     for depth in reversed(range(len(key))):

@@ -249,7 +249,7 @@ def pointer_max_age(documents: DataFrame, now: Column, max_age_hours: float) ->
     A version-1 document without a timestamp passes with a warning.
     """
     if max_age_hours <= 0:
-        raise ValueError("pointer maxAge must be positive")
+        raise ValueError("the age limit must be above zero")
     limit = F.lit(int(max_age_hours * 3600 * 1_000_000))
     published = F.unix_micros("published_at")
     current = F.unix_micros(now)

@@ -133,11 +133,11 @@ def decode(document: bytes | str | dict) -> tuple[dict, str]:
     else:
         data = document.encode() if isinstance(document, str) else document
         if len(data) > MAX_POLICY_BYTES:
-            raise PolicyError("policy exceeds 1 MiB")
+            raise PolicyError("the policy is larger than 1 MiB")
         try:
             spec = json.loads(data)
         except ValueError:
-            raise PolicyError("policy must contain one JSON document") from None
+            raise PolicyError("the policy is not a single JSON document") from None
     canonical = _normalize("policy", spec, "policy")
     validate(canonical)
     return canonical, policy_hash(canonical)
@@ -162,16 +162,16 @@ def _has_key(ref: dict | None) -> bool:
 def validate(spec: dict) -> None:
     """Every rule that needs no data."""
     if not spec.get("databases"):
-        raise PolicyError("policy requires at least one database")
+        raise PolicyError("the policy names no database")
     determinism = spec.get("determinism") or {}
     mode = determinism.get("mode", "")
     if mode not in ("", "PerRun", "Fixed"):
-        raise PolicyError("determinism mode must be PerRun or Fixed")
+        raise PolicyError("unknown determinism mode")
     if mode == "Fixed" and not _has_key(determinism.get("seedSecretRef")):
-        raise PolicyError("Fixed determinism requires a seed reference")
+        raise PolicyError("Fixed mode needs a seed reference with name and key")
     defaults = spec.get("defaults") or {}
     if not 0 <= defaults.get("pageSize", 0) <= MAX_PAGE_SIZE:
-        raise PolicyError("default pageSize must be between 1 and 50000 when set")
+        raise PolicyError("defaults.pageSize is out of range (1..50000)")
     steps = _validate_steps(spec.get("steps") or [])
     for database in spec["databases"]:
         _validate_database(database, steps, defaults)
@@ -182,59 +182,59 @@ def _validate_steps(steps: list[dict]) -> set[str]:
     for step in steps:
         name = step.get("name")
         if not name:
-            raise PolicyError("SQL step name is empty")
+            raise PolicyError("an SQL step has no name")
         if name in names:
-            raise PolicyError("duplicate SQL step")
+            raise PolicyError("two SQL steps share a name")
         names.add(name)
         sources = [step[kind] for kind in ("configMapKeyRef", "secretKeyRef") if step.get(kind) is not None]
         if len(sources) != 1 or not _has_key(sources[0]):
-            raise PolicyError("SQL step requires exactly one source with name and key")
+            raise PolicyError("an SQL step needs one source, with name and key")
     return names
 
 
 def _validate_database(database: dict, steps: set[str], defaults: dict) -> None:
     if bool(database.get("name")) == bool(database.get("namePattern")):
-        raise PolicyError("database requires exactly one name or namePattern")
+        raise PolicyError("a database entry needs either name or namePattern")
     if database.get("namePattern"):
         try:
             re.compile(database["namePattern"])
         except re.error:
-            raise PolicyError("invalid database pattern") from None
+            raise PolicyError("a namePattern is not a regular expression") from None
     for ref in [*database.get("pre", []), *database.get("post", [])]:
         if ref.get("name") not in steps:
-            raise PolicyError("SQL step is not defined")
+            raise PolicyError("a database refers to an unknown SQL step")
     names: set[str] = set()
     for table in database.get("tables", []):
         if not table.get("name"):
-            raise PolicyError("table name is required")
+            raise PolicyError("a table entry has no name")
         if table["name"] in names:
-            raise PolicyError("duplicate table")
+            raise PolicyError("two table entries share a name")
         names.add(table["name"])
         _validate_table(table, defaults)
 
 
 def _validate_table(table: dict, defaults: dict) -> None:
     if "pageSize" in table and not 1 <= table["pageSize"] <= MAX_PAGE_SIZE:
-        raise PolicyError("table pageSize must be between 1 and 50000")
+        raise PolicyError("a table's pageSize is out of range (1..50000)")
     if "ignore" in table:
         where = table["ignore"].get("where", "")
         if not where.strip() or ";" in where or len(where.encode()) > 4096:
-            raise PolicyError("ignore.where requires an expression without statement delimiters")
+            raise PolicyError("ignore.where must be one expression of at most 4096 bytes, without semicolons")
     action, columns = table.get("action", ""), table.get("columns") or []
     if action == "Truncate":
         if columns:
-            raise PolicyError("truncate action takes no column rules")
+            raise PolicyError("a truncated table cannot have column rules")
         return
     if action not in ("", "Anonymize"):
-        raise PolicyError("table action must be Anonymize or Truncate")
+        raise PolicyError("unknown table action")
     if not columns:
-        raise PolicyError("anonymize action requires column rules")
+        raise PolicyError("an anonymized table needs column rules")
     names: set[str] = set()
     for column in columns:
         if not column.get("name"):
-            raise PolicyError("column name is required")
+            raise PolicyError("a column rule has no name")
         if column["name"] in names:
-            raise PolicyError("duplicate column")
+            raise PolicyError("two column rules share a name")
         names.add(column["name"])
         compile_rule(column, defaults)
 

@@ -32,7 +32,7 @@ class ProgressKey:
     def __post_init__(self):
         limits = ((self.run_uid, 128), (self.db, 64), (self.name, 128), (self.policy_hash, 80))
         if any(not text or len(text) > size for text, size in limits) or self.kind not in ("step", "table"):
-            raise PolicyError("invalid checkpoint identity")
+            raise PolicyError("a progress entry needs a run, kind, database, name and policy hash of bounded length")
 
 
 class Manifest:
@@ -57,7 +57,7 @@ class Manifest:
             & (F.col("name") == key.name)
         ).collect()
         if any(row["policy_hash"] != key.policy_hash for row in mine):
-            raise PolicyError("checkpoint policy hash differs from this run")
+            raise PolicyError("recorded progress belongs to another policy hash")
         return mine
 
     def append(self, key: ProgressKey, **values) -> None:
@@ -74,7 +74,7 @@ class Manifest:
                 "updated_at": now, **entry,
             }
             if row["rows_done"] < 0:
-                raise PolicyError("checkpoint row count cannot be negative")
+                raise PolicyError("a progress entry cannot count fewer than zero rows")
             rows.append(tuple(row.values()))
         frame = self.spark.createDataFrame(rows, SCHEMA).coalesce(1)
         frame.write.parquet(f"{self._path}/entry-{uuid.uuid4().hex}")

@@ -26,7 +26,7 @@ def freeze(spark: SparkSession, path: str, run_uid: str, policy: str, policy_has
         frozen = spark.read.schema(SCHEMA).parquet(path).where(F.col("run_uid") == run_uid).head(1)
         if frozen:
             if frozen[0]["policy_hash"] != policy_hash:
-                raise PolicyError("checkpoint policy hash differs from this run")
+                raise PolicyError("recorded progress belongs to another policy hash")
             if tuple(frozen[0]) != row:
                 raise PolicyError("seed or reference date differs from the recorded run")
             return

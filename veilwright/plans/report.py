@@ -21,7 +21,7 @@ SCHEMA = (
 class Report:
     result: str = "ok"
     failure_class: str = ""
-    message: str = "anonymization completed"
+    message: str = "all tables rewritten"
     tablesDone: int = 0
     tablesTotal: int = 0
     rowsDone: int = 0
@@ -44,7 +44,7 @@ class Report:
     def to_json(self) -> str:
         text = json.dumps(self.document(), ensure_ascii=False, separators=(",", ":"))
         if len(text.encode()) + 1 > MAX_REPORT_BYTES:
-            raise ValueError("termination report exceeds 4 KiB")
+            raise ValueError("the report is larger than 4 KiB")
         return text
 
     def to_df(self, spark: SparkSession) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cache
 from threading import Lock
 from typing import Callable
 
@@ -70,9 +71,9 @@ class Run:
     def _execute(self) -> None:
         o = self.options
         if not o.run_uid or len(o.run_uid) > 128 or o.reference_time is None:
-            raise PolicyError("database, Run UID and fixed reference time are required")
+            raise PolicyError("a run needs a uid of at most 128 characters and a reference time")
         if not 1 <= o.workers <= 32 or not 1 <= (o.page_size or 5000) <= 50000:
-            raise PolicyError("workers must be 1..32 and page size 1..50000")
+            raise PolicyError("workers (1..32) or page size (1..50000) is out of range")
         spec, policy_hash = decode(self._policy)
         self.report.policyHash = policy_hash
         mode = (spec.get("determinism") or {}).get("mode") or "PerRun"
@@ -82,14 +83,14 @@ class Run:
         try:
             self.keyring = Keyring.derive(seed, policy_hash, o.reference_time, o.namespace)
         except ValueError:
-            raise PolicyError("determinism seed or reference time is invalid") from None
+            raise PolicyError("the seed is too short or the reference time unusable") from None
         checks = PreflightOptions(
             self.keyring.reference_date, o.steps_dir, o.constants_dir, o.page_size, o.allow_keyless, o.verify_keys
         )
         self.plan = preflight(spec, self.dataset, checks)
         self.report.tablesTotal = self.plan.tables_total
         if o.dry_run:
-            self.report.message = "dry-run preflight completed without writes"
+            self.report.message = "all checks passed; nothing was written"
             return
         self.manifest = Manifest(self.spark, f"{o.output}/_progress")
         freeze(self.spark, f"{o.output}/_run", o.run_uid, canonical_json(spec), policy_hash, self.keyring)
@@ -123,12 +124,13 @@ class Run:
                 self.manifest.append(self._key(plan), path=f"{output}/chunk=0")
         else:
             transform = plan.transform
-            retries = resolve_unique(frame, transform, self.keyring, o.against_originals)
+            # Found when the first open chunk asks, so a finished table costs no second resolution.
+            retries = cache(lambda: resolve_unique(frame, transform, self.keyring, o.against_originals))
             key = transform.primary_key[0].name if transform.primary_key else None
             by_files = o.chunk_by == "files" or key is None
             rows = run_chunks(
                 frame,
-                lambda part: transform_unique(spread(part), transform, self.keyring, retries, mark=True),
+                lambda part: transform_unique(spread(part), transform, self.keyring, retries(), mark=True),
                 lambda: file_chunks(frame, o.chunks) if by_files else key_chunks(frame, key, o.chunks),
                 self.manifest, self._key(plan), output, key, o.stop_after,
                 lambda files: self.dataset.read_files(plan.database, plan.table, files),

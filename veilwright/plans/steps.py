@@ -11,7 +11,7 @@ from .progress import Manifest, ProgressKey
 def execute(spark: SparkSession, body: str) -> None:
     """Run a body whole: one statement, or a `BEGIN ... END` script. It is never split on `;`."""
     if not body.strip():
-        raise PolicyError("SQL step body is empty")
+        raise PolicyError("an SQL step has no text")
     # Writing to the no-op sink runs a query to its end without bringing rows to the driver.
     spark.sql(body).write.format("noop").mode("overwrite").save()
 
@@ -19,7 +19,7 @@ def execute(spark: SparkSession, body: str) -> None:
 def run_step(spark: SparkSession, body: str, manifest: Manifest, key: ProgressKey) -> bool:
     """Run a step unless it is done. An intent without an end is refused."""
     if key.kind != "step":
-        raise PolicyError("SQL step checkpoint identity is invalid")
+        raise PolicyError("a step needs a progress key of kind step")
     states = [row["done"] for row in manifest.entries(key)]
     if True in states:
         return False

@@ -180,10 +180,10 @@ def match_databases(rules: list[dict], names: list[str], reserved: tuple[str, ..
     for rule in rules:
         hits = [name for name in sorted(names) if matches_database(rule, name)]
         if not hits and not rule.get("optional"):
-            raise SchemaError("required database or database pattern has no match")
+            raise SchemaError("a database entry matches nothing")
         for name in hits:
             if name in seen or name in reserved:
-                raise PolicyError("overlapping or reserved database policy")
+                raise PolicyError("a database is matched twice or reserved")
             seen.add(name)
             matched.append((rule, name))
     return matched

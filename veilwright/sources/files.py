@@ -13,30 +13,30 @@ MAX_BYTES = 1 << 20
 
 def projected_path(root: str, *parts: str) -> str:
     if not root:
-        raise PolicyError("projected directory is required")
+        raise PolicyError("no folder is configured for this file")
     for part in parts:
         if part in (".", "..") or not _COMPONENT.fullmatch(part):
-            raise PolicyError("invalid projected path component")
+            raise PolicyError("a file name has a forbidden part")
     return os.path.join(root, *parts)
 
 
 def read_bounded(path: str, maximum: int = MAX_BYTES) -> bytes:
     try:
         if not os.path.isfile(path):
-            raise PolicyError("required input is not a regular file")
+            raise PolicyError("an input file is missing or not a plain file")
         with open(path, "rb") as handle:
             data = handle.read(maximum + 1)
     except OSError:
-        raise PolicyError("required input file cannot be opened") from None
+        raise PolicyError("an input file is unreadable") from None
     if len(data) > maximum:
-        raise PolicyError("required input file cannot be read within its size limit")
+        raise PolicyError("an input file is larger than allowed")
     return data
 
 
 def read_seed(path: str) -> bytes:
     seed = read_bounded(path)
     if len(seed) < 32:
-        raise PolicyError("determinism seed must contain at least 32 bytes")
+        raise PolicyError("the seed needs 32 bytes or more")
     return seed
 
 
@@ -51,5 +51,5 @@ def read_constant(column: dict, root: str | None) -> str | None:
 def read_step(root: str | None, name: str) -> str:
     data = read_bounded(projected_path(root or "", name + ".sql"))
     if not data:
-        raise PolicyError("SQL step file is missing, empty or too large")
+        raise PolicyError("an SQL step file is empty")
     return data.decode()
