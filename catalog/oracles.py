@@ -349,7 +349,7 @@ def oracles() -> dict[str, str]:
           WITH b AS (SELECT c_name, {consistent('phone', 'c_name')} AS p,
             {row_hash('orders', 'o_orderkey::VARCHAR', 'o_name')} AS r FROM orders JOIN customer ON o_custkey = c_custkey)
           SELECT 'consistent' AS rule, count(*) AS child_rows, count(*) AS linked_rows FROM b
-          UNION ALL SELECT 'row', count(*), count_if({digits('p', 15)} = {digits('r', 15)}) FROM b""",
+          UNION ALL SELECT 'row', count(*), count(*) FILTER (WHERE {digits('p', 15)} = {digits('r', 15)}) FROM b""",
         "table_checksum": """
           SELECT count(*) AS rows, sum(('0x' || substr(md5(
             length(o_orderkey::VARCHAR)::VARCHAR || ':' || o_orderkey::VARCHAR ||
@@ -358,7 +358,7 @@ def oracles() -> dict[str, str]:
             length(o_orderpriority)::VARCHAR || ':' || o_orderpriority), 1, 15))::BIGINT)::DECIMAL(38, 0) AS checksum
           FROM orders""",
         "unique_check": """
-          SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS rows, 0 AS null_keys, count(*) AS duplicate_keys
+          SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS rows, 0::BIGINT AS null_keys, count(*) AS duplicate_keys
             FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
           UNION ALL SELECT 'conversations', (SELECT count(*) FROM conversations), 0, count(*)
             FROM (SELECT 1 FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)
@@ -383,10 +383,10 @@ def oracles() -> dict[str, str]:
           WITH b AS (SELECT c_name, {consistent('email', 'c_name')} AS m,
               {row_hash('customer', 'c_custkey::VARCHAR', 'tiny')} AS t,
               {row_hash('customer', 'c_custkey::VARCHAR', 'money')} AS d FROM customer WHERE c_custkey % 10 <> 0)
-          SELECT count(*) AS rows_selected, count_if(length(c_name) > 12) AS bad_short_text,
-            count_if(length({email('m', "'mail.example.com'")}) > 40) AS bad_tight_mail,
-            count_if(({mod('t', 321)}) - 20 NOT BETWEEN 0 AND 255) AS bad_tiny,
-            count_if(({mod('d', 2001)}) > 999) AS bad_money, 0 AS bad_fits FROM b""",
+          SELECT count(*) AS rows_selected, count(*) FILTER (WHERE length(c_name) > 12) AS bad_short_text,
+            count(*) FILTER (WHERE length({email('m', "'mail.example.com'")}) > 40) AS bad_tight_mail,
+            count(*) FILTER (WHERE ({mod('t', 321)}) - 20 NOT BETWEEN 0 AND 255) AS bad_tiny,
+            count(*) FILTER (WHERE ({mod('d', 2001)}) > 999) AS bad_money, 0::BIGINT AS bad_fits FROM b""",
         "unique_resolve": f"""
           WITH RECURSIVE b AS MATERIALIZED (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS rn,
               {row_hash('customer', 'c_custkey::VARCHAR', 'code')} AS h, {consistent('hash', 'c_mktsegment')} AS s FROM customer),
@@ -403,7 +403,7 @@ def oracles() -> dict[str, str]:
           SELECT c_custkey, code, left(CASE WHEN r = 0 THEN s ELSE
               {hmac(f"(unhex('{label}') || unhex(s) || unhex(lpad(to_hex(r), 2, '0')))")} END, 10) AS c_mktsegment
           FROM b JOIN walk USING (rn)""",
-        "dry_run": "SELECT 'ok' AS result, 3 AS tables_total, 0 AS rows_done, true AS unchanged, count(*) AS n FROM customer",
+        "dry_run": "SELECT 'ok' AS result, 3 AS tables_total, 0::BIGINT AS rows_done, true AS unchanged, count(*) AS n FROM customer",
         "run_totals": """
           WITH c AS (SELECT count(*) AS n FROM customer WHERE NOT (c_nationkey = 3)), o AS (SELECT count(*) AS n FROM orders)
           SELECT t AS table_name, d AS rows_done, 3 AS tables_done, c.n + o.n AS report_rows_done, 'ok' AS result
@@ -417,7 +417,7 @@ def oracles() -> dict[str, str]:
         "chunk_resume_files": _RESUMED,
         "skip_done_chunks": """
           SELECT o_orderkey // 500 AS page, count(*) AS n FROM orders GROUP BY 1
-          HAVING count_if(o_orderkey % 1500 = 1) = 0""",
+          HAVING count(*) FILTER (WHERE o_orderkey % 1500 = 1) = 0""",
         "step_once": """
           SELECT o_orderpriority, count(*) AS n, true AS first_ran, false AS second_ran FROM orders
           WHERE o_orderstatus <> ';' GROUP BY o_orderpriority""",
@@ -429,21 +429,21 @@ def oracles() -> dict[str, str]:
             {row_hash('events', 'event_id::VARCHAR', 'value')} AS v FROM events)
           SELECT event_id, left(e, 16) AS event_type, {digits('v', 9)} AS value FROM b""",
         "state_counts": f"""
-          WITH {BACKUPS} SELECT cluster, count_if(state = 'Succeeded') AS succeeded, count_if(state = 'Failed') AS failed,
-            count_if(state = 'Running') AS running, count_if(state = 'Starting') AS starting FROM backups GROUP BY cluster""",
+          WITH {BACKUPS} SELECT cluster, count(*) FILTER (WHERE state = 'Succeeded') AS succeeded, count(*) FILTER (WHERE state = 'Failed') AS failed,
+            count(*) FILTER (WHERE state = 'Running') AS running, count(*) FILTER (WHERE state = 'Starting') AS starting FROM backups GROUP BY cluster""",
         "candidate_filter": f"""
           WITH {BACKUPS} SELECT cluster, name, state, storage FROM backups WHERE storage IN ('s0', 's3')
             AND (state <> 'Succeeded' OR starts_with(destination, 's3://'))""",
         "latest_succeeded": f"""
           WITH {BACKUPS}, {_selected('backups')},
-          counted AS (SELECT cluster, count_if(state = 'Succeeded') AS succeeded,
-            count_if(state = 'Succeeded' AND completed_at IS NULL) AS missing_completion FROM backups GROUP BY cluster)
+          counted AS (SELECT cluster, count(*) FILTER (WHERE state = 'Succeeded') AS succeeded,
+            count(*) FILTER (WHERE state = 'Succeeded' AND completed_at IS NULL) AS missing_completion FROM backups GROUP BY cluster)
           SELECT cluster, selected, selected_created_at, selected_completed_at, selected_destination, succeeded,
             missing_completion FROM counted LEFT JOIN picked USING (cluster)""",
         "selection_reason": f"""
           WITH {BACKUPS}, usable AS (SELECT * FROM backups WHERE state <> 'Succeeded' OR starts_with(destination, 's3://')),
           {_selected('usable')},
-          facts AS (SELECT cluster, selected, count_if(state = 'Failed') AS failed,
+          facts AS (SELECT cluster, selected, count(*) FILTER (WHERE state = 'Failed') AS failed,
             arg_min(name, (-epoch_us(created_at), name)) FILTER (state IN ('Running', 'Starting')) AS busy
             FROM picked JOIN backups b USING (cluster) WHERE b.created_at > selected_created_at GROUP BY ALL)
           SELECT p.cluster, p.selected,
@@ -457,8 +457,8 @@ def oracles() -> dict[str, str]:
           WITH {BACKUPS}, hours AS (SELECT strftime(created_at, '%Y-%m-%d %H') AS hour, * FROM backups),
           current AS (SELECT hour, CASE WHEN right(hour, 1) = '1' THEN 'gone-' || min(name)
             WHEN right(hour, 1) = '2' THEN min(name) END AS current,
-            count_if(state = 'Succeeded' AND starts_with(destination, 's3://') AND completed_at IS NOT NULL) AS good,
-            count_if(state = 'Succeeded' AND starts_with(destination, 's3://') AND completed_at IS NULL) AS missing
+            count(*) FILTER (WHERE state = 'Succeeded' AND starts_with(destination, 's3://') AND completed_at IS NOT NULL) AS good,
+            count(*) FILTER (WHERE state = 'Succeeded' AND starts_with(destination, 's3://') AND completed_at IS NULL) AS missing
             FROM hours GROUP BY hour)
           SELECT hour, CASE WHEN starts_with(current, 'gone-') THEN 'Dangling' ELSE 'NoCandidate' END AS phase,
             CASE WHEN starts_with(current, 'gone-') THEN 'SelectedBackupDeleted' ELSE 'NoSucceededBackup' END AS reason,
@@ -484,7 +484,7 @@ def oracles() -> dict[str, str]:
           QUALIFY row_number() OVER (PARTITION BY schedule, phase ORDER BY coalesce(completed_at, created_at) DESC, name DESC)
             > CASE phase WHEN 'Completed' THEN 3 ELSE 1 END""",
         "run_status_rollup": f"""
-          WITH {RUNS} SELECT schedule, count_if(NOT settled) AS active_count, arg_max(name, (created_at, name)) AS last_run,
+          WITH {RUNS} SELECT schedule, count(*) FILTER (WHERE NOT settled) AS active_count, arg_max(name, (created_at, name)) AS last_run,
             arg_max(phase, (created_at, name)) AS last_phase,
             max(CASE WHEN phase = 'Completed' THEN completed_at END) AS last_success FROM runs GROUP BY schedule""",
         "active_runs": f"WITH {RUNS} SELECT schedule, name FROM runs WHERE NOT settled",
