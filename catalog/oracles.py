@@ -413,6 +413,8 @@ def oracles() -> dict[str, str]:
           SELECT 'before' AS side, 'customer' AS table_name, count(*) AS n FROM customer
           UNION ALL SELECT 'after', 'customer', count(*) FROM customer
           UNION ALL SELECT 'before', 'supplier', count(*) FROM supplier UNION ALL SELECT 'after', 'supplier', 0""",
+        "write_table": _RESUMED,
+        "null_array": "SELECT vec_id, label, NULL::INTEGER AS n_values FROM embeddings",
         "chunk_resume": _RESUMED,
         "chunk_resume_files": _RESUMED,
         "skip_done_chunks": """

@@ -16,7 +16,7 @@ from veilwright.plans.progress import Manifest, ProgressKey
 from veilwright.plans.rules import compile_rule
 from veilwright.plans.runner import run_totals as totals_of_run
 from veilwright.plans.steps import run_step
-from veilwright.sources import documents, fixtures
+from veilwright.sources import dataset, documents, fixtures
 from veilwright.sources.dataset import spread
 from veilwright.sources.scratch import scratch_path, written
 from veilwright.streaming.apply_stream import apply_policy_stream, start_to_files
@@ -346,7 +346,7 @@ def preflight(spark, sf_dir):
             "conversations": ["conv_id", "turn"], "events": ["event_id"], "embeddings": ["vec_id"]}
     overlays = {t: {"primaryKey": k, "columns": {n: {"nullable": False} for n in k}} for t, k in keys.items()}
     overlays["customer"]["columns"] |= {"c_name": {"length": 30}, "c_mktsegment": {"nullable": False}}
-    dataset = Tables({"demo": tables}, {"demo": overlays})
+    source = Tables({"demo": tables}, {"demo": overlays})
     wide = {"strategy": "hash"}
     cases = {
         "key_with_duplicates": ("lineitem", {"name": "l_returnflag", **wide}),
@@ -368,7 +368,7 @@ def preflight(spark, sf_dir):
     rows = []
     for case, (table, column) in cases.items():
         policy = {"databases": [{"namePattern": "de.o", "tables": [{"name": table, "columns": [column]}]}]}
-        report = Run(spark, policy, dataset, _options(spark, "preflight", dry_run=True)).execute()
+        report = Run(spark, policy, source, _options(spark, "preflight", dry_run=True)).execute()
         rows.append((case, report.failure_class or report.result, report.exit_code()))
     return spark.createDataFrame(rows, "policy string, outcome string, exit_code int")
 
@@ -444,11 +444,11 @@ def _options(spark, label, **extra):
 @query
 def dry_run(spark, sf_dir):
     """A dry run checks everything and writes nothing: the tables' checksums do not move."""
-    dataset = _dataset(spark, sf_dir)
+    source = _dataset(spark, sf_dir)
     columns = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-    before = written(checks.table_checksum(dataset.table("demo", "customer"), columns), "checksum")
-    report = Run(spark, _policy(), dataset, _options(spark, "dry-run", dry_run=True)).execute()
-    after = checks.table_checksum(dataset.table("demo", "customer"), columns)
+    before = written(checks.table_checksum(source.table("demo", "customer"), columns), "checksum")
+    report = Run(spark, _policy(), source, _options(spark, "dry-run", dry_run=True)).execute()
+    after = checks.table_checksum(source.table("demo", "customer"), columns)
     same = before.select(F.col("checksum").alias("was")).crossJoin(after)
     return same.select(
         F.lit(report.result).alias("result"), F.lit(report.tablesTotal).alias("tables_total"),
@@ -472,13 +472,13 @@ def run_totals(spark, sf_dir):
 @query
 def truncate_table(spark, sf_dir):
     """Row counts of the run's outputs beside those of its inputs."""
-    dataset = _dataset(spark, sf_dir)
-    run = Run(spark, _policy(), dataset, _options(spark, "truncate"))
+    source = _dataset(spark, sf_dir)
+    run = Run(spark, _policy(), source, _options(spark, "truncate"))
     run.execute()
     counted = [
         frame.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), F.lit(table).alias("table_name"), "n")
         for table in ("customer", "supplier")
-        for side, frame in (("before", dataset.table("demo", table)), ("after", run.result("demo", table)))
+        for side, frame in (("before", source.table("demo", table)), ("after", run.result("demo", table)))
     ]
     made = counted[0]
     for frame in counted[1:]:
@@ -500,6 +500,23 @@ def _resumed(spark, sf_dir, label, chunks, key):
     return resume.committed(manifest, identity).select(*df.columns)
 
 
+@query
+def write_table(spark, sf_dir):
+    """The rewritten orders written to a new place and read back."""
+    df = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    path = scratch_path(spark, "written")
+    dataset.write_table(rewritten(df, plan_for(df, "orders", ORDERS_RULES, ["o_orderkey"]), KEYRING), path)
+    return spark.read.parquet(path)
+
+
+@query
+def null_array(spark, sf_dir):
+    """NULL fits columns that no other strategy can write."""
+    df = load(spark, sf_dir, "embeddings")
+    out = rewritten(df, plan_for(df, "embeddings", [{"name": "embedding", "strategy": "null"}], ["vec_id"]), KEYRING)
+    return out.select("vec_id", "label", F.size("embedding").alias("n_values"))
+
+
 @query
 def chunk_resume(spark, sf_dir):
     return _resumed(spark, sf_dir, "by-key", lambda df: resume.key_chunks(df, "o_orderkey", 4), "o_orderkey")

@@ -326,3 +326,22 @@ def test_null_fits_every_column_type(spark):
     out = transform(df, plan, keyring)
     assert tuple(out.first()) == (1, None, None, None, None)
     assert [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+
+
+def test_links_count_no_null_keys(spark):
+    child = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (None, "c")], "k int, v string")
+    parent = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (None, "c")], "id int, name string")
+    row = checks.link_preserved(child, parent, [("k", "id"), ("v", "name")]).first()
+    assert (row["child_rows"], row["linked_rows"]) == (5, 2)
+
+
+def test_spread_deals_out_few_files_only(spark, tmp_path):
+    from veilwright.sources.dataset import spread
+
+    path = str(tmp_path / "one")
+    spark.range(300000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert spread(one).rdd.getNumPartitions() == 8 and spread(one).count() == 300000
+    assert spread(one, min_bytes=1 << 40) is one
+    made = people(spark)
+    assert spread(made) is made

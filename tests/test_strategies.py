@@ -279,3 +279,17 @@ def test_consistent_payload_excludes_table_and_params(spark, keyring):
     h = keyed_digest(keyring, consistent_payload("phone", F.lit("abc")))
     assert spark.range(1).select(h).first()[0] == scalar.digest(keyring, "phone", "abc").hex()
     assert len(digest_words(F.lit("0" * 64))) == 4
+
+
+def test_random_moduli_match_big_integers(spark, keyring):
+    import random
+
+    from veilwright.functions.digest import fits_long
+
+    draw = random.Random(7)
+    moduli = [draw.randrange(1, 2 ** draw.randrange(1, 63)) << draw.choice((0, 0, 1, 5, 20)) for _ in range(40)]
+    df = spark.range(50).select(keyed_digest(keyring, F.col("id").cast("string").cast("binary")).alias("h"))
+    rows = df.select("h", *[digest_mod(F.col("h"), m).cast("decimal(38,0)").alias(f"m{i}") for i, m in enumerate(moduli)])
+    for row in rows.collect():
+        assert all(int(row[f"m{i}"]) == int(row["h"], 16) % m for i, m in enumerate(moduli))
+    assert any(fits_long(m) for m in moduli)

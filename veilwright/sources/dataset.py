@@ -197,8 +197,9 @@ def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
+    # Counted on the JVM side: a large table's file list does not travel to Python.
+    files = df._jdf.inputFiles()
+    if not len(files) or len(files) >= cores:
         return df
     total = 0
     for name in files:
