@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, packing, quality_rules, toxicity
+from . import compression_quality, packing, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,12 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op5_simhash_golay(spark, sf_dir):
+    near = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
