@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, packing, quality_rules, simhash, toxicity
+from . import compression_quality, packing, quality_rules, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,33 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    out = substrings.dedup_substrings(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_sub_n_words").alias("n_words"), F.col("_sub_n_removed").alias("n_removed"),
+                      F.sha2("_sub_kept", 256).alias("kept_sha256"))
+
+
+# Windows as lists of 50 words; the first document of each decides.
+ORACLES["op2_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+w AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS win
+  FROM d, unnest(CASE WHEN len(words) >= 50 THEN range(1, len(words) - 48) ELSE [] END) AS t(i)),
+first_doc AS (SELECT win, min(doc_id) AS low FROM w GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS place
+  FROM w JOIN first_doc USING (win), unnest(range(0, 50)) AS s(k) WHERE low < doc_id),
+per_doc AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words
+    ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
 @query
 def op5_simhash_golay(spark, sf_dir):
     near = simhash.near_duplicates(load(spark, sf_dir, "documents"))
