@@ -1,17 +1,55 @@
-"""The corpus pipeline: five operators, one after the other, over whole tables."""
+"""The corpus pipeline: five operators, one after the other, over whole tables.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of documents; the
+last one returns the packed pieces. Null and empty texts fail the quality rules; the operators' docstrings say what they
+make of nulls, repeated rows and further columns.
+"""
 
 from __future__ import annotations
 
-from veilwright.llm import packing, quality_rules, queries
+from veilwright.llm import compression_quality, packing, quality_rules, queries, simhash, substrings
+from veilwright.sources.scratch import written
+
+
+def quality_rules_stage(spark, docs, sf_dir):
+    """Documents that the rules' posterior (or a base rule) rejects go."""
+    return quality_rules.keep_good(docs)
+
+
+def quality_classifier_stage(spark, docs, sf_dir):
+    """Documents that score below the threshold go; the labels of the remaining documents train the classifier."""
+    return compression_quality.keep_good(docs, queries.load(spark, sf_dir, "labels"))
+
+
+def near_duplicates_stage(spark, docs, sf_dir):
+    """The document with the smallest doc_id of each group of near-duplicates stays."""
+    return simhash.keep_first(docs, shingle=3, bits=2)
+
+
+def substring_stage(spark, docs, sf_dir):
+    """Words of long passages that an earlier document has too are cut out; all documents stay."""
+    return substrings.rewrite(docs)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Pieces of the documents, in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, queries.public_tokenizer("word_bpe_49k.json"))
+
 
-STAGES = []
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("simhash_near_dedup", near_duplicates_stage),
+    ("substring_dedup", substring_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-#: No SQL twin: tokenizers and fitted models are beyond SQL.
+#: No SQL twin: the tokenizer and the fitted models are beyond SQL. tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = queries.load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

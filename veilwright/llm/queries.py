@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, packing, quality_rules, simhash, substrings, toxicity
+from veilwright.sources.scratch import scratch_path
+
+from . import (
+    chat,
+    compression_quality,
+    packing,
+    quality_rules,
+    sentencepieces,
+    simhash,
+    substrings,
+    topk,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +41,15 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_sentencepiece(spark, sf_dir):
+    """Number and CRC-32 of the ids of every text, and the SHA-256 of the text decoded from them."""
+    model = public_tokenizer("piece_bpe_32k.model")
+    decoded = sentencepieces.decode(sentencepieces.encode(load(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                          F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query
 def op2_substring_dedup(spark, sf_dir):
     out = substrings.dedup_substrings(load(spark, sf_dir, "documents"))
@@ -55,12 +77,80 @@ FROM d LEFT JOIN per_doc USING (doc_id)
 """
 
 
+@query
+def op3_warc_revisits(spark, sf_dir):
+    archive = scratch_path(spark, "warc")
+    warc.write_archive(warc.page_records(load(spark, sf_dir, "pages")), archive)
+    return warc.page_results(warc.read_archive(spark, archive))
+
+
+# Base 32: five hexadecimal digits are four letters.
+ORACLES["op3_warc_revisits"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hash FROM pages),
+f AS (SELECT hash, min(page_id) AS low FROM p GROUP BY hash)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(p.hash, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> low THEN low END AS refers_to
+FROM p JOIN f ON p.hash = f.hash
+"""
+
+
+@query
+def op4_maxscore(spark, sf_dir):
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op4_maxscore"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 @query
 def op5_simhash_golay(spark, sf_dir):
     near = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op6_chat_snapshots(spark, sf_dir):
+    """Every rendered turn of the conversations that no longer one begins with."""
+    return chat.rendered_turns(load(spark, sf_dir, "conversations"))
+
+
+ORACLES["op6_chat_snapshots"] = """
+WITH t AS (
+  SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS BIGINT) AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations),
+c AS (
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+    list(md5(CAST(length(role) AS VARCHAR) || ':' || role || text) ORDER BY place) AS turns
+  FROM t GROUP BY conv_id),
+alike AS (SELECT turns, n_turns, min(conv_id) AS conv_id FROM c GROUP BY ALL),
+begun AS (
+  SELECT DISTINCT turns[1:k] AS turns FROM c, unnest(range(1, n_turns)) AS u(k)),
+kept AS (SELECT conv_id, n_turns FROM alike WHERE turns NOT IN (SELECT turns FROM begun))
+SELECT t.conv_id, place, n_turns,
+  '<|im_start|>' || replace(replace(role, '<|im_start|>', '<|im_start_|>'), '<|im_end|>', '<|im_end_|>') || chr(10)
+    || replace(replace(text, '<|im_start|>', '<|im_start_|>'), '<|im_end|>', '<|im_end_|>') || '<|im_end|>' || chr(10) AS rendered
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id
+"""
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
