@@ -12,8 +12,10 @@ packed as often as they occur. An empty table gives an empty result. Further col
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 
 from veilwright.sources.scratch import written
 
+from .batches import bounded
+
 #: Words that a worker remembers: two generations of so many each, which bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Bytes of text tokenized at a time (a longer text stands alone).
+CHUNK = 1 << 20
 #: Pieces of one packing group.
 GROUP = 20_000
 
@@ -31,9 +37,10 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids of a text, word by word: white space always parts this tokenizer's tokens, so words may be remembered.
+    """Ids of texts, word by word: white space always parts this tokenizer's tokens, so words may be remembered.
 
-    Holds for tokenizers that drop white space and split at it; `ids` is the little-endian unsigned 32-bit sequence.
+    Holds for byte-level tokenizers that drop white space, split between letters and marks and ignore case. Ids are
+    little-endian unsigned 32-bit sequences.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,31 +50,70 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
+        self._marks = {mark: self._encode(bytes([mark])) for mark in b".,"}
 
-    def ids(self, text: bytes) -> bytes:
-        # Lower-casing ASCII text first changes nothing but spares work; special tokens are told apart by case.
-        words = (text.lower() if text.isascii() and b"<|" not in text else text).split()
-        known = self._young
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        missing, old = [], self._old
-        for w in set(words).difference(known):
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [lowered(t).split() for t in texts]
+        known, old = self._young, self._old
+        for w in set(chain.from_iterable(split)).difference(known):
             if w in old:
                 known[w] = old[w]
+                continue
+            # A full stop or comma after a letter is a token of its own, so the word before it may be known by itself.
+            bare = w[:-1]
+            if w[-1] in self._marks and bare.decode("utf-8", "replace").isalpha():
+                if bare not in known:
+                    known[bare] = old[bare] if bare in old else self._encode(bare)
+                known[w] = known[bare] + self._marks[w[-1]]
             else:
-                missing.append(w)
-        encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        for w, e in zip(missing, encoded, strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([known[w] for w in words])
+                known[w] = self._encode(w)
+        out = [b"".join([known[w] for w in words]) for words in split]
         if len(known) > REMEMBERED:
             self._old, self._young = known, {}
         return out
 
+    def _encode(self, word: bytes) -> bytes:
+        """Words of lower-case Latin-1 letters need no preparation and go straight to the model."""
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and text.islower() and max(text) < "\u0100":
+            tokens = self._model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
+            return array("I", [t.id for t in tokens]).tobytes()
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable Latin-1 as itself, the others as letters from U+0100 on."""
+    printable = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
+    others = [c for c in range(256) if c not in set(printable)]
+    return {c: chr(c) for c in printable} | {c: chr(256 + k) for k, c in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def lowered(text: bytes) -> bytes:
+    """`text` in lower case where that cannot change its tokens: Latin-1 letters have no other forms to compose.
+
+    The tokenizer lower-cases by itself, but more words are known if they come in one case. Special tokens, which are
+    matched before that, are left alone.
+    """
+    if b"<|" in text:
+        return text
+    if text.isascii():
+        return text.lower()
+    try:
+        return text.decode().encode("latin-1").decode("latin-1").lower().encode()
+    except UnicodeError:
+        return text
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
@@ -81,17 +127,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, width = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode.ids(text.as_py() or b"") + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at:at + width]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:6 if with_ids else 5]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)],
-                                             names=names[:len(kinds)])
+            doc_ids, texts = batch.column(0).to_pylist(), [t.as_py() or b"" for t in batch.column(1)]
+            for part in bounded(texts, CHUNK):
+                rows: list[tuple] = []
+                for i, ids in zip(part, encode.ids([texts[i] for i in part]), strict=True):
+                    whole = ids + end
+                    for k, at in enumerate(range(0, len(whole), width)):
+                        piece = whole[at:at + width]
+                        rows.append((doc_ids[i], k, at // 4, len(piece) // 4, zlib.crc32(piece), piece))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:6 if with_ids else 5]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)],
+                                                 names=names[:len(kinds)])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return narrow.mapInArrow(pieces, _PIECES + (", ids binary" if with_ids else ""))
