@@ -17,8 +17,12 @@ def quality_rules_stage(spark, docs, sf_dir):
 
 
 def quality_classifier_stage(spark, docs, sf_dir):
-    """Documents that score below the threshold go; the labels of the remaining documents train the classifier."""
-    return compression_quality.keep_good(docs, queries.load(spark, sf_dir, "labels"))
+    """Documents that score below the threshold go.
+
+    The classifier is fitted on the labelled documents of the whole corpus: after the first stage few bad ones are left.
+    """
+    model = compression_quality.fit(queries.load(spark, sf_dir, "documents"), queries.load(spark, sf_dir, "labels"))
+    return compression_quality.keep_good(docs, model)
 
 
 def near_duplicates_stage(spark, docs, sf_dir):

@@ -157,9 +157,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` whose score reaches the threshold, with their own columns."""
-    model, columns = fit(docs, labels), docs.columns
+    columns = docs.columns
     marked = docs.withColumn("_text", F.col("text"))
     passed = tuple("_text" if c == "text" else c for c in columns)
     scored = score(marked, model, passed).where(F.col("score") >= threshold)

@@ -156,9 +156,9 @@ def posterior_odds(accuracies: Accuracies) -> Column:
 
 
 def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> Accuracies:
-    """The driver gets one row per vote pattern of the documents that pass the base rules."""
-    rows = voted.where(~base_failed()).groupBy("_votes").count().collect()
-    return expectation_maximisation(sorted((list(r["_votes"]), r["count"]) for r in rows), len(rules))
+    """The driver gets one row per vote pattern; documents that fail the base rules do not count."""
+    rows = voted.groupBy("_votes", base_failed().alias("failed")).count().collect()
+    return expectation_maximisation(sorted((list(r["_votes"]), r["count"]) for r in rows if not r["failed"]), len(rules))
 
 
 def judge(docs: DataFrame, passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -178,8 +178,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The verdict needs the fitted rates first, so texts are counted twice: once to fit and once to filter, which spares
     a shuffle of all texts.
     """
-    columns = docs.columns
     accuracies = fit(with_votes(text_counts(docs, ())))
-    judged = with_votes(text_counts(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])), ("_row",)))
-    kept = judged.where(~base_failed() & (posterior_odds(accuracies) >= 0))
-    return kept.select("_row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    good = ~base_failed() & (posterior_odds(accuracies) >= 0)
+    # The row number is not wanted for itself: Spark does not push a filter below a column that is not deterministic,
+    # and pushed down, this one would carry all the counting with it, several times over.
+    judged = with_votes(text_counts(whole, ("_row",))).select("_row", good.alias("_good"), F.monotonically_increasing_id().alias("_nr"))
+    return judged.where("_good and _nr >= 0").select("_row.*")
