@@ -159,8 +159,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` whose score reaches the threshold, with their own columns."""
-    columns = docs.columns
-    marked = docs.withColumn("_text", F.col("text"))
-    passed = tuple("_text" if c == "text" else c for c in columns)
-    scored = score(marked, model, passed).where(F.col("score") >= threshold)
-    return scored.select(*[F.col(f"`{p}`").alias(c) for p, c in zip(passed, columns, strict=True)])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return score(whole, model, ("_row",)).where(F.col("score") >= threshold).select("_row.*")

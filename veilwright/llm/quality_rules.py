@@ -62,8 +62,8 @@ def text_counts(docs: DataFrame, passed: tuple[str, ...] = ("doc_id",)) -> DataF
         F.size("_words").cast("long").alias("n_words"),
         F.when(F.size("_words") >= 3, F.slice(F.transform("_words", lambda w, i: F.xxhash64(
             w, F.get("_words", i + 1), F.get("_words", i + 2))), F.lit(1), F.size("_words") - 2)).alias("_windows"),
-        # Marks are all that is neither letter nor blank: a short rest on which the other counts are cheap.
-        F.regexp_replace("_text", r"[\p{L}\x20\x09-\x0D]+", "").alias("_marks"),
+        # Marks are neither letters, digits nor blanks: a short rest on which the other counts are cheap.
+        F.regexp_replace("_text", r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "").alias("_marks"),
         F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
     counted = windows.select(
