@@ -211,16 +211,19 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
-    """Empty underfull bins, the least filled first, by moves and swaps that raise the sum of squared fills."""
+    """Drain underfull bins, the least filled first, by moves and swaps that raise the sum of squared fills.
+
+    Ends when a pass changes nothing, or when no fewer bins could hold the items.
+    """
     fill = np.array([int(lengths[b].sum()) if b else 0 for b in bins], np.int64)
-    while True:
-        before = int((fill > 0).sum())
-        state = _Places(bins, lengths, fill, capacity)
+    fewest = -(-int(fill.sum()) // capacity)
+    state = _Places(bins, lengths, fill, capacity)
+    squares = -1
+    while int((fill > 0).sum()) > fewest and (now := int((fill * fill).sum())) > squares:
+        squares = now
         for b in np.argsort(fill, kind="stable").tolist():
             if 0 < fill[b] < capacity:
                 state.drain(b)
-        if int((fill > 0).sum()) == before:
-            return
 
 
 class _Places:

@@ -396,9 +396,9 @@ def page_records(pages: DataFrame, least: int = 0) -> DataFrame:
     each = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         payload.alias("payload"))
     hashed = each.select("*", F.sha1("payload").alias("hash"), F.octet_length("payload").cast("long").alias("n"))
-    first = hashed.where(F.col("n") >= least).groupBy("hash").agg(F.min("page_id").alias("first"), F.lit(True).alias("known"))
+    first = hashed.where(F.col("n") >= least).groupBy(F.col("hash").alias("known_hash")).agg(F.min("page_id").alias("first"), F.lit(True).alias("known"))
     # As a left join on the hash alone; short payloads find no partner.
-    joined = hashed.join(first, (hashed["hash"] == first["hash"]) & (hashed["n"] >= least), "left").drop(first["hash"])
+    joined = hashed.join(first, (F.col("hash") == F.col("known_hash")) & (F.col("n") >= least), "left")
     revisit = F.coalesce(F.col("known"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     return joined.select(
