@@ -278,6 +278,7 @@ _RESUMED = f"""SELECT o_orderkey, {digits('h', 6)} AS o_orderstatus,
 def oracles() -> dict[str, str]:
     conv = """conv_id::VARCHAR || ',' || turn::VARCHAR"""
     text_key = """'\\"' || to_base64(encode(c_name)) || '\\",' || c_custkey::VARCHAR"""
+    name_key = """'\\"' || to_base64(encode(c_name)) || '\\"'"""
     variant = """CASE WHEN doc_id % 3 = 0 THEN chr(32) || chr(8195) || chr(12288) || chr(9) || text || chr(10) || chr(160)
       WHEN doc_id % 3 = 1 THEN replace(text, 'e', 'e' || chr(769)) ELSE text END"""
     label = KEYRING.retry_label.hex()
@@ -393,7 +394,7 @@ def oracles() -> dict[str, str]:
           tries AS MATERIALIZED (SELECT rn, r, CASE WHEN r = 0 THEN h ELSE
               {hmac(f"(unhex('{label}') || unhex(h) || unhex(lpad(to_hex(r), 2, '0')))")} END AS h FROM b, range(8) AS t(r)),
           wide AS MATERIALIZED (SELECT rn, r, h, w, (10 ** w)::HUGEINT AS m FROM tries,
-            (SELECT length(count(*)::VARCHAR) + 1 AS w FROM customer)),
+            (SELECT 5 AS w)),
           options AS MATERIALIZED (SELECT rn, list(lpad(({mod('h', 'm')})::VARCHAR, w::INTEGER, '0') ORDER BY r) AS codes
             FROM wide GROUP BY rn),
           walk AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS taken, 0::BIGINT AS r, NULL::VARCHAR AS code
@@ -417,6 +418,25 @@ def oracles() -> dict[str, str]:
         "null_array": "SELECT vec_id, label, NULL::INTEGER AS n_values FROM embeddings",
         "chunk_resume": _RESUMED,
         "chunk_resume_files": _RESUMED,
+        "chunk_resume_text_key": f"""
+          WITH b AS (SELECT *, {row_hash('orders', name_key, 'c_mktsegment')} AS h FROM customer)
+          SELECT c_name, c_custkey, {digits('h', 9)} AS c_mktsegment FROM b""",
+        "chunk_resume_composite": f"""
+          WITH b AS (SELECT *, {consistent('hash', 'text')} AS t,
+            {row_hash('orders', "conv_id::VARCHAR || ',' || turn::VARCHAR", 'role')} AS r FROM conversations)
+          SELECT conv_id, turn, {digits('r', 4)} AS role, t AS text FROM b""",
+        "chunk_resume_partitioned": """
+          SELECT o_orderkey, year(o_orderdate)::INTEGER AS year,
+            left(o_orderpriority, 1) || repeat('*', greatest(length(o_orderpriority) - 1, 0)) AS o_orderpriority, 6 AS width
+          FROM orders""",
+        "keyless_run": """
+          SELECT l_orderkey, l_linenumber, repeat('*', length(l_returnflag)) AS l_returnflag, l_quantity FROM lineitem""",
+        "folder_of_orc": """
+          SELECT s_suppkey, left(s_name, 3) || repeat('*', greatest(length(s_name) - 3, 0)) AS s_name, s_nationkey, s_acctbal
+          FROM supplier""",
+        "progress_identity": """
+          SELECT t AS name, c::INTEGER AS chunk, 'range' AS rule, 1 AS commits, 1 AS plans, 1 AS hashes
+          FROM (VALUES ('customer'), ('orders')) AS x(t), range(3) AS y(c)""",
         "skip_done_chunks": """
           SELECT o_orderkey // 500 AS page, count(*) AS n FROM orders GROUP BY 1
           HAVING count(*) FILTER (WHERE o_orderkey % 1500 = 1) = 0""",
@@ -511,18 +531,20 @@ def oracles() -> dict[str, str]:
             kind = 11 OR (date_trunc('second', ts) >= TIMESTAMP '{NOW}' - INTERVAL 240 HOUR AND ts <= TIMESTAMP '{NOW}') AS accepted,
             CASE WHEN kind = 11 THEN 'LegacyPointerAgeUnknown' END AS warning FROM pointers WHERE valid""",
         "read_run_logs": f"""
-          WITH {LOG_ROWS}, tail AS (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no DESC) <= 50)
+          WITH {LOG_ROWS}, tail AS (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no DESC) <= 200)
           SELECT run, line_no, CASE kind WHEN 2 THEN 'ok' WHEN 3 THEN 'error' ELSE 'progress' END AS msg,
             CASE kind WHEN 2 THEN 'pre' WHEN 3 THEN 'post' ELSE '' END AS step,
             (CASE WHEN kind > 4 THEN done ELSE 0 END)::INTEGER AS tablesDone,
             CASE WHEN kind > 4 THEN rows_done ELSE 0 END AS rowsDone FROM tail WHERE kind NOT IN (0, 1, 4)""",
         "latest_progress": f"""
-          WITH {LOG_ROWS} SELECT run, done::INTEGER AS tablesDone, total::INTEGER AS tablesTotal, rows_done AS rowsDone,
-            steps::INTEGER AS stepsDone, 'demo.' || event_type AS currentTable FROM logs WHERE kind > 4 AND total >= done
+          WITH {LOG_ROWS}, tail AS (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no DESC) <= 200)
+          SELECT run, done::INTEGER AS tablesDone, total::INTEGER AS tablesTotal, rows_done AS rowsDone,
+            steps::INTEGER AS stepsDone, 'demo.' || event_type AS currentTable FROM tail WHERE kind > 4 AND total >= done
           QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no DESC) = 1""",
         "step_outcomes": f"""
-          WITH {LOG_ROWS} SELECT run, line_no, CASE kind WHEN 2 THEN 'runner pre step reported ok'
-            ELSE 'runner post step reported error' END AS outcome FROM logs WHERE kind IN (2, 3)
+          WITH {LOG_ROWS}, tail AS (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no DESC) <= 200)
+          SELECT run, line_no, CASE kind WHEN 2 THEN 'runner pre step reported ok'
+            ELSE 'runner post step reported error' END AS outcome FROM tail WHERE kind IN (2, 3)
           QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no) <= 8""",
         "fixture_seed": f"{_fixture_user('(c_custkey + 1)')} FROM customer",
         "fixture_organisations": f"""

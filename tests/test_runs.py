@@ -14,7 +14,7 @@ from veilwright.plans.policy import decode
 from veilwright.plans.preflight import preflight
 from veilwright.plans.progress import Manifest, ProgressKey
 from veilwright.plans.report import Report
-from veilwright.plans.resume import committed, key_chunks, run_chunks
+from veilwright.plans.resume import committed, file_chunks, key_chunks, run_chunks
 from veilwright.plans.schema import ColumnInfo, known_value_error, violation
 from veilwright.plans.steps import execute, resolve_step, run_step
 from veilwright.sources.dataset import match_databases
@@ -186,25 +186,100 @@ def test_resume_neither_skips_nor_repeats(spark, tmp_path):
     )
     keyring = Keyring.derive(SEED, "sha256:" + "0" * 64, DAY)
     manifest, key = Manifest(spark, str(tmp_path / "p")), ProgressKey("r", "table", "demo", "composite", "sha256:" + "0" * 64)
-    made, starts = [], []
+    starts = []
 
     def rewrite(part):
+        if len(starts) in (2, 4):
+            starts.append(0)
+            raise OSError("the driver is lost")
         starts.append(1)
         return transform(part, plan, keyring, mark=True)
 
-    for stop in (2, 1, None, None):
-        made.append(run_chunks(df, rewrite, lambda: key_chunks(df, "sequence", 5), manifest, key, str(tmp_path / "o"), "sequence", stop))
-    assert made[-1] == 50 and len(starts) == 5
+    def once():
+        return run_chunks(df, rewrite, lambda: key_chunks(df, ("tenant", "sequence"), 5), manifest, key, str(tmp_path / "o"), ("tenant", "sequence"))
+
+    for _ in range(2):
+        with pytest.raises(OSError):
+            once()
+        with pytest.raises(PolicyError):
+            committed(manifest, key)
+    assert once() == once() == 50 and sum(starts) == 5
     # What a lost run left behind is not read.
     df.write.parquet(str(tmp_path / "o" / "chunk=99"))
-    got = committed(manifest, key).select("sequence", "value")
+    got = committed(Manifest(spark, str(tmp_path / "p")), key).select("sequence", "value")
     want = transform(df, plan, keyring).select("sequence", "value")
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_key_chunks_need_ordered_keys(spark):
+@pytest.mark.parametrize("column,rule", [
+    ("a", "range"), ("t", "range"), ("n", "range"), ("d", "range"), ("f", "range"), ("s", "hash"), ("b", "hash"), ("a,s", "hash")])
+def test_key_chunks_cover_every_row_once(spark, column, rule):
+    df = spark.range(101).selectExpr(
+        "if(id % 10 = 3, null, id) a", "timestamp_seconds(id * 977) t", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, id) n",
+        "date_add(date '2024-01-01', cast(id as int)) d", "id / 7.0D f", "string(id) s", "cast(string(id) as binary) b", "id")
+    key = tuple(column.split(","))
+    chunks = key_chunks(df, key, 4)
+    assert {c.rule for c in chunks} == {rule} and len(chunks) == 4
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")  # bounds hold in any zone
+    try:
+        seen = sorted(r["id"] for c in chunks for r in c.rows(df, key).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen == list(range(101))
+    assert [c.rule for c in key_chunks(df, key, 1)] == ["all"]
+
+
+def test_file_groups_keep_partitions_and_open_their_files_only(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(100).selectExpr("id", "id % 5 day").repartition(8).write.partitionBy("day").parquet(path)
+    df = spark.read.parquet(path)
+    chunks = file_chunks(df, 3)
+    parts = [sorted(tuple(r) for r in c.rows(df).collect()) for c in chunks]
+    assert sorted(sum(parts, [])) == [(i, i % 5) for i in range(100)]
+    files = [{r[0] for r in c.rows(df).select("_metadata.file_path").distinct().collect()} for c in chunks]
+    assert sum(map(len, files)) == len(set.union(*files)) and all(files)
+    assert [c.rule for c in file_chunks(people(spark), 3)] == ["all"]
+
+
+def test_unverified_keys_must_be_declared_complete(spark):
+    check(spark, policy(), KEY, verify_keys=False)
     with pytest.raises(SchemaError):
-        key_chunks(people(spark), "payload", 3)
+        check(spark, policy(), {"primaryKey": ["id"]}, verify_keys=False)
+
+
+def test_a_lost_chunk_is_an_error_and_the_next_run_completes(spark, tmp_path, monkeypatch):
+    import veilwright.plans.resume as resume
+
+    df = spark.range(60).selectExpr("id", "string(id) payload")
+    spec = policy([{"name": "payload", "strategy": "hash"}])
+    real, calls = resume.write_checked, []
+
+    def failing(marked, path):
+        calls.append(path)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return real(marked, path)
+
+    def run():
+        made = Run(spark, spec, Tables({"demo": {"people": df}}, {"demo": {"people": KEY}}), options(tmp_path, "lost", chunks=5))
+        return made, made.execute()
+
+    monkeypatch.setattr(resume, "write_checked", failing)
+    first, report = run()
+    assert report.result == "error" and report.tablesDone == 0
+    with pytest.raises(PolicyError):
+        first.result("demo", "people")
+    second, report = run()
+    assert report.result == "ok" and report.rowsDone == 60 and len(calls) == 6
+    assert second.result("demo", "people").count() == second.result("demo", "people").distinct().count() == 60
+
+
+def test_steps_see_their_own_database_only(spark, tmp_path):
+    source = Tables({"one": {"only_here": people(spark)}, "two": {"other": people(spark)}})
+    source.enter(spark, "one")
+    assert spark.catalog.tableExists("only_here")
+    source.leave(spark, "one")
+    assert not spark.catalog.tableExists("only_here")
 
 
 def test_steps_run_once_and_refuse_uncertainty(spark, tmp_path):
@@ -333,15 +408,3 @@ def test_links_count_no_null_keys(spark):
     parent = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (None, "c")], "id int, name string")
     row = checks.link_preserved(child, parent, [("k", "id"), ("v", "name")]).first()
     assert (row["child_rows"], row["linked_rows"]) == (5, 2)
-
-
-def test_spread_deals_out_few_files_only(spark, tmp_path):
-    from veilwright.sources.dataset import spread
-
-    path = str(tmp_path / "one")
-    spark.range(300000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(path)
-    one = spark.read.parquet(path)
-    assert spread(one).rdd.getNumPartitions() == 8 and spread(one).count() == 300000
-    assert spread(one, min_bytes=1 << 40) is one
-    made = people(spark)
-    assert spread(made) is made

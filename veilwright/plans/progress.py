@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import PolicyError
 
 SCHEMA = (
-    "run_uid string, kind string, db string, name string, chunk int, lower string, upper string, "
+    "run_uid string, kind string, db string, name string, chunk int, rule string, parts int, lower string, upper string, "
     "rows_done bigint, done boolean, policy_hash string, path string, updated_at timestamp"
 )
 
@@ -38,6 +38,7 @@ class ProgressKey:
 class Manifest:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self._path = spark, path.rstrip("/")
+        self._known: dict[str, list[Row]] = {}
 
     def _exists(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path)
@@ -49,13 +50,13 @@ class Manifest:
         return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self._path)
 
     def entries(self, key: ProgressKey) -> list[Row]:
-        """Rows of one table or step: at most two per chunk. A different policy hash is refused."""
-        mine = self.rows().where(
-            (F.col("run_uid") == key.run_uid)
-            & (F.col("kind") == key.kind)
-            & (F.col("db") == key.db)
-            & (F.col("name") == key.name)
-        ).collect()
+        """Rows of one table or step: at most two per chunk. A different policy hash is refused.
+
+        A run's rows are read once; what this object appends is remembered.
+        """
+        if key.run_uid not in self._known:
+            self._known[key.run_uid] = self.rows().where(F.col("run_uid") == key.run_uid).collect()
+        mine = [row for row in self._known[key.run_uid] if (row["kind"], row["db"], row["name"]) == (key.kind, key.db, key.name)]
         if any(row["policy_hash"] != key.policy_hash for row in mine):
             raise PolicyError("recorded progress belongs to another policy hash")
         return mine
@@ -69,8 +70,8 @@ class Manifest:
         rows = []
         for entry in entries:
             row = {
-                "run_uid": key.run_uid, "kind": key.kind, "db": key.db, "name": key.name, "chunk": 0, "lower": None,
-                "upper": None, "rows_done": 0, "done": True, "policy_hash": key.policy_hash, "path": None,
+                "run_uid": key.run_uid, "kind": key.kind, "db": key.db, "name": key.name, "chunk": 0, "rule": None, "parts": None,
+                "lower": None, "upper": None, "rows_done": 0, "done": True, "policy_hash": key.policy_hash, "path": None,
                 "updated_at": now, **entry,
             }
             if row["rows_done"] < 0:
@@ -78,3 +79,6 @@ class Manifest:
             rows.append(tuple(row.values()))
         frame = self.spark.createDataFrame(rows, SCHEMA).coalesce(1)
         frame.write.parquet(f"{self._path}/entry-{uuid.uuid4().hex}")
+        if key.run_uid in self._known:
+            names = frame.columns
+            self._known[key.run_uid] = [*self._known[key.run_uid], *(Row(**dict(zip(names, row))) for row in rows)]

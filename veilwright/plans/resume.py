@@ -1,8 +1,9 @@
 """Chunked, resumable rewriting of one table.
 
-A chunk is either a range of the key or a group of input files. Ranges suit tables whose
-files are clustered by key, since parquet statistics then keep each chunk to its own
-files; file groups suit every other table, since no file is read twice.
+A chunk is one of three things. Ranges suit a single ordered key whose files are clustered by it, since statistics then
+keep each chunk to its own files. Parts by the key's hash suit every other key: text, binary or composite, with hot
+leading values. Groups of files, by the hash of their paths, suit any stored table: no file is read twice, partition
+columns and formats stay as they are, and no file list passes through the driver.
 """
 
 from __future__ import annotations
@@ -10,59 +11,76 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import PolicyError, SchemaError
 from ..operators.apply import TOUCHED, VIOLATIONS, quote_identifier
 from .progress import Manifest, ProgressKey
 
 _BOUNDARY_ACCURACY = 10000
+_ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass(frozen=True)
 class Chunk:
+    """`rule` is all, range (lower < key <= upper), hash (of the key) or files (hash of a row's file)."""
+
     index: int
+    rule: str = "all"
+    parts: int = 1
     lower: str | None = None
     upper: str | None = None
-    files: tuple[str, ...] = ()
-
-    def rows(self, df: DataFrame, key: str | None, read: Callable[..., DataFrame] | None = None) -> DataFrame:
-        if self.files:
-            return read(self.files) if read else df.sparkSession.read.schema(df.schema).parquet(*self.files)
-        condition = F.lit(True)
-        if key is not None:
-            kind = df.schema[key].dataType
-            column = F.col(quote_identifier(key))
-            if self.lower is not None:
-                condition = condition & (column > F.lit(self.lower).cast(kind))
-            if self.upper is not None:
-                condition = condition & (column <= F.lit(self.upper).cast(kind))
-        return df.where(condition)
-
-
-def key_chunks(df: DataFrame, key: str, count: int) -> list[Chunk]:
-    """`count` ranges of about equal row counts over the leading key column."""
-    column = F.col(quote_identifier(key))
-    kind = df.schema[key].dataType
-    if kind.typeName() in ("string", "binary"):
-        raise SchemaError("key ranges need a numeric or temporal leading key; use file groups")
-    cuts: list[str] = []
-    if count > 1:
-        shares = F.array(*[F.lit(i / count) for i in range(1, count)])
-        found = df.agg(
-            F.percentile_approx(column, shares, _BOUNDARY_ACCURACY).cast("array<string>").alias("cuts")
-        ).first()["cuts"]
-        cuts = list(dict.fromkeys(found or []))
-    edges = [None, *cuts, None]
-    return [Chunk(i, low, high) for i, (low, high) in enumerate(zip(edges, edges[1:]))]
+
+    def rows(self, df: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+        """The chunk's rows. Rows whose key is NULL belong to the first range."""
+        columns = [F.col(quote_identifier(name)) for name in key]
+        if self.rule == "hash":
+            return df.where(F.pmod(F.xxhash64(*columns), F.lit(self.parts)) == self.index)
+        if self.rule == "files":
+            # Spark tries a predicate over file metadata on the file list, so other files are not opened.
+            return df.where(F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(self.parts)) == self.index)
+        if self.rule == "range":
+            kind = df.schema[key[0]].dataType
+            above = F.lit(True) if self.lower is None else columns[0] > _bound(self.lower, kind)
+            below = F.lit(True) if self.upper is None else columns[0] <= _bound(self.upper, kind)
+            inside = above & below
+            return df.where(inside | columns[0].isNull() if self.lower is None else inside)
+        return df
+
+
+def _bound(text: str, kind: T.DataType) -> Column:
+    """A recorded bound, whatever the session's time zone: instants are kept as microseconds."""
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(int(text)))
+    return F.lit(text).cast(kind)
+
+
+def key_chunks(df: DataFrame, key: tuple[str, ...], count: int) -> list[Chunk]:
+    """Up to `count` chunks of about equal row counts over the key."""
+    if count <= 1:
+        return [Chunk(0)]
+    kind = df.schema[key[0]].dataType
+    if len(key) > 1 or not isinstance(kind, _ORDERED):
+        return [Chunk(i, "hash", count) for i in range(count)]
+    column = F.col(quote_identifier(key[0]))
+    if isinstance(kind, T.TimestampType):
+        column = F.unix_micros(column)
+    shares = F.array(*[F.lit(i / count) for i in range(1, count)])
+    found = df.agg(F.percentile_approx(column, shares, _BOUNDARY_ACCURACY).cast("array<string>").alias("cuts")).first()["cuts"]
+    edges = [None, *dict.fromkeys(found or []), None]
+    return [Chunk(i, "range", len(edges) - 1, low, high) for i, (low, high) in enumerate(zip(edges, edges[1:]))]
 
 
 def file_chunks(df: DataFrame, count: int) -> list[Chunk]:
-    """`count` groups of the table's files, the same ones on every run."""
-    files = sorted(df.inputFiles())
-    count = max(1, min(count, len(files)))
-    return [Chunk(i, files=tuple(files[i::count])) for i in range(count)]
+    """`count` groups of the table's files, or the whole table where rows come from no file."""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        count = 1
+    return [Chunk(0)] if count <= 1 else [Chunk(i, "files", count) for i in range(count)]
 
 
 def run_chunks(
@@ -72,45 +90,33 @@ def run_chunks(
     manifest: Manifest,
     progress_key: ProgressKey,
     output: str,
-    key: str | None = None,
-    stop_after: int | None = None,
-    read: Callable[..., DataFrame] | None = None,
+    key: tuple[str, ...] = (),
 ) -> int:
     """Rewrite every chunk not committed yet; return the rows selected over all chunks.
 
     `rewrite` returns the marked rows of `transform(..., mark=True)`. Counting and
-    checking happen in the pass that writes. Boundaries are fixed by the first run and
-    read back by later ones. `read` opens a group of files of a source that is not
-    parquet. `stop_after` ends the run early, as a lost driver would.
+    checking happen in the pass that writes. Chunks are fixed by the first run and read
+    back by later ones.
     """
     recorded = manifest.entries(progress_key)
-    known = {row["chunk"]: row for row in recorded if not row["done"]}
-    done = {row["chunk"]: row["rows_done"] for row in recorded if row["done"]}
-    if known:
-        plan = [_chunk_from_row(known[i]) for i in sorted(known)]
-    else:
+    plan = sorted((_chunk_of(row) for row in recorded if not row["done"]), key=lambda chunk: chunk.index)
+    if not plan:
         plan = chunks()
         manifest.append_all(progress_key, [
-            {"chunk": c.index, "lower": c.lower, "upper": c.upper, "done": False, "path": "\n".join(c.files) or None}
+            {"chunk": c.index, "rule": c.rule, "parts": c.parts, "lower": c.lower, "upper": c.upper, "done": False}
             for c in plan
         ])
-    ran = 0
+    done = {row["chunk"]: row["rows_done"] for row in recorded if row["done"]}
     for chunk in plan:
-        if chunk.index in done:
-            continue
-        if stop_after is not None and ran >= stop_after:
-            break
-        path = f"{output}/chunk={chunk.index}"
-        selected = write_checked(rewrite(chunk.rows(df, key, read)), path)
-        manifest.append(progress_key, chunk=chunk.index, rows_done=selected, path=path)
-        done[chunk.index] = selected
-        ran += 1
+        if chunk.index not in done:
+            path = f"{output}/chunk={chunk.index}"
+            done[chunk.index] = write_checked(rewrite(chunk.rows(df, key)), path)
+            manifest.append(progress_key, chunk=chunk.index, rows_done=done[chunk.index], path=path)
     return sum(done.values())
 
 
-def _chunk_from_row(row) -> Chunk:
-    files = tuple(row["path"].split("\n")) if row["path"] else ()
-    return Chunk(row["chunk"], row["lower"], row["upper"], files)
+def _chunk_of(row) -> Chunk:
+    return Chunk(row["chunk"], row["rule"], row["parts"], row["lower"], row["upper"])
 
 
 def write_checked(marked: DataFrame, path: str) -> int:
@@ -129,11 +135,13 @@ def write_checked(marked: DataFrame, path: str) -> int:
 
 
 def committed(manifest: Manifest, progress_key: ProgressKey) -> DataFrame:
-    """The rows of committed chunks only."""
-    done = [row["path"] for row in manifest.entries(progress_key) if row["done"]]
-    if not done:
-        raise PolicyError("no committed chunk")
-    return manifest.spark.read.parquet(*done)
+    """The rows of a finished table: every planned chunk must be committed."""
+    recorded = manifest.entries(progress_key)
+    done = {row["chunk"]: row["path"] for row in recorded if row["done"]}
+    missing = {row["chunk"] for row in recorded if not row["done"]} - set(done)
+    if missing or not done:
+        raise PolicyError(f"the table is not finished: {len(missing) or 'all'} chunks are missing")
+    return manifest.spark.read.parquet(*[done[index] for index in sorted(done)])
 
 
 def pending_chunks(planned: DataFrame, finished: DataFrame, key: list[str]) -> DataFrame:

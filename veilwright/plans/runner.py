@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import PolicyError, classify
 from ..functions.digest import DEFAULT_NAMESPACE, Keyring, fresh_seed
 from ..operators.unique import resolve_unique, transform_unique
-from ..sources.dataset import Dataset, spread, truncated
+from ..sources.dataset import Dataset, truncated
 from .policy import canonical_json, decode
 from .preflight import ExecutionPlan, PreflightOptions, TablePlan, preflight
 from .progress import Manifest, ProgressKey
@@ -44,7 +44,6 @@ class RunOptions:
     against_originals: bool = True
     namespace: str = DEFAULT_NAMESPACE
     progress: Callable[[dict], None] | None = None
-    stop_after: int | None = None
 
 
 class Run:
@@ -105,6 +104,7 @@ class Run:
                     self.spark, phase, database.policy.get(phase) or [], definitions, self.plan.steps,
                     self.manifest, identity,
                 )
+            self.dataset.leave(self.spark, database.name)
 
     def _tables(self, tables: list[TablePlan]) -> None:
         # Each table is one Spark job chain; the threads only wait for them.
@@ -126,14 +126,13 @@ class Run:
             transform = plan.transform
             # Found when the first open chunk asks, so a finished table costs no second resolution.
             retries = cache(lambda: resolve_unique(frame, transform, self.keyring, o.against_originals))
-            key = transform.primary_key[0].name if transform.primary_key else None
-            by_files = o.chunk_by == "files" or key is None
+            key = tuple(column.name for column in transform.primary_key)
+            by_files = o.chunk_by == "files" or not key
             rows = run_chunks(
                 frame,
-                lambda part: transform_unique(spread(part), transform, self.keyring, retries(), mark=True),
+                lambda part: transform_unique(part, transform, self.keyring, retries(), mark=True),
                 lambda: file_chunks(frame, o.chunks) if by_files else key_chunks(frame, key, o.chunks),
-                self.manifest, self._key(plan), output, key, o.stop_after,
-                lambda files: self.dataset.read_files(plan.database, plan.table, files),
+                self.manifest, self._key(plan), output, key,
             )
         with self._lock:
             self.report.tablesDone += 1

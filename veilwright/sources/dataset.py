@@ -27,11 +27,6 @@ class Dataset:
     def table(self, database: str, table: str) -> DataFrame:
         raise NotImplementedError
 
-    def read_files(self, database: str, table: str, files: tuple[str, ...]) -> DataFrame:
-        """The rows of some of a table's files."""
-        frame = self.table(database, table)
-        return frame.sparkSession.read.schema(frame.schema).parquet(*files)
-
     def overlay(self, database: str, table: str) -> dict:
         """Lengths, keys and other facts that the stored format does not keep."""
         return {}
@@ -39,6 +34,9 @@ class Dataset:
     def enter(self, spark: SparkSession, database: str) -> None:
         """Make the database's tables visible to SQL steps."""
 
+    def leave(self, spark: SparkSession, database: str) -> None:
+        """Undo `enter`: the next database's steps must not see this one's tables."""
+
 
 class Tables(Dataset):
     """DataFrames by database and table name."""
@@ -63,6 +61,10 @@ class Tables(Dataset):
         for name, frame in self._tables[database].items():
             frame.createOrReplaceTempView(name)
 
+    def leave(self, spark, database):
+        for name in self._tables[database]:
+            spark.catalog.dropTempView(name)
+
 
 class Folder(Dataset):
     """`root/<database>/<table>` folders or `<table>.parquet` files, in any format Spark reads."""
@@ -96,10 +98,6 @@ class Folder(Dataset):
     def table(self, database, table):
         return self._spark.read.format(self._format).options(**self._options).load(self._path(database, table))
 
-    def read_files(self, database, table, files):
-        schema = self.table(database, table).schema
-        return self._spark.read.format(self._format).options(**self._options).schema(schema).load(list(files))
-
     def overlay(self, database, table):
         return self._overlays.get(database, {}).get(table, {})
 
@@ -108,6 +106,10 @@ class Folder(Dataset):
             table = os.path.splitext(name)[0]
             self.table(database, table).createOrReplaceTempView(table)
 
+    def leave(self, spark, database):
+        for name in self._children(f"{self._root}/{database}"):
+            spark.catalog.dropTempView(os.path.splitext(name)[0])
+
 
 class Catalog(Dataset):
     """Databases and tables of the session catalog."""
@@ -189,27 +191,6 @@ def match_databases(rules: list[dict], names: list[str], reserved: tuple[str, ..
     return matched
 
 
-def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
-    """Deal rows out over the cores when a file source has fewer tasks than cores.
-
-    Hashing is CPU work, and a row group is the smallest unit that a scan can share out. A
-    source with as many files as cores, or a small one, comes back as it is: no shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    # Counted on the JVM side: a large table's file list does not travel to Python.
-    files = df._jdf.inputFiles()
-    if not len(files) or len(files) >= cores:
-        return df
-    total = 0
-    for name in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    if total < min_bytes or total >= cores * (128 << 20):
-        return df
-    return df.repartition(cores)
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write to a new place; a table is never overwritten while it is read."""
     df.write.format(fmt).mode("errorifexists").save(path)
