@@ -15,10 +15,10 @@ from veilwright.plans.preflight import preflight
 from veilwright.plans.progress import Manifest, ProgressKey
 from veilwright.plans.report import Report
 from veilwright.plans.resume import committed, file_chunks, key_chunks, run_chunks
-from veilwright.plans.schema import ColumnInfo, known_value_error, violation
+from veilwright.plans.schema import ColumnInfo, unfit, violation
 from veilwright.plans.steps import execute, resolve_step, run_step
 from veilwright.sources.dataset import match_databases
-from veilwright.sources.files import projected_path, read_bounded, read_seed
+from veilwright.sources.files import inside, read_bounded, read_seed
 
 SEED = b"s" * 32
 DAY = dt.date(2026, 1, 2)
@@ -83,6 +83,16 @@ def test_preflight_accepts(spark):
         check(spark, policy(), df=people(spark).withColumn("id", F.nullif("id", F.lit(2))))
 
 
+def test_all_findings_come_at_once(spark):
+    columns = [{"name": "absent", "strategy": "hash"}, {"name": "payload", "strategy": "email"}, {"name": "id", "strategy": "city"}]
+    spec = policy(columns, ignore={"where": "nope = 1"})
+    spec["databases"][0]["tables"].append({"name": "lost", "columns": [{"name": "x", "strategy": "hash"}]})
+    with pytest.raises(SchemaError) as failure:
+        check(spark, spec, {**KEY, "columns": {**KEY["columns"], "payload": {"length": 31}}})
+    for place in ("demo.people: ignore", "demo.people.absent", "demo.people.payload", "demo.people.id", "demo.lost"):
+        assert place in failure.value.message
+
+
 def test_database_patterns_cover_whole_names():
     names = ["app_1", "app_22", "xapp_1", "app_1\n"]
     matched = match_databases([{"namePattern": "app_[0-9]+"}], names)
@@ -108,7 +118,7 @@ def test_database_patterns_cover_whole_names():
 ])
 def test_values_that_fit_or_not(spark, kind, extra, text, good):
     info = ColumnInfo("v", kind, **extra)
-    assert (known_value_error(text, info) is None) == good
+    assert unfit(spark, [(text, info)]) == ([] if good else ["v"])
     assert spark.createDataFrame([(text,)], "t string").select(violation(F.col("t"), info)).first()[0] == (not good)
 
 
@@ -325,9 +335,10 @@ def test_constants_come_from_bounded_files(spark, tmp_path):
     run = Run(spark, policy([column]), dataset(spark), options(tmp_path, constants_dir=str(tmp_path / "c")))
     assert run.execute().result == "ok"
     assert {r["payload"] for r in run.result("demo", "people").collect()} == {"hidden", None}
-    for parts in (("..",), ("a/b",), ("",)):
+    for parts in (("..",), ("a/b",), ("",), ("a", ".."), ("/etc",), (".",), ("a", "../b")):
         with pytest.raises(PolicyError):
-            projected_path(str(tmp_path), *parts)
+            inside(str(tmp_path), *parts)
+    assert inside("file:///x", "a", "b.sql") == "file:///x/a/b.sql"
     (tmp_path / "big").write_bytes(b"x" * 11)
     with pytest.raises(PolicyError):
         read_bounded(str(tmp_path / "big"), 10)

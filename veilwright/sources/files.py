@@ -1,35 +1,37 @@
-"""Small bounded files read on the driver: policies, seeds, constants, SQL steps."""
+"""Small bounded files read on the driver: policies, seeds, constants, SQL steps. Local paths or any URI Arrow opens."""
 
 from __future__ import annotations
 
-import os
-import re
+import posixpath
+
+from pyarrow import fs
 
 from ..errors import PolicyError
 
-_COMPONENT = re.compile(r"[A-Za-z0-9._-]{1,253}")
 MAX_BYTES = 1 << 20
 
 
-def projected_path(root: str, *parts: str) -> str:
+def inside(root: str | None, *names: str) -> str:
+    """The path of a file below `root`; names that lead anywhere else are refused."""
     if not root:
         raise PolicyError("no folder is configured for this file")
-    for part in parts:
-        if part in (".", "..") or not _COMPONENT.fullmatch(part):
-            raise PolicyError("a file name has a forbidden part")
-    return os.path.join(root, *parts)
+    path = posixpath.join(root, *names)
+    # A name is one path component: joined and normalised, the path must end in exactly the given names.
+    if not all(names) or posixpath.normpath(path).split("/")[-len(names):] != list(names) or any("\0" in n or "\\" in n for n in names):
+        raise PolicyError("a file name leads out of its folder")
+    return path
 
 
 def read_bounded(path: str, maximum: int = MAX_BYTES) -> bytes:
+    """A whole file of at most `maximum` bytes."""
     try:
-        if not os.path.isfile(path):
-            raise PolicyError("an input file is missing or not a plain file")
-        with open(path, "rb") as handle:
-            data = handle.read(maximum + 1)
-    except OSError:
-        raise PolicyError("an input file is unreadable") from None
+        system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        with system.open_input_file(place) as source:
+            data = source.read(maximum + 1)
+    except (OSError, ValueError):
+        raise PolicyError("an input file is missing or unreadable") from None
     if len(data) > maximum:
-        raise PolicyError("an input file is larger than allowed")
+        raise PolicyError(f"an input file is larger than {maximum} bytes")
     return data
 
 
@@ -45,11 +47,11 @@ def read_constant(column: dict, root: str | None) -> str | None:
     ref = (column.get("params") or {}).get("valueFrom")
     if not ref:
         return None
-    return read_bounded(projected_path(root or "", ref["name"], ref["key"])).decode()
+    return read_bounded(inside(root, ref["name"], ref["key"])).decode()
 
 
 def read_step(root: str | None, name: str) -> str:
-    data = read_bounded(projected_path(root or "", name + ".sql"))
+    data = read_bounded(inside(root, name + ".sql"))
     if not data:
         raise PolicyError("an SQL step file is empty")
     return data.decode()
