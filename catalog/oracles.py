@@ -242,12 +242,13 @@ runs AS (SELECT 'run-' || event_id AS name, 's' || user_id AS schedule,
   event_id, ts FROM events)
 """
 LOG_ROWS = """
-logs AS (SELECT 'r' || user_id AS run, event_id AS line_no, event_id % 10 AS kind, event_type,
+logs AS (SELECT 'r' || user_id AS run, event_id AS line_no,
+  CASE WHEN event_id % 20 = 19 THEN 0 ELSE event_id % 10 END AS kind, event_type,
   event_id % 7 AS done, event_id % 5 + 1 AS total, event_id * 10 AS rows_done, event_id % 3 AS steps FROM events)
 """
 POINTER_ROWS = """
 pointers AS (SELECT event_id, ts, event_id % 12 AS kind,
-  event_id % 12 IN (5, 6, 8, 11) AS valid,
+  event_id % 12 IN (5, 6, 8, 11) AND event_id % 24 NOT IN (18, 20) AS valid,
   CASE WHEN event_id % 12 IN (5, 6, 7) THEN CASE event_id % 12 WHEN 5 THEN 1 WHEN 6 THEN 2 ELSE 0 END ELSE 1 END AS version
   FROM events)
 """
@@ -494,8 +495,13 @@ def oracles() -> dict[str, str]:
           FROM clusters LEFT JOIN picked USING (cluster)""",
         "retention_prune": f"""
           WITH {BACKUPS}, mine AS (SELECT * FROM backups WHERE NOT has_owner_reference),
-          ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster
-            ORDER BY coalesce(completed_at, created_at) DESC, created_at DESC, name) AS rank FROM mine WHERE state = 'Succeeded'),
+          complete AS (SELECT cluster FROM mine WHERE state = 'Succeeded' GROUP BY 1 HAVING count(*) = count(completed_at)),
+          ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY completed_at DESC, created_at DESC, name) AS rank
+            FROM mine WHERE state = 'Succeeded' AND cluster IN (SELECT cluster FROM complete)
+            UNION ALL
+            SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY created_at DESC, name) AS rank
+            FROM mine WHERE state = 'Succeeded' AND cluster NOT IN (SELECT cluster FROM complete)),
           doomed AS (SELECT cluster, name, state, is_current, settled FROM ranked WHERE rank > 2
             UNION ALL SELECT cluster, name, state, is_current, settled FROM mine WHERE state = 'Failed'
               AND TIMESTAMP '{NOW}' >= created_at + INTERVAL 24 HOUR)

@@ -776,7 +776,7 @@ def read_pointer_doc(spark, sf_dir):
 def pointer_max_age(spark, sf_dir):
     found = documents.read_pointers(demo.pointers(spark, sf_dir)).where("valid").select(
         "event_id", F.col("document.schemaVersion").alias("schema_version"),
-        F.to_timestamp("document.publishedAt").alias("published_at"),
+        documents.moment(F.col("document.publishedAt")).alias("published_at"),
     )
     return ledger.pointer_max_age(found, demo.now(), 240).select("event_id", "accepted", "warning")
 

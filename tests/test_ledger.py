@@ -175,3 +175,46 @@ def test_demo_dataset(spark, tmp_path):
     user.write.parquet(f"{half}/demo_users/user")
     with pytest.raises(PolicyError):
         fixtures.seed(spark, half)
+
+
+def _backup(name, created, completed):
+    day = lambda d: None if d is None else dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc)
+    return (name, "c", "Succeeded", day(created), day(completed), "r", False, False)
+
+
+def test_completions_compare_with_completions_only(spark):
+    schema = ("name string, cluster string, state string, created_at timestamp, completed_at timestamp, run_uid string, "
+              "has_owner_reference boolean, is_current boolean")
+    owners = spark.createDataFrame([("r", True)], "run_uid string, settled boolean")
+    now = F.lit("2024-02-01").cast("timestamp")
+    for rows, gone in (
+        ([_backup("a", 10, 20), _backup("b", 15, None)], {"a"}),
+        ([_backup("a", 10, 20), _backup("b", 15, 16)], {"b"}),
+        ([_backup("a", 10, 20), _backup("b", 15, 20)], {"a"}),
+        ([_backup("a", 10, None), _backup("b", 10, None)], {"b"}),
+    ):
+        doomed = ledger.retention_prune(spark.createDataFrame(rows, schema), owners, ["cluster"], now, keep=1)
+        assert {r["name"] for r in doomed.collect()} == gone
+
+
+def test_text_after_a_document_and_bad_times_are_refused(spark):
+    good = '{"name":"n","destination":"s3://b/k"%s}'
+    texts = [(good % "", True), (good % "" + " \n", True), (good % "" + "{}", False), (good % "" + ",{}", False), (good % "" + " x", False),
+             (good % ',"publishedAt":"2024-01-02T03:04:05Z"', True), (good % ',"publishedAt":"2024-01-02T03:04:05.25+01:00"', True),
+             (good % ',"publishedAt":"2024-01-02"', False), (good % ',"publishedAt":"soon"', False),
+             (good % ',"publishedAt":"2024-13-02T03:04:05Z"', False), (good % ',"backup":{"completedAt":"x"}', False)]
+    df = spark.createDataFrame(texts, "value string, fine boolean")
+    assert documents.read_pointers(df).where("valid <> fine").count() == 0
+    lines = spark.createDataFrame([(1, '{"msg":"ok"}'), (2, '{"msg":"ok"} '), (3, '{"msg":"ok"}{}'), (4, '{"msg":"ok"} more')], "n int, value string")
+    assert sorted(r["n"] for r in documents.parse_logs(lines).collect()) == [1, 2]
+
+
+def test_selections_sort_no_whole_group(spark):
+    backups = spark.createDataFrame([_backup("a", 1, 2)], (
+        "name string, cluster string, state string, created_at timestamp, completed_at timestamp, destination string, x boolean, y boolean"))
+    runs = backups.selectExpr("name", "cluster", "state phase", "true settled", "created_at", "completed_at")
+    logs = spark.createDataFrame([("r", 1, "progress", "d", "t", "", "", 1, 1, 1, 1)], (
+        "run string, line_no long, msg string, db string, table string, step string, name string, tablesDone int, tablesTotal int, "
+        "rowsDone long, stepsDone int"))
+    for df in (ledger.latest_succeeded(backups, ["cluster"]), ledger.run_status_rollup(runs, ["cluster"]), ledger.latest_progress(logs, ["run"])):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 1

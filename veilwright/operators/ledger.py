@@ -1,9 +1,9 @@
 """Questions over tables of backups and runs, asked per group and at any size.
 
 A group (a cluster, an output, a schedule) may hold a large share of all rows, so no
-operator gathers one: selections are aggregates with map-side combine, top-k cuts are
-ranked filters that Spark limits before the shuffle, and per-group answers meet their
-rows again through a salted join.
+operator gathers one: selections are hash aggregates with map-side combine whose answers
+meet their rows again through a salted join, and top-k cuts are ranked filters that Spark
+limits before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 # Backup states that are counted.
 STATES = ("Succeeded", "Failed", "Running", "Starting")
-_SALTS = 32
+#: Tasks that one group's rows are spread over when its answer is joined back.
+SALTS = 32
 
 
-def meet(rows: DataFrame, answers: DataFrame, by: list[str], how: str = "inner", salts: int = _SALTS) -> DataFrame:
+def meet(rows: DataFrame, answers: DataFrame, by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join one answer per group back to the group's rows, spreading each group over `salts` tasks."""
     salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)))
     salted_answers = answers.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
@@ -58,24 +59,30 @@ def state_counts(backups: DataFrame, by: list[str]) -> DataFrame:
     return backups.groupBy(*by).agg(*counts)
 
 
-def latest_succeeded(backups: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: the newest Succeeded backup (completed, then created, then name) and counts.
+def _first_of(rows: DataFrame, by: list[str], lead: Column, then: list[Column], counts: list[Column]) -> DataFrame:
+    """Per group: the row with the greatest `lead` (a bigint, NULL for rows that cannot win), ties by `then`, and counts.
 
-    One aggregate over the smallest sort key: no window, no sort of a group.
+    A hash aggregate finds the greatest value; only rows that hold it are ranked.
     """
-    good = (F.col("state") == "Succeeded") & F.col("completed_at").isNotNull()
-    order = F.struct(
-        *[k.alias(f"k{i}") for i, k in enumerate(_newest_first(F.col("completed_at"), F.col("created_at")))],
-        F.col("name"), F.col("created_at"), F.col("completed_at"), F.col("destination"),
-    )
-    found = backups.groupBy(*by).agg(
-        F.min(F.when(good, order)).alias("best"),
-        F.count_if(F.col("state") == "Succeeded").alias("succeeded"),
-        F.count_if((F.col("state") == "Succeeded") & F.col("completed_at").isNull()).alias("missing_completion"),
+    led = rows.withColumn("__lead", lead)
+    top = led.groupBy(*by).agg(F.max("__lead").alias("__top"), *counts)
+    holders = meet(led.where(F.col("__lead").isNotNull()), top.select(*by, "__top"), by).where("__lead = __top")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*then))
+    winners = holders.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__lead", "__top")
+    return top.drop("__top").join(winners, by, "left")
+
+
+def latest_succeeded(backups: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: the newest Succeeded backup (completed, then created, then name) and counts."""
+    good = F.col("state") == "Succeeded"
+    found = _first_of(
+        backups.select(*by, "state", "name", "created_at", "completed_at", "destination"), by,
+        F.when(good, F.unix_micros("completed_at")), [*_newest_first(F.col("created_at")), F.col("name")],
+        [F.count_if(good).alias("succeeded"), F.count_if(good & F.col("completed_at").isNull()).alias("missing_completion")],
     )
     return found.select(
-        *by, F.col("best.name").alias("selected"), F.col("best.created_at").alias("selected_created_at"),
-        F.col("best.completed_at").alias("selected_completed_at"), F.col("best.destination").alias("selected_destination"),
+        *by, F.col("name").alias("selected"), F.col("created_at").alias("selected_created_at"),
+        F.col("completed_at").alias("selected_completed_at"), F.col("destination").alias("selected_destination"),
         "succeeded", "missing_completion",
     )
 
@@ -142,17 +149,19 @@ def retention_prune(
     Succeeded beyond the newest `keep` of its group, or Failed and old enough; never the
     current output, never a backup whose owning run is not settled. Protected backups
     still take up their rank.
+
+    Newest means by completion, then creation, then name. Completions compare only with completions: a group in
+    which any succeeded backup lacks one is ordered by creation.
     """
     keep = keep if keep > 0 else 2
     failed_after_hours = failed_after_hours if failed_after_hours > 0 else 24
     group = backups.where(~F.col("has_owner_reference"))
-    order = [
-        *_newest_first(F.coalesce("completed_at", "created_at"), F.col("created_at")), F.col("name"),
-    ]
     succeeded = group.where(F.col("state") == "Succeeded")
+    lacking = succeeded.groupBy(*by).agg(F.max(F.col("completed_at").isNull()).alias("__lacking"))
+    order = [*_newest_first(F.when(~F.col("__lacking"), F.col("completed_at")), F.col("created_at")), F.col("name")]
     # Spark cuts `row_number <= keep` per task before the shuffle, so a large group stays spread.
     kept = (
-        succeeded.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        meet(succeeded, lacking, by).withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         .where(F.col("__rank") <= keep)
         .select(*by, "name")
     )
@@ -197,15 +206,14 @@ def history_prune(runs: DataFrame, by: list[str], keep_completed: int, keep_fail
 
 
 def run_status_rollup(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: active count, newest run and its phase, latest success."""
-    active = ~F.col("settled")
-    newest = F.struct("created_at", "name", "phase")
-    return runs.groupBy(*by).agg(
-        F.count_if(active).alias("active_count"),
-        F.max(newest).getField("name").alias("last_run"),
-        F.max(newest).getField("phase").alias("last_phase"),
-        F.max(F.when(F.col("phase") == "Completed", F.col("completed_at"))).alias("last_success"),
+    """Per group: active count, newest run (by creation, then the greater name) and its phase, latest success."""
+    found = _first_of(
+        runs.select(*by, "name", "phase", "settled", "created_at", "completed_at"), by, F.unix_micros("created_at"),
+        [F.col("name").desc()],
+        [F.count_if(~F.col("settled")).alias("active_count"),
+         F.max(F.when(F.col("phase") == "Completed", F.col("completed_at"))).alias("last_success")],
     )
+    return found.select(*by, "active_count", F.col("name").alias("last_run"), F.col("phase").alias("last_phase"), "last_success")
 
 
 def active_runs(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -280,12 +288,9 @@ def latest_progress(parsed: DataFrame, by: list[str]) -> DataFrame:
         & (F.col("rowsDone") >= 0)
         & (F.col("stepsDone") >= 0)
     )
-    record = F.struct(
-        "line_no", "tablesDone", "tablesTotal", "rowsDone", "stepsDone",
-        F.concat_ws(".", "db", "table").alias("currentTable"),
-    )
-    return valid.groupBy(*by).agg(F.max(record).alias("r")).select(
-        *by, "r.tablesDone", "r.tablesTotal", "r.rowsDone", "r.stepsDone", "r.currentTable"
+    last = _first_of(valid, by, F.col("line_no"), [F.col("rowsDone").desc()], [])
+    return last.select(
+        *by, "tablesDone", "tablesTotal", "rowsDone", "stepsDone", F.concat_ws(".", "db", "table").alias("currentTable")
     )
 
 

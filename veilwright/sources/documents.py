@@ -29,6 +29,24 @@ _HTTP_URL = r"^https?://[^/@?#%\s\x00-\x1f\x7f]+(/[^?#\x00-\x1f\x7f]*)?\z"
 _HTTPS_URL = r"^https://[^/@?#%\s\x00-\x1f\x7f]+(/[^#\x00-\x1f\x7f]*)?\z"
 
 
+_RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
+
+
+def one_document(text: Column) -> Column:
+    """True where the text is one JSON value and nothing more: as the only item of a list it must still parse."""
+    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    return F.coalesce(F.size(items) == 1, F.lit(False))
+
+
+def moment(text: Column) -> Column:
+    """An RFC 3339 time, or NULL where the text is none."""
+    return F.when(text.rlike(_RFC3339), text.try_cast("timestamp"))
+
+
+def _time_or_absent(text: Column) -> Column:
+    return text.isNull() | moment(text).isNotNull()
+
+
 def valid_destination(destination: Column) -> Column:
     """An s3 bucket and object, without user, query or fragment."""
     return F.coalesce(destination.rlike(_DESTINATION), F.lit(False))
@@ -37,7 +55,8 @@ def valid_destination(destination: Column) -> Column:
 def read_pointers(texts: DataFrame, text: str = "value") -> DataFrame:
     """Decode pointer documents: adds `document` and `valid`.
 
-    A missing version means 1. Optional addresses are checked where given.
+    A missing version means 1. Optional addresses and times are checked where given, and no
+    text may follow the document.
     """
     parsed = texts.withColumn("document", F.from_json(F.col(text), POINTER_SCHEMA, _STRICT))
     version = F.coalesce("document.schemaVersion", F.lit(1))
@@ -45,6 +64,9 @@ def read_pointers(texts: DataFrame, text: str = "value") -> DataFrame:
     endpoint, public = F.coalesce("document.s3.endpointUrl", F.lit("")), F.coalesce("document.publicURL", F.lit(""))
     valid = (
         F.col("document._corrupt_record").isNull()
+        & one_document(F.col(text))
+        & _time_or_absent(F.col("document.publishedAt"))
+        & _time_or_absent(F.col("document.backup.completedAt"))
         & (F.coalesce("document.name", F.lit("")) != "")
         & valid_destination(F.col("document.destination"))
         & (version >= 1)
@@ -71,5 +93,5 @@ def parse_logs(lines: DataFrame, text: str = "value") -> DataFrame:
         F.coalesce(f"entry.{name}", F.lit(0)).alias(name)
         for name in ("msg", "db", "table", "step", "name", "tablesDone", "tablesTotal", "rowsDone", "stepsDone")
     ]
-    good = F.col("entry._corrupt_record").isNull() & F.col("entry.msg").isNotNull()
+    good = F.col("entry._corrupt_record").isNull() & F.col("entry.msg").isNotNull() & one_document(F.col(text))
     return parsed.where(good).select(*keep, *fields)
