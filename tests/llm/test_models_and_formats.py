@@ -66,6 +66,8 @@ def test_piece_tables(make_docs, messy):
     rows = sentencepieces.decode(sentencepieces.encode(make_docs(messy), PIECES), PIECES).collect()
     back = sorted(((r["doc_id"], None if r["text"] is None else bytes(r["text"]).decode()) for r in rows), key=repr)
     assert back == sorted(messy, key=repr)
+    again = sentencepieces.encode(make_docs(messy), PIECES, with_text=True).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
     assert sentencepieces.encode(make_docs([]), PIECES).collect() == []
 
 

@@ -45,7 +45,7 @@ def public_tokenizer(name: str) -> str:
 def op1_sentencepiece(spark, sf_dir):
     """Number and CRC-32 of the ids of every text, and the SHA-256 of the text decoded from them."""
     model = public_tokenizer("piece_bpe_32k.model")
-    decoded = sentencepieces.decode(sentencepieces.encode(load(spark, sf_dir, "documents"), model), model)
+    decoded = sentencepieces.encode(load(spark, sf_dir, "documents"), model, with_text=True)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
                           F.sha2("text", 256).alias("decoded_sha256"))
 

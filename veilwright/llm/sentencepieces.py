@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .batches import bounded, mix64, ragged_arange
 
 #: Words that a worker remembers, in two generations of so many each; bytes of text treated at a time.
-REMEMBERED, CHUNK = 400_000, 4 << 20
+REMEMBERED, CHUNK = 200_000, 2 << 20
+#: Bytes of new words that are indexed together (a longer word stands alone): every byte takes part in some five edges.
+INDEXED = 192 << 10
 #: Bits of the number of remembered pairs of pieces.
 MEMORY = 21
 SPACE = "▁".encode()
@@ -275,8 +277,9 @@ class Encoder:
                 known[w] = old[w]
             else:
                 missing.append(w)
-        if missing:
-            known.update(zip(missing, self.model.encode_words(missing), strict=True))
+        for part in bounded(missing, INDEXED):
+            words = missing[part.start:part.stop]
+            known.update(zip(words, self.model.encode_words(words), strict=True))
         out = [b"".join([known[w] for w in words]) for words in split]
         if len(known) > REMEMBERED:
             self._old, self._young = known, {}
@@ -288,8 +291,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row."""
+def encode(docs: DataFrame, model_path: str, with_text: bool = False) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row.
+
+    `with_text` adds the text that the ids decode to, made in the same pass: a second Python stage would cost every task
+    a second worker.
+    """
+    names = ["doc_id", "ids", "text"] if with_text else ["doc_id", "ids"]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
@@ -298,11 +306,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             for part in bounded(texts, CHUNK):
                 found = own.encode([texts[i] or b"" for i in part])
                 ids = [None if texts[i] is None else f for i, f in zip(part, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(part)), pa.array(ids, pa.binary())],
-                                                 names=["doc_id", "ids"])
+                columns = [batch.column(0).slice(part.start, len(part)), pa.array(ids, pa.binary())]
+                if with_text:
+                    columns.append(pa.array([None if i is None else own.model.decode(i) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(over, "doc_id long, ids binary")
+    return texts.mapInArrow(over, "doc_id long, ids binary" + (", text binary" if with_text else ""))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
