@@ -298,6 +298,15 @@ def oracles() -> dict[str, str]:
           SELECT l_orderkey, ({mod('h', 101)})::BIGINT AS mod_101, ({mod('h', 10**9)})::BIGINT AS mod_e9,
             ({mod('h', 10**18)})::BIGINT AS mod_e18, ({mod('h', 2**64)})::VARCHAR AS mod_2_64,
             ({mod('h', 10**33)})::VARCHAR AS mod_e33 FROM b""",
+        "digits_33": f"""
+          WITH b AS (SELECT o_orderkey, {row_hash('orders', 'o_orderkey::VARCHAR', 'code')} AS c,
+            {row_hash('orders', 'o_orderkey::VARCHAR', 'amount')} AS a FROM orders)
+          SELECT o_orderkey, {digits('c', 33)} AS code, ({mod('a', 2**62 + 3)})::VARCHAR AS amount FROM b""",
+        # Blanks at the ends are cut as pairs of hex digits; the data has none beyond ASCII.
+        "hash_binary": f"""
+          WITH h AS (SELECT doc_id, substr(hex(encode(text)), 3 + 2 * (doc_id % 7)::INTEGER, 82) AS x FROM documents),
+          t AS (SELECT doc_id, regexp_replace(regexp_replace(x, '^(20|09|0A|0B|0C|0D)+', ''), '(20|09|0A|0B|0C|0D)+$', '') AS x FROM h)
+          SELECT doc_id, CASE WHEN x = '' THEN '' ELSE {hmac("(encode('hash' || chr(31)) || unhex(x))")} END AS value FROM t""",
         "nfc_trim": f"SELECT doc_id, sha256({norm(variant)}) AS digest FROM documents",
         "apply_table": f"""
           WITH b AS (SELECT *, {consistent('hash', 'c_name')} AS h,

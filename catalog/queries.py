@@ -81,6 +81,27 @@ def digest_mod(spark, sf_dir):
     )
 
 
+@query
+def digits_33(spark, sf_dir):
+    """Codes of 33 places, and numbers from a span of odd size above 2**62: no Python in either."""
+    df = load(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("code"), F.col("o_orderpriority").alias("amount"))
+    columns = [
+        {"name": "code", "strategy": "digits", "params": {"length": 33}},
+        {"name": "amount", "strategy": "number", "params": {"min": 0, "max": 2**62 + 2}},
+    ]
+    return rewritten(df, plan_for(df, "orders", columns, ["o_orderkey"]), KEYRING)
+
+
+@query
+def hash_binary(spark, sf_dir):
+    """Bytes cut out of the documents at odd places, so that many are no UTF-8; text cut the same way beside them."""
+    raw = F.substring(F.col("text").cast("binary"), F.lit(2) + F.pmod("doc_id", F.lit(7)).cast("int"), F.lit(41))
+    df = load(spark, sf_dir, "documents").select("doc_id", raw.alias("value"))
+    out = rewritten(df, plan_for(df, "documents", [{"name": "value", "strategy": "hash"}], ["doc_id"]), KEYRING)
+    return out.select("doc_id", F.col("value").cast("string").alias("value"))
+
+
 @query
 def nfc_trim(spark, sf_dir):
     df = load(spark, sf_dir, "documents")

@@ -1,7 +1,7 @@
 """Keyed digests and the arithmetic on them, as Catalyst expressions.
 
 A digest travels as 64 lower-case hex characters. Everything here stays on the
-JVM side except decimal reductions above 33 digits, which no Spark type can hold.
+JVM side except reductions by moduli above 33 digits, which no Spark type can hold.
 """
 
 from __future__ import annotations
@@ -82,31 +82,11 @@ def consistent_payload(strategy: str, normalized: Column) -> Column:
     return F.concat(F.lit(strategy + "\x1f"), normalized).cast("binary")
 
 
-def row_payload(database: str, table: str, pk_json: Column, column: str, escaped: bool = False) -> Column:
-    """JSON array of the row identity; `pk_json` is itself JSON text, so it is escaped."""
+def row_payload(database: str, table: str, pk_json: Column, column: str) -> Column:
+    """JSON array of the row identity; `pk_json` is JSON text that is already escaped for a JSON string."""
     if not (database and table and column):
         raise ValueError("a row identity needs a database, a table and a column")
-    text = pk_json if escaped else json_escape(pk_json)
-    return F.concat(
-        F.lit(f'["{database}","{table}","'), text, F.lit(f'","{column}"]')
-    ).cast("binary")
-
-
-def json_escape(text: Column) -> Column:
-    """Escape JSON text for embedding in a JSON string (HTML-safe, as the identity format asks)."""
-    # Each character and its escape.
-    escapes = {
-        "\\": "\\\\",
-        '"': '\\"',
-        "<": "\\u003c",
-        ">": "\\u003e",
-        "&": "\\u0026",
-        "\u2028": "\\u2028",
-        "\u2029": "\\u2029",
-    }
-    for char, code in escapes.items():
-        text = F.replace(text, F.lit(char), F.lit(code))
-    return text
+    return F.concat(F.lit(f'["{database}","{table}","'), pk_json, F.lit(f'","{column}"]')).cast("binary")
 
 
 def retry_digest(keyring: Keyring, digest: Column, retry: Column) -> Column:
@@ -202,10 +182,21 @@ def _wide_mod(digest: pd.Series, modulus: pd.Series) -> pd.Series:
 
 
 def wide_mod(digest: Column, modulus: int) -> Column:
-    """Digest mod any modulus, as decimal text, in Arrow batches: no Spark type multiplies 256 bits."""
+    """Digest mod any modulus, as decimal text.
+
+    Up to 33 digits by steps of 16 bits in `decimal(38,0)`, which holds every product; beyond that no Spark type does,
+    so it is done in Arrow batches.
+    """
     if modulus == 2**64:
         return F.conv(F.substring(digest, 49, 16), 16, 10)
-    return _wide_mod(digest, F.lit(str(modulus)))
+    if modulus > 10**33:
+        return _wide_mod(digest, F.lit(str(modulus)))
+    whole = "decimal(38,0)"
+    size, value = F.lit(str(modulus)).cast(whole), F.lit(0).cast(whole)
+    for step in range(16):
+        piece = F.conv(F.substring(digest, 1 + 4 * step, 4), 16, 10).cast("decimal(5,0)")
+        value = ((value * F.lit(65536).cast("decimal(5,0)") + piece).cast(whole) % size).cast(whole)
+    return value.cast("string")
 
 
 def digest_mod(digest: Column, modulus: int) -> Column:

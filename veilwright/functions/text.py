@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,13 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-_ICU_COMPOSE = "java_method('com.ibm.icu.text.Normalizer', 'compose', {}, false)"
-_icu_by_application: dict[str, bool] = {}
+# Characters that normal form C may change, alone or with their neighbours: marks, conjoining Hangul, and characters
+# that stand for others; also characters that are newer than the JVM's tables. Texts without them are in that form already.
+_UNSETTLED = (
+    r"[\p{M}\p{Cn}\u1100-\u11FF\u0340\u0341\u0343\u0344\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C\u0B5D"
+    r"\u0F43-\u0FB9\u1F71-\u1FFD\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E"
+    r"\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -25,40 +30,28 @@ def _nfc_arrow(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-def _has_icu(spark: SparkSession) -> bool:
-    """Spark ships ICU for its collations; the call is checked once when analysed."""
-    application = spark.sparkContext.applicationId
-    if application not in _icu_by_application:
-        try:
-            spark.sql("SELECT " + _ICU_COMPOSE.format("'a'")).schema
-            _icu_by_application[application] = True
-        except Exception:
-            _icu_by_application[application] = False
-    return _icu_by_application[application]
-
-
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC. ASCII rows skip the work; there is no built-in for the others."""
-    spark = SparkSession.active()
-    wide = F.when(~is_ascii(text), text)
-    if _has_icu(spark):
-        composed = F.call_function(
-            "java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False)
-        )
-        return F.when(~is_ascii(text), composed).otherwise(text)
-    # Spark runs Python functions outside CASE, so the ASCII rows are fed as NULL.
-    return F.coalesce(_nfc_arrow(wide), text)
+    """Unicode NFC; bytes that are no UTF-8 stay as they are.
+
+    Spark has no function for it. Only values that may change go to Python, in Arrow batches; all others travel as
+    NULL. The function is deterministic, so filters pass below it.
+    """
+    unsettled = F.when(~is_ascii(text) & F.is_valid_utf8(text), text)
+    return F.coalesce(_nfc_arrow(F.when(unsettled.rlike(_UNSETTLED), text)), text)
 
 
 def trim(text: Column) -> Column:
-    """Without leading and trailing white space; only values that have some pay for the search."""
-    blank = F.lit(WHITE_SPACE)
+    """Without leading and trailing white space; only values that have some pay for the search.
+
+    In bytes that are no UTF-8, a part of a character may look like white space: only ASCII blanks go.
+    """
+    blank, ascii_blank = F.lit(WHITE_SPACE), F.lit("".join(c for c in WHITE_SPACE if c < "\x80"))
     edges = F.contains(blank, F.substring(text, 1, 1)) | F.contains(blank, F.substring(text, -1, 1))
-    return F.when(edges, F.btrim(text, blank)).otherwise(text)
+    return F.when(edges & F.is_valid_utf8(text), F.btrim(text, blank)).when(edges, F.btrim(text, ascii_blank)).otherwise(text)
 
 
 def nfc_trim(text: Column) -> Column:
@@ -70,7 +63,7 @@ def input_text(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
         return column.cast("string")
     if isinstance(data_type, T.BinaryType):
-        return F.decode(column, "UTF-8")
+        return column.cast("string")  # the same bytes, valid UTF-8 or not
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return rfc3339(column, data_type)
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
@@ -121,10 +114,10 @@ def float_text(column: Column) -> Column:
     return F.coalesce(special, F.concat(sign, text))
 
 
-def pk_json(columns: list[tuple[Column, T.DataType]]) -> tuple[Column, bool]:
-    """JSON array text of a key, and whether it needs no escaping inside a JSON string.
+def pk_json(columns: list[tuple[Column, T.DataType]]) -> Column:
+    """JSON array text of a key, as it stands inside a JSON string.
 
-    Integers stay bare; strings and binary are base64, times RFC 3339.
+    Integers stay bare; strings and binary are base64, times RFC 3339: only the quotes need an escape.
     """
     parts: list[Column] = [F.lit("[")]
     quote = F.lit('\\"')
@@ -142,4 +135,4 @@ def pk_json(columns: list[tuple[Column, T.DataType]]) -> tuple[Column, bool]:
             # Spark's base64 has no line breaks to strip since 4.0 (chunking off by default).
             parts += [quote, F.base64(raw), quote]
     parts.append(F.lit("]"))
-    return F.concat(*parts), True
+    return F.concat(*parts)

@@ -99,7 +99,7 @@ def transform(
     """
     names = df.columns
     staged = df.withColumn(TOUCHED, touched(plan.ignore_where))
-    key_text = pk_json([(F.col(quote_identifier(c.name)), c.data_type) for c in plan.primary_key])[0]
+    key_text = pk_json([(F.col(quote_identifier(c.name)), c.data_type) for c in plan.primary_key])
     keyed = [i for i, rule in enumerate(plan.rules) if rule.keyed]
     linked = [i for i in keyed if plan.rules[i].consistent]
 
@@ -120,7 +120,7 @@ def transform(
             payloads[i] = consistent_payload(rule.strategy, F.lower(clean) if rule.strategy == "email" else clean)
         else:
             payloads[i] = F.when(
-                guards[i], row_payload(plan.database, plan.table, key_text, info.name, escaped=True)
+                guards[i], row_payload(plan.database, plan.table, key_text, info.name)
             )
     staged = _with(staged, {f"__digest_{i}": keyed_digest(keyring, payloads[i]) for i in keyed})
     if retry:
