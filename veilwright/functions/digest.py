@@ -184,18 +184,21 @@ def _wide_mod(digest: pd.Series, modulus: pd.Series) -> pd.Series:
 def wide_mod(digest: Column, modulus: int) -> Column:
     """Digest mod any modulus, as decimal text.
 
-    Up to 33 digits by steps of 16 bits in `decimal(38,0)`, which holds every product; beyond that no Spark type does,
-    so it is done in Arrow batches.
+    Up to 33 digits in `decimal(38,0)`, by steps of as many hex digits as keep every product inside; beyond that no
+    Spark type holds them, so it is done in Arrow batches.
     """
     if modulus == 2**64:
         return F.conv(F.substring(digest, 49, 16), 16, 10)
     if modulus > 10**33:
         return _wide_mod(digest, F.lit(str(modulus)))
     whole = "decimal(38,0)"
-    size, value = F.lit(str(modulus)).cast(whole), F.lit(0).cast(whole)
-    for step in range(16):
-        piece = F.conv(F.substring(digest, 1 + 4 * step, 4), 16, 10).cast("decimal(5,0)")
-        value = ((value * F.lit(65536).cast("decimal(5,0)") + piece).cast(whole) % size).cast(whole)
+    size, value, width = F.lit(str(modulus)).cast(whole), None, min(12, (126 - modulus.bit_length()) // 4)
+    for start in range(1, 65, width):
+        width = min(width, 65 - start)
+        piece = hex_int(digest, start, width).cast("decimal(15,0)")
+        if value is not None:
+            piece = (value * F.lit(16**width).cast("decimal(15,0)") + piece).cast(whole)
+        value = (piece % size).cast(whole)
     return value.cast("string")
 
 
