@@ -35,3 +35,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of an iterative job: each is written once, and all of them go when the job ends.
+
+        with Rounds(spark, "job") as rounds:
+            state = rounds.written(df)
+
+    What outlives the job must be written elsewhere before the block ends.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self._spark, self._root, self._count = spark, scratch_path(spark, label), 0
+
+    def __enter__(self) -> "Rounds":
+        return self
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self._count += 1
+        path = f"{self._root}/{self._count}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *failure) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._root)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
