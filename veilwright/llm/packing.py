@@ -15,7 +15,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from .batches import bounded
 
 #: Words that a worker remembers: two generations of so many each, which bounds its memory.
 REMEMBERED = 500_000
-#: Bytes of text tokenized at a time (a longer text stands alone).
+#: Bytes of text whose pieces make one batch (a longer text stands alone).
 CHUNK = 1 << 20
 #: Pieces of one packing group.
 GROUP = 20_000
@@ -37,7 +36,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids of texts, word by word: white space always parts this tokenizer's tokens, so words may be remembered.
+    """Ids of a text, word by word: white space always parts this tokenizer's tokens, so words may be remembered.
 
     Holds for byte-level tokenizers that drop white space, split between letters and marks and ignore case. Ids are
     little-endian unsigned 32-bit sequences.
@@ -55,32 +54,38 @@ class WordTokenizer:
         self._old: dict[bytes, bytes] = {}
         self._marks = {mark: self._encode(bytes([mark])) for mark in b".,"}
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [lowered(t).split() for t in texts]
+    def ids(self, text: bytes) -> bytes:
+        words, known = lowered(text).split(), self._young
+        found = list(map(known.get, words))
+        if None in found:
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                found[i] = self._unmet(words[i])
+            if len(known) > REMEMBERED:
+                self._old, self._young = known, {}
+        return b"".join(found)
+
+    def _unmet(self, w: bytes) -> bytes:
+        """Ids of a word that the young generation does not hold (or has met just now)."""
         known, old = self._young, self._old
-        for w in set(chain.from_iterable(split)).difference(known):
-            if w in old:
-                known[w] = old[w]
-                continue
+        if (ids := known.get(w) or old.get(w)) is None:
             # A full stop or comma after a letter is a token of its own, so the word before it may be known by itself.
             bare = w[:-1]
             if w[-1] in self._marks and bare.decode("utf-8", "replace").isalpha():
-                if bare not in known:
-                    known[bare] = old[bare] if bare in old else self._encode(bare)
-                known[w] = known[bare] + self._marks[w[-1]]
+                if (core := known.get(bare) or old.get(bare)) is None:
+                    core = self._encode(bare)
+                known[bare] = core
+                ids = core + self._marks[w[-1]]
             else:
-                known[w] = self._encode(w)
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if len(known) > REMEMBERED:
-            self._old, self._young = known, {}
-        return out
+                ids = self._encode(w)
+        known[w] = ids
+        return ids
 
     def _encode(self, word: bytes) -> bytes:
         """Words of lower-case Latin-1 letters need no preparation and go straight to the model."""
         text = word.decode("utf-8", "replace")
         if text.isalpha() and text.islower() and max(text) < "\u0100":
-            tokens = self._model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
-            return array("I", [t.id for t in tokens]).tobytes()
+            letters = text if text.isascii() else word.decode("latin-1").translate(BYTE_LETTERS)
+            return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
@@ -130,8 +135,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             doc_ids, texts = batch.column(0).to_pylist(), [t.as_py() or b"" for t in batch.column(1)]
             for part in bounded(texts, CHUNK):
                 rows: list[tuple] = []
-                for i, ids in zip(part, encode.ids([texts[i] for i in part]), strict=True):
-                    whole = ids + end
+                for i in part:
+                    whole = encode.ids(texts[i]) + end
                     for k, at in enumerate(range(0, len(whole), width)):
                         piece = whole[at:at + width]
                         rows.append((doc_ids[i], k, at // 4, len(piece) // 4, zlib.crc32(piece), piece))
