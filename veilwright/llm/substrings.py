@@ -203,11 +203,13 @@ def removals(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataF
     """doc_id, th (hash of the text) and spans: (start, n, mask) of the runs with windows that go."""
     runs = written(_find_runs(docs, window), "runs")
     shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = written(runs.join(shared.select("anchor"), "anchor", "left_semi"), "shared_runs")
+    # Stored first: a join of two plain shuffles is one whose large partitions Spark can split.
+    shared = written(shared.select("anchor"), "anchors")
+    members = written(runs.join(shared, "anchor", "left_semi"), "shared_runs")
     distinct = members.groupBy("k1", "k2").agg(
         F.min(F.struct("doc_id", "th", "start", "n", "anchor")).alias("one")).select("k1", "k2", "one.*")
     distinct = written(distinct.withColumn("size", F.col("n") + (window - 1)).drop("n"), "distinct_runs")
-    crowded = distinct.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor")
+    crowded = written(distinct.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowded")
     plain = _passages(distinct.join(crowded, "anchor", "left_anti"), docs)
     sharded = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: _gather(batches, window), "k1 long, k2 long, first long, mask long")
