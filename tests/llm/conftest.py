@@ -1,14 +1,6 @@
-import random
-
 import pytest
 from pyspark.sql import types as T
-
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-
-
-def prose(seed, n):
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+from samples import prose
 
 
 @pytest.fixture(scope="session")

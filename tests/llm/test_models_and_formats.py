@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import prose
+from samples import prose
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, IsNull, Not, StringStartsWith
 

@@ -10,7 +10,7 @@ from xxhash import xxh64_intdigest
 
 from veilwright.llm import components, fmindex, quality_rules, simhash, substrings
 
-from conftest import prose
+from samples import prose
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
