@@ -453,6 +453,7 @@ def oracles() -> dict[str, str]:
         "step_once": """
           SELECT o_orderpriority, count(*) AS n, true AS first_ran, false AS second_ran FROM orders
           WHERE o_orderstatus <> ';' GROUP BY o_orderpriority""",
+        "continue_on_error": "SELECT o_orderstatus, count(*) AS n, 1 AS steps_done FROM orders GROUP BY 1",
         "step_multi": """
           SELECT o_orderstatus AS label, count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1
           UNION ALL SELECT 'all;' || o_orderstatus, count(*) FROM orders GROUP BY 1""",

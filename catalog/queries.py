@@ -15,7 +15,7 @@ from veilwright.plans import resume
 from veilwright.plans.progress import Manifest, ProgressKey
 from veilwright.plans.rules import compile_rule
 from veilwright.plans.runner import run_totals as totals_of_run
-from veilwright.plans.steps import run_step
+from veilwright.plans.steps import run_step, run_steps
 from veilwright.sources import dataset, documents, fixtures
 from veilwright.sources.scratch import scratch_path, written
 from veilwright.streaming.apply_stream import apply_policy_stream, start_to_files
@@ -659,6 +659,23 @@ def step_once(spark, sf_dir):
     return result.select("o_orderpriority", "n", F.lit(ran[0]).alias("first_ran"), F.lit(ran[1]).alias("second_ran"))
 
 
+@query
+def continue_on_error(spark, sf_dir):
+    """A step that is refused, since it belongs to another policy, is passed over; the next one runs."""
+    load(spark, sf_dir, "orders").createOrReplaceTempView("step_orders")
+    output = scratch_path(spark, "continued")
+    manifest = Manifest(spark, f"{output}/_progress")
+    run_step(spark, "SELECT count(*) FROM step_orders", manifest, ProgressKey("steps", "step", "demo", "pre:0:first", POLICY_HASH))
+    bodies = {"first": "SELECT count(*) FROM step_orders", "second": (
+        f"INSERT OVERWRITE DIRECTORY '{output}/result' USING parquet "
+        "SELECT o_orderstatus, count(*) AS n FROM step_orders GROUP BY o_orderstatus")}
+    done = run_steps(
+        spark, "pre", [{"name": "first"}, {"name": "second"}], {"first": {"continueOnError": True}, "second": {}}, bodies,
+        manifest, ("steps", "demo", "sha256:" + "6b" * 32),
+    )
+    return spark.read.parquet(f"{output}/result").withColumn("steps_done", F.lit(done))
+
+
 @query
 def step_multi(spark, sf_dir):
     """A body of several statements runs whole; a `;` inside a string does not split it."""
