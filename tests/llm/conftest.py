@@ -30,3 +30,17 @@ def messy():
         (13, prose(5, 50)), (14, prose(5, 50) + "\x0b" + prose(6, 60)), (15, ("same line here\n" * 40)), (-5, prose(6, 60)),
         (16, "\x00\x01 <|endoftext|> <|ENDOFTEXT|> Ḵ İ ΑΣ"), (None, None),
     ]
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Spark takes small partitions for large ones, and broadcasts nothing."""
+    values = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4000"}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)

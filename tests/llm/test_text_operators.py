@@ -61,6 +61,26 @@ def test_substrings_of_few_words_repeat_a_lot(make_docs, seed):
     assert dedup(make_docs(rows)) == kept_by_hand(rows, 50)
 
 
+@pytest.mark.parametrize("crowd", [substrings.CROWD, 1])
+@pytest.mark.parametrize("repeated", [1, 2])
+def test_substrings_of_a_row_repeated_often(make_docs, repeated, crowd):
+    texts = {1: prose(21, 120), 2: prose(22, 30) + " " + prose(21, 120)}
+    rows = [(i, texts[i]) for i in (1, 2) for _ in range(2000 if i == repeated else 1)]
+    df = make_docs(rows).repartition(8)
+    marked = substrings.removals(df, crowd=crowd).collect()
+    assert [r["doc_id"] for r in marked] == [2]
+    starts = [s["start"] for s in marked[0]["spans"]]
+    assert len(starts) == len(set(starts))
+    assert dedup(df, crowd=crowd) == kept_by_hand(rows, 50)
+
+
+def test_substrings_of_a_hot_row_meet_their_spans_in_many_tasks(make_docs, small_partitions):
+    rows = [(i, prose(i, 60)) for i in range(3, 40)] + [(1, prose(41, 120))] + [(2, prose(41, 120))] * 2000
+    out = substrings.dedup_substrings(make_docs(rows).repartition(8))
+    out.collect()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_substrings_rewrite_keeps_columns_and_untouched_texts(make_docs, messy):
     df = make_docs(messy)
     out = substrings.rewrite(df)

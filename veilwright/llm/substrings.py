@@ -13,7 +13,8 @@ doc_id, judged on the input. Three things keep the work in proportion to the tex
   128-bit hash: equal ones meet after a map-side minimum, so the crowd spreads over all tasks.
 
 Nulls and odd cases: a null or empty text has no words. A row with a null doc_id keeps all its words and is nobody's
-earlier document. Rows with the same doc_id are never earlier than each other. An empty table gives an empty result;
+earlier document. Rows with the same doc_id are never earlier than each other; those with the same text too are judged
+once, and each of them gets that verdict. An empty table gives an empty result;
 further columns of the input come back untouched, whatever their names but for a leading `_sub_`.
 """
 
@@ -175,7 +176,9 @@ def _passages(jobs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                                              names=["anchor", "k1", "k2", "first", "passage"])
 
-    joined = _identified(docs).where("doc_id is not null").join(per_text, ["doc_id", "th"]).select("doc_id", "text", "jobs")
+    # Repeated rows give each passage once; they are dropped before the shuffle as well as after it.
+    once = _identified(docs).where("doc_id is not null and text is not null").dropDuplicates(["doc_id", "th"])
+    joined = once.join(per_text, ["doc_id", "th"]).select("doc_id", "text", "jobs")
     return joined.mapInArrow(cut, "anchor long, k1 long, k2 long, first long, passage binary")
 
 
@@ -192,8 +195,9 @@ def _crowded_masks(passages: DataFrame, window: int) -> DataFrame:
                      pa.array(range(n), pa.int32()), pa.array(w1), pa.array(w2)],
                     names=["k1", "k2", "first", "place", "w1", "w2"])
 
-    each = passages.mapInArrow(windows, "k1 long, k2 long, first long, place int, w1 long, w2 long")
-    smallest = each.groupBy("w1", "w2").agg(F.min("first").alias("smallest"))
+    each = written(passages.mapInArrow(windows, "k1 long, k2 long, first long, place int, w1 long, w2 long"), "windows")
+    # Stored, too: Spark can split a frequent window.
+    smallest = written(each.groupBy("w1", "w2").agg(F.min("first").alias("smallest")), "smallest")
     bit = F.when(F.col("smallest") < F.col("first"), F.expr("shiftleft(1L, place)")).otherwise(F.lit(0).cast("long"))
     return each.join(smallest, ["w1", "w2"]).groupBy("k1", "k2").agg(
         F.min("first").alias("first"), F.bit_or(bit).alias("mask"))
@@ -205,7 +209,9 @@ def removals(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataF
     shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     # Stored first: a join of two plain shuffles is one whose large partitions Spark can split.
     shared = written(shared.select("anchor"), "anchors")
-    members = written(runs.join(shared, "anchor", "left_semi"), "shared_runs")
+    # The runs of repeated rows fall together here, with a map-side minimum.
+    members = written(runs.join(shared, "anchor", "left_semi").groupBy("doc_id", "th", "start").agg(
+        *[F.min(c).alias(c) for c in ("n", "anchor", "k1", "k2")]), "shared_runs")
     distinct = members.groupBy("k1", "k2").agg(
         F.min(F.struct("doc_id", "th", "start", "n", "anchor")).alias("one")).select("k1", "k2", "one.*")
     distinct = written(distinct.withColumn("size", F.col("n") + (window - 1)).drop("n"), "distinct_runs")
@@ -236,7 +242,7 @@ def kept_words(words: list[bytes], spans: list[dict], window: int = WINDOW) -> l
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
     """The rows of `docs`, with _sub_n_words, _sub_n_removed and _sub_kept (the kept words, joined by one space)."""
     marked = docs.withColumn("_sub_id", F.col("doc_id").cast("long")).withColumn("_sub_th", F.xxhash64(F.col("text").cast("binary")))
-    spans = removals(docs, window, crowd).select(F.col("doc_id").alias("_sub_id"), F.col("th").alias("_sub_th"), "spans")
+    spans = written(removals(docs, window, crowd), "spans").select(F.col("doc_id").alias("_sub_id"), F.col("th").alias("_sub_th"), "spans")
     joined = marked.join(spans.withColumnRenamed("spans", "_sub_spans"), ["_sub_id", "_sub_th"], "left").select(
         *[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("binary").alias("_sub_text"), "_sub_spans")
     schema = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("_sub_n_words"),
