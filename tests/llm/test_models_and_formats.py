@@ -200,6 +200,17 @@ def test_sample_leaves_out_what_is_held_out(make_docs, spark):
     assert len(picked) == 50 and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] < 200 for r in picked)
 
 
+def test_sample_holds_a_repeated_id_once(make_docs, spark):
+    rows = [(i, f"text {i}") for i in range(20)] + [(1, f"other {k % 3}") for k in range(500)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    found = [labelled.sample(make_docs(rows).repartition(n), labels, "toxic", 4, 2, 100).collect() for n in (1, 7)]
+    ids = [r["doc_id"] for r in found[0]]
+    assert 1 in ids and len(ids) == len(set(ids)) and len(ids) > 10
+    assert sorted(map(tuple, found[0])) == sorted(map(tuple, found[1]))
+    assert all(bytes(r["text"]).decode() == f"text {r['doc_id']}" for r in found[0] if r["doc_id"] != 1)
+    assert all(r["y"] == r["doc_id"] % 2 for r in found[0])
+
+
 def test_features_do_not_cross_texts():
     hasher = toxicity.ByteHash()
     alone = [set(toxicity.features([t], hasher)[1].tolist()) for t in (b"One two three", b"", b"four, FIVE")]
