@@ -184,6 +184,21 @@ def test_quality_learns_texture(make_docs, spark):
     assert {r["doc_id"] for r in kept.collect()} >= {i for i, (q, _) in truth.items() if q == 1 and i is not None and i < 400}
 
 
+def test_dictionaries_train_on_all_blocks(monkeypatch):
+    import zstandard
+
+    seen = []
+
+    def train_dictionary(size, blocks, **options):
+        seen.append(b"".join(blocks))
+        return zstandard.ZstdCompressionDict(b"some dictionary")
+
+    texts = [bytes([97 + k % 26]) * n for k, n in enumerate([0, 1, 2048, 50_001, 7_000_000, 300_000])]
+    monkeypatch.setattr(zstandard, "train_dictionary", train_dictionary)
+    compression_quality.train_dictionaries(texts + [b"bad"], [1] * len(texts) + [0])
+    assert seen == [b"".join(texts), b"bad"]
+
+
 @pytest.mark.parametrize("module", [toxicity, compression_quality])
 def test_classifiers_without_labels_or_rows(make_docs, spark, module):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

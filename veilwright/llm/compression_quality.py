@@ -28,8 +28,6 @@ MODULUS, HELD_OUT = 5, 0
 SAMPLE = 12_000
 #: Bytes of one compressed block, and of one dictionary.
 BLOCK, DICTIONARY = 2048, 64 * 1024
-#: Bytes a dictionary is trained on, at most, and the bytes one document may give: spread over the whole document.
-TRAINING, PER_DOCUMENT = 6_000_000, 8192
 LEVEL = 1
 
 
@@ -73,17 +71,8 @@ def train_dictionaries(texts: list[bytes], labels: list[int]) -> tuple[bytes, by
 
     out = []
     for label in (1, 0):
-        blocks: list[bytes] = []
-        size = 0
-        for text in (t for t, y in zip(texts, labels, strict=True) if y == label):
-            # Blocks spread over the whole text, as many as a document may give.
-            starts = range(0, len(text), BLOCK)
-            step = max(1, math.ceil(len(starts) * BLOCK / PER_DOCUMENT))
-            for at in starts[::step]:
-                blocks.append(text[at:at + BLOCK])
-                size += len(blocks[-1])
-            if size > TRAINING:
-                break
+        # All blocks of all texts.
+        blocks = [t[at:at + BLOCK] for t, y in zip(texts, labels, strict=True) if y == label for at in range(0, len(t), BLOCK)]
         try:
             content = zstandard.train_dictionary(DICTIONARY, blocks, level=LEVEL, k=512, d=8).as_bytes()
         except zstandard.ZstdError:  # too few samples for a trained one: their own bytes serve
