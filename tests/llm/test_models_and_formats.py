@@ -266,6 +266,17 @@ def test_archive_of_odd_pages(spark, tmp_path_factory, least):
     assert found == sorted(expected, key=repr)
 
 
+def test_pages_of_a_hot_payload_meet_their_first_in_many_tasks(spark, small_partitions):
+    rows = [(i, f"u{i}", prose(i, 60)) for i in range(40)] + [(i, f"u{i}", prose(99, 120)) for i in range(40, 2040)]
+    out = warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8))
+    found = out.select("record_type", "refers_to").collect()
+    assert sum(r["record_type"] == "response" for r in found) == 41
+    assert {r["refers_to"] for r in found if r["record_type"] == "revisit"} == {"<urn:x-page:40>"}
+    out = warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8))
+    out.collect()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_archive_of_no_pages(spark, tmp_path_factory):
     assert warc.read_archive(spark, archived(spark, tmp_path_factory, [])).collect() == []
 

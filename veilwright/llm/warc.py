@@ -48,6 +48,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from veilwright.sources.scratch import written
+
 #: Column -> header.
 HEADERS = {
     "record_type": "WARC-Type",
@@ -389,14 +391,15 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 def page_records(pages: DataFrame, least: int = 0) -> DataFrame:
     """A WARC record per page. Of equal payloads of at least `least` bytes only the smallest page_id's is stored.
 
-    Payloads meet by SHA-1; the group's smallest id is found with a map-side minimum, and a large group is an ordinary
-    skewed join, which Spark splits.
+    Payloads meet by SHA-1; the group's smallest id is found with a map-side minimum. Those are stored first, so a large
+    group is an ordinary skewed join of two plain shuffles, which Spark splits.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     each = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         payload.alias("payload"))
     hashed = each.select("*", F.sha1("payload").alias("hash"), F.octet_length("payload").cast("long").alias("n"))
     first = hashed.where(F.col("n") >= least).groupBy(F.col("hash").alias("known_hash")).agg(F.min("page_id").alias("first"), F.lit(True).alias("known"))
+    first = written(first, "first_pages")
     # As a left join on the hash alone; short payloads find no partner.
     joined = hashed.join(first, (F.col("hash") == F.col("known_hash")) & (F.col("n") >= least), "left")
     revisit = F.coalesce(F.col("known"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
