@@ -331,6 +331,23 @@ def test_top_k_against_brute_force(spark, shard):
     assert sorted(tuple(r) for r in found.collect()) == best_by_hand(vectors, 5, 10)
 
 
+def test_top_k_of_large_components(spark):
+    vectors = [[3e12, 1.0], [1.0, -2.0], [2.0, 5.0], [1e6, 1e6], [float("inf"), 1.0], [float("nan"), 1.0], [-3e12, 0.5]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    found = topk.top_k(rows, F.col("vec_id").isin(1, 2), k=4).collect()
+    whole = {i: [int(256 * x) for x in v] for i, v in enumerate(vectors) if i not in (4, 5)}
+    for q in (1, 2):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:4]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q) == [
+            (n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    # The bound is too large for 64 bits, the scores found are not.
+    wide = topk.Postings(np.arange(3), np.array([[1 << 60, 0], [-(1 << 60), 1], [3, 4]]))
+    ids, scores = wide.best(0, np.array([1 << 60, 0]), 1)
+    assert (ids.tolist(), scores.tolist()) == ([2], [3 << 60])
+    with pytest.raises(OverflowError):
+        wide.best(1, np.array([1 << 60, 0]), 1)
+
+
 def test_top_k_of_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [-0.5])], schema)

@@ -13,7 +13,8 @@ Rows are dealt out by their place in the table, so no value can make a shard lar
 Nulls and odd cases: vectors that are null, empty, of another length than most (`dimensions`), or that hold a null or
 non-finite component take no part, nor do rows with a null id. Repeated ids are repeated candidates, but no row is a
 candidate for a query of its own id. Equal scores go by the smaller id. An empty table gives an empty result; further
-columns are ignored.
+columns are ignored. Where a score might leave 64 bits, it is computed with whole numbers of any size; a weight or a found
+score that does not fit in a bigint is an error.
 """
 
 from __future__ import annotations
@@ -34,10 +35,13 @@ SHARD, BLOCK = 20_000, 1_000
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, weights): floor(scale * component) as integers, for the rows that take part."""
     parts = F.col("embedding").cast("array<double>")
-    usable = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e12))
+    usable = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    scaled = lambda x: F.floor(F.lit(float(scale)) * x)
+    weight = lambda x: F.when(F.abs(F.lit(float(scale)) * x) < 2.0**63, scaled(x).cast("long")).otherwise(
+        F.raise_error(F.lit("a vector's weight does not fit in a bigint")).cast("long"))
     return vectors.where(F.col("vec_id").isNotNull() & (F.size(parts) > 0) & usable).select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(parts, lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("weights"))
+        F.transform(parts, weight).alias("weights"))
 
 
 @dataclass
@@ -54,9 +58,12 @@ class Postings:
         self.negative = [np.flatnonzero(row < 0) for row in self.matrix]
         self.most = np.maximum(self.matrix.max(axis=1), 0)
         self.least = np.minimum(self.matrix.min(axis=1), 0)
+        self.size = np.maximum(self.most.astype(float), -self.least.astype(float))
 
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors for one query; ties by the smaller id."""
+        if float(np.abs(query.astype(float)) @ self.size) >= 2.0**61:  # sums of bounds and scores might overflow
+            return self._best_wide(own, query, k)
         bounds = np.where(query > 0, query * self.most, query * self.least)
         order = np.argsort(-bounds, kind="stable")
         open_after = np.append(np.cumsum(bounds[order][::-1])[::-1], 0)  # bounds of this term and all later ones
@@ -88,6 +95,18 @@ class Postings:
         top = np.lexsort((self.ids[candidates], -partial))[:k]
         return self.ids[candidates[top]], partial[top]
 
+    def _best_wide(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by Python's whole numbers, of all vectors."""
+        others = np.flatnonzero(self.ids != own)
+        scores = [0] * len(others)
+        for weight, row in zip(query.tolist(), self.matrix, strict=True):
+            if weight:
+                scores = [s + weight * w for s, w in zip(scores, row[others].tolist(), strict=True)]
+        top = sorted(range(len(others)), key=lambda i: -scores[i])[:k]  # places are in the ids' order
+        if any(not -(1 << 63) <= scores[i] < 1 << 63 for i in top):
+            raise OverflowError(f"a score of query {own} does not fit in a bigint")
+        return self.ids[others[top]], np.array([scores[i] for i in top], np.int64)
+
     def _first_threshold(self, own: int, query: np.ndarray, term: int, k: int) -> int:
         """A k-th best score that some vectors really have: those with the largest weights under the best terms."""
         size = min(len(self.ids), 8 * k + 1)
