@@ -348,6 +348,35 @@ def test_top_k_of_large_components(spark):
         wide.best(1, np.array([1 << 60, 0]), 1)
 
 
+class Counted(np.ndarray):
+    """Counts the places that are multiplied."""
+
+    places = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **options):
+        out = getattr(ufunc, method)(*[np.asarray(x) for x in inputs], **options)
+        Counted.places += np.size(out) if ufunc is np.multiply else 0
+        return out
+
+
+@pytest.mark.parametrize("filled", [3, 30])
+def test_top_k_scores_along_the_postings(filled):
+    rng = np.random.default_rng(filled)
+    matrix = np.zeros((3000, 64), np.int64)
+    for row in matrix:
+        row[rng.choice(64, filled, replace=False)] = rng.integers(-300, 300, filled)
+    postings = topk.Postings(np.arange(3000), matrix.copy())
+    postings.matrix = postings.matrix.view(Counted)
+    Counted.places = 0
+    for own in range(40):
+        ids, scores = postings.best(own, matrix[own], 5)
+        full = matrix @ matrix[own]
+        best = [i for i in np.lexsort((np.arange(3000), -full)) if i != own][:5]
+        assert ids.tolist() == best and scores.tolist() == full[best].tolist()
+    if filled == 3:  # the first probe reads one column of 3000, the postings hold about 70 places each
+        assert Counted.places / 40 < 4000
+
+
 def test_top_k_of_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [-0.5])], schema)

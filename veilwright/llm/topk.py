@@ -4,8 +4,9 @@ A component of a vector, split by sign, is a term; a vector's weight under it is
 terms whose sign matches raise the score by at most |query weight| times the term's largest weight in the shard, the
 others can only lower it. Terms are put in order of that bound. Those whose bounds together stay below the k-th best
 score so far are non-essential: a vector found in none of the essential terms' postings cannot get in. The essential
-postings are traversed and added up; the candidates are then probed in the other terms, the largest bound first, as long
-as their sum so far and the bounds still open reach the k-th best.
+postings are traversed and added up, and the full scores of the best raise the k-th best score. The candidates are then
+probed for the essential terms' opposite signs and in the other terms, the largest bound first, as long as their sum so
+far and the bounds still open reach the k-th best.
 
 Shards of vectors and blocks of queries have bounded sizes. Each block visits each shard, its best per shard are merged.
 Rows are dealt out by their place in the table, so no value can make a shard large.
@@ -70,18 +71,28 @@ class Postings:
         threshold = self._first_threshold(own, query, int(order[0]), k)
         # The essential terms: the shortest head after which the rest alone cannot reach the threshold.
         essential = int(np.argmax(open_after < threshold)) if (open_after < threshold).any() else len(order)
+        # Along the essential postings; a vector in none of them keeps 0, which the other terms cannot lift enough.
         score = np.zeros(len(self.ids), np.int64)
-        seen = np.zeros(len(self.ids), bool)
         for term in order[:essential].tolist():
             if query[term]:
-                score += query[term] * self.matrix[term]
-                seen[self.positive[term] if query[term] > 0 else self.negative[term]] = True
-        seen[self.ids == own] = False
-        if essential == len(order):  # nothing is bounded away: vectors without any matching term count as well
-            candidates = np.flatnonzero(self.ids != own)
-        else:
-            candidates = np.flatnonzero(seen & (score + open_after[essential] >= threshold))
+                at = self.positive[term] if query[term] > 0 else self.negative[term]
+                score[at] += query[term] * self.matrix[term][at]
+        others, rest = self.ids != own, open_after[essential]
+        candidates = np.flatnonzero(others & (score + rest >= threshold))
+        if len(candidates) > k:
+            # The full scores of the best so far raise the threshold.
+            size = min(len(candidates), 8 * k)
+            full = query @ self.matrix[:, candidates[np.argpartition(-score[candidates], size - 1)[:size]]]
+            if size >= k:
+                threshold = max(threshold, int(np.partition(full, size - k)[size - k]))
+            candidates = candidates[score[candidates] + rest >= threshold]
         partial = score[candidates]
+        for term in order[:essential].tolist():  # the essential terms' opposite signs, which only lower a score
+            if query[term]:
+                partial = partial + np.minimum(query[term] * self.matrix[term][candidates], 0)
+                stay = partial + rest >= threshold
+                if not stay.all():
+                    candidates, partial = candidates[stay], partial[stay]
         for place in range(essential, len(order)):
             term = int(order[place])
             if query[term]:
