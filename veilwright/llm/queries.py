@@ -11,6 +11,7 @@ from veilwright.sources.scratch import scratch_path
 
 from . import (
     chat,
+    collocations,
     compression_quality,
     packing,
     quality_rules,
@@ -171,3 +172,40 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op12_son_collocations(spark, sf_dir):
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+# Every phrase of every piece, counted; whole numbers of 128 bits for the products.
+ORACLES["op12_son_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS words
+  FROM documents, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS u(p)),
+f AS (
+  SELECT lang, k, words[i:i + k - 1] AS words, count(*) AS a
+  FROM piece, unnest([1, 2, 3, 4]) AS s(k), unnest(range(1, len(words) - k + 2)) AS t(i)
+  GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+cut AS (
+  SELECT c.lang, c.k, c.words, c.a, x.a AS l, y.a AS r, place,
+    CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM c, unnest(range(1, c.k)) AS s(place)
+  JOIN f AS x ON x.lang = c.lang AND x.words = c.words[1:place]
+  JOIN f AS y ON y.lang = c.lang AND y.words = c.words[place + 1:c.k]),
+worst AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, place) = 1),
+around AS (
+  SELECT lang, words[i:i + m - 1] AS words, max(a) AS most
+  FROM c, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS t(i) GROUP BY ALL),
+ranked AS (
+  SELECT w.lang, array_to_string(w.words, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, array_to_string(w.words, ' ')) AS rank
+  FROM worst AS w LEFT JOIN around USING (lang, words)
+  WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
