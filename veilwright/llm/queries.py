@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.sources.scratch import scratch_path
+from veilwright.sources.scratch import scratch_path, written
 
 from . import (
+    alignment,
     chat,
     collocations,
     compression_quality,
@@ -209,3 +210,14 @@ ranked AS (
   WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_cross_tokenizer_alignment(spark, sf_dir):
+    sides = public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model")
+    aligned = alignment.align(load(spark, sf_dir, "documents"), *sides)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    # What the query needs of the groups is stored, not the groups: they are some three times as long as the texts.
+    stored = written(aligned.select("doc_id", "n_a", "n_b", digest.alias("groups_sha256"), "links"), "aligned")
+    return alignment.with_counts(stored, *sides).select(
+        "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
