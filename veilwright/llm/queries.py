@@ -18,6 +18,7 @@ from . import (
     quality_rules,
     sentencepieces,
     simhash,
+    sitetree,
     substrings,
     topk,
     toxicity,
@@ -221,3 +222,8 @@ def op13_cross_tokenizer_alignment(spark, sf_dir):
     stored = written(aligned.select("doc_id", "n_a", "n_b", digest.alias("groups_sha256"), "links"), "aligned")
     return alignment.with_counts(stored, *sides).select(
         "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op11_site_style_tree(spark, sf_dir):
+    return sitetree.main_text(load(spark, sf_dir, "pages"))
