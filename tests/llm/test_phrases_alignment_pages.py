@@ -66,16 +66,16 @@ def phrase_rows(seed, many):
     return rows
 
 
-@pytest.mark.parametrize("shard", [150, 4000, collocations.SHARD])
+@pytest.mark.parametrize("block", [150, 4000, collocations.BLOCK])
 @pytest.mark.parametrize("support", [3, 30])
-def test_phrases_like_by_hand(spark, shard, support):
-    rows = phrase_rows(shard + support, 120) + [("en", None), ("en", ""), (None, " \t . "), ("de", "A b c")] + [("fr", "un deux trois")] * 40
-    found = collocations.collocations(lang_docs(spark, rows), support, 25, shard)
+def test_phrases_like_by_hand(spark, block, support):
+    rows = phrase_rows(block + support, 120) + [("en", None), ("en", ""), (None, " \t . "), ("de", "A b c")] + [("fr", "un deux trois")] * 40
+    found = collocations.collocations(lang_docs(spark, rows), support, 25, block)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, found.collect())) == phrases_by_hand(rows, support, 25)
 
 
-def test_phrases_of_a_long_text_are_counted_over_shard_borders(spark):
+def test_phrases_of_a_long_text_are_counted_over_block_borders(spark):
     rows = [("en", "one two three four five, " * 400_000), ("en", "one two " * 3)]  # 10 MB
     found = collocations.collocations(lang_docs(spark, rows), 30, 10).collect()
     assert sorted(map(tuple, found)) == phrases_by_hand(rows, 30, 10)
@@ -87,10 +87,11 @@ def test_phrases_of_nothing(spark):
 
 
 def test_a_shard_hides_no_more_than_the_support_allows(spark):
-    """29 occurrences in all, dealt over shards: no shard reports much, and the phrase is no candidate; 30 make it one."""
+    """Occurrences dealt over all shards: 30 make a phrase, 29 do not, and no shard has more than a few of them."""
     rows = [("en", "p q. " + prose(i, 40)) for i in range(30)]
     for many in (29, 30):
-        found = collocations.collocations(lang_docs(spark, rows[:many]), 30, 2000, 300).collect()
+        docs = lang_docs(spark, rows[:many]).repartition(12)
+        found = collocations.collocations(docs, 30, 2000, 300).collect()
         assert ("p q" in {r["phrase"] for r in found}) == (many == 30)
 
 
@@ -165,16 +166,20 @@ def test_alignment_of_random_texts(make_docs, seed):
     assert align_all(make_docs(rows)) == aligned_by_hand(rows)
 
 
-def test_long_texts_are_tokenized_in_parts_with_the_same_tokens(make_docs, monkeypatch):
+def test_remembered_units_change_nothing(monkeypatch):
     rng = random.Random(5)
-    text = "".join(rng.choice(["word ", "x", " ", "  ", "é", "12 ", "don't ", "\n", "Über "]) for _ in range(5000))
-    monkeypatch.setattr(alignment, "LONG", 40)
-    assert len(alignment.segments(text)) > 100
-    aligner = alignment.Aligner(A, B)
-    (ids_a, _), (ids_b, _) = aligner.tokens([text, "", text[:50]])
-    monkeypatch.undo()
-    (whole_a, first_a), (whole_b, first_b) = aligner.tokens([text, "", text[:50]])
-    assert first_a[1] > 1000 and ids_a.tolist() == whole_a.tolist() and ids_b.tolist() == whole_b.tolist()
+    texts = ["".join(rng.choice(["word ", "x", " ", "  ", "é", "12 ", "don't ", "\n", "Über ", "\x1f ", "\u3000", "▁"][:11 + (i % 9 == 0)])
+                     for _ in range(200)) for i in range(60)]
+    expected = aligned_by_hand(list(enumerate(texts)))
+    for most, word in ((200_000, 1 << 16), (3, 4)):
+        monkeypatch.setattr(alignment, "REMEMBERED", most)
+        monkeypatch.setattr(alignment, "WORD", word)
+        aligner = alignment.Aligner(A, B)
+        found = []
+        for at in range(0, 60, 7):
+            sides, links = aligner.align(texts[at:at + 7])
+            found += zip(aligner.groups(sides, links), (sides[0][1][1:] - sides[0][1][:-1]).tolist(), strict=True)
+        assert [(i, *f) for i, f in enumerate(found)] == sorted((r[0], r[7], r[1]) for r in expected)
 
 
 def test_lockstep_does_not_depend_on_the_stride():

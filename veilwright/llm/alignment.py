@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from veilwright.sources.scratch import written
 
-from .batches import bounded
+from .batches import bounded, ragged_arange
 
-#: Characters of text aligned together (a longer text stands alone); characters of a long text's parts, which are tokenized
-#: one by one; bytes of text that one walker walks over.
-CHUNK, LONG, STRIDE = 1 << 20, 1 << 16, 1024
+#: Characters of text aligned together (a longer text stands alone); bytes of text that one walker walks over.
+CHUNK, STRIDE = 1 << 20, 1024
+#: Characters of a unit that may be remembered, and units that are.
+WORD, REMEMBERED = 1 << 16, 200_000
 SPACE = "▁"
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def letters_of_bytes() -> dict[str, int]:
@@ -160,30 +161,62 @@ def lockstep(ends_a: np.ndarray, first_a: np.ndarray, ends_b: np.ndarray, first_
 
 
 class Aligner:
-    """Both tokenizers, and the pairs of their tokens that may be linked."""
+    """Both tokenizers, the pairs of their tokens that may be linked, and the tokens of units met lately.
+
+    A unit is a stretch of text between two single blanks that stand between other signs. Neither tokenizer has a token over
+    such a blank, and both put it before what follows, so a text's tokens are those of its units, each behind a space.
+    Units of up to `WORD` signs are remembered, `REMEMBERED` of them at most.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.sides = TokenizerA(path_a), TokenizerB(path_b)
         self.pairs = Pairs(*[side.bytes for side in self.sides])
         self._lengths = [np.array([len(t) for t in side.bytes], np.int64) for side in self.sides]
-        self._decimal = [str(i) for i in range(max(len(side.bytes) for side in self.sides))]
+        # A token of a group's A side, the last one of it, and the last one of its B side.
+        self._shown = [f"{i}{mark}" for i in range(max(len(side.bytes) for side in self.sides)) for mark in ",|;"]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {}
+        self._right = np.zeros(0, bool)
+        self._ids = [np.zeros(0, np.int64) for _ in self.sides]
+        self._first = [np.zeros(1, np.int64) for _ in self.sides]
+
+    def _learn(self, units: list[str]) -> None:
+        """Number and tokenize units that are not known."""
+        found = [side.encode(units) for side in self.sides]
+        right = np.ones(len(units), bool)
+        for k, unit in enumerate(units):
+            expected = b" " + unit.encode()
+            right[k] = all(b"".join(map(side.bytes.__getitem__, ids[k])) == expected for side, ids in zip(self.sides, found, strict=True))
+        self._known.update(zip(units, range(len(self._right), len(self._right) + len(units)), strict=True))
+        self._right = np.concatenate([self._right, right])
+        for k, ids in enumerate(found):
+            self._ids[k] = np.concatenate([self._ids[k], np.fromiter((t for own in ids for t in own), np.int64)])
+            self._first[k] = np.concatenate([self._first[k], self._first[k][-1] + np.cumsum([len(own) for own in ids], dtype=np.int64)])
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Flat ids of both sides, each with the first place of every text; none where they do not give back the text."""
-        parts = [segments(t) for t in texts]
-        flat = [p for own in parts for p in own]
-        owner = np.repeat(np.arange(len(texts)), [len(own) for own in parts])
-        found = [side.encode(flat) for side in self.sides]
-        right = np.ones(len(texts), bool)
-        for side, ids in zip(self.sides, found, strict=True):
-            for k, (part, own) in enumerate(zip(flat, ids, strict=True)):
-                if b"".join(map(side.bytes.__getitem__, own)) != b" " + part.encode():
-                    right[owner[k]] = False
+        split = [_CUT.split(t) if t else [] for t in texts]
+        if len(self._known) > REMEMBERED:
+            self._forget()
+        # In the order met, so that a run does not depend on hashing.
+        missing = [u for u in dict.fromkeys(u for units in split for u in units) if u not in self._known]
+        if missing:
+            self._learn(missing)
+        known = self._known
+        units = np.fromiter((known[u] for own in split for u in own), np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(own) for own in split])
+        right = np.bincount(owner[~self._right[units]], minlength=len(texts)) == 0
+        units, owner = units[right[owner]], owner[right[owner]]
         out = []
-        for ids in found:
-            kept = [own if right[owner[k]] else [] for k, own in enumerate(ids)]
-            sizes = np.bincount(owner, [len(own) for own in kept], minlength=len(texts)).astype(np.int64)
-            out.append((np.fromiter((t for own in kept for t in own), np.int64), np.concatenate([[0], np.cumsum(sizes)])))
+        for ids, first in zip(self._ids, self._first, strict=True):
+            sizes = (first[1:] - first[:-1])[units]
+            flat = ids[np.repeat(first[units], sizes) + ragged_arange(sizes)]
+            of_text = np.bincount(owner, sizes, minlength=len(texts)).astype(np.int64)
+            out.append((flat, np.concatenate([[0], np.cumsum(of_text)])))
+        if any(len(u) > WORD for u in missing):
+            self._forget()
         return out
 
     def align(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], Aligned]:
@@ -191,28 +224,20 @@ class Aligner:
         ends = [np.cumsum(lengths[ids]) for lengths, (ids, _) in zip(self._lengths, sides, strict=True)]
         return sides, lockstep(ends[0], sides[0][1], ends[1], sides[1][1])
 
-    def groups(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: list[int], cuts_b: list[int]) -> str:
-        """`a1,a2|b1;a3|b2,b3`: the tokens between neighbouring cuts; a cut is the place of the last token before it."""
-        a, b = (list(map(self._decimal.__getitem__, ids.tolist())) for ids in (ids_a, ids_b))
-        out, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip(cuts_a, cuts_b, strict=True):
-            out.append(f"{','.join(a[from_a:to_a + 1])}|{','.join(b[from_b:to_b + 1])}")
-            from_a, from_b = to_a + 1, to_b + 1
-        return ";".join(out)
-
-
-def segments(text: str) -> list[str]:
-    """A long text in parts that can be tokenized one by one: each is tokenized behind a space, the one that it was cut at.
-
-    Neither tokenizer has a token over a single space between two letters or digits, so the parts' tokens are the text's.
-    """
-    if not text:
-        return []
-    parts, at = [], 0
-    while len(text) - at > LONG and (cut := _CUT.search(text, at + LONG)):
-        parts.append(text[at:cut.start()])
-        at = cut.end()
-    return [*parts, text[at:]]
+    def groups(self, sides: list[tuple[np.ndarray, np.ndarray]], links: Aligned) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` of every text: the tokens between neighbouring cuts."""
+        (a, first_a), (b, first_b) = sides
+        # The group of each token, and its place when all groups are written one behind the other.
+        group_a = np.searchsorted(links.a, np.arange(len(a)))
+        group_b = np.searchsorted(links.b, np.arange(len(b)))
+        place_a = np.arange(len(a)) + np.concatenate([[0], links.b + 1])[group_a]
+        place_b = np.arange(len(b)) + (links.a + 1)[group_b]
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[place_a], shown[place_b] = 3 * a, 3 * b
+        shown[place_a[links.a]] += 1
+        shown[place_b[links.b]] += 2
+        first = first_a + first_b
+        return ["".join(map(self._shown.__getitem__, shown[first[k]:first[k + 1]].tolist()))[:-1] for k in range(len(first) - 1)]
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -223,17 +248,13 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             values = [t.as_py() or "" for t in batch.column(1)]
             for part in bounded(values, CHUNK):
-                ((a, first_a), (b, first_b)), links = aligner.align(values[part.start:part.stop])
+                sides, links = aligner.align(values[part.start:part.stop])
+                (a, first_a), (b, first_b) = sides
                 numbers = aligner.pairs.numbers(a[links.a], b[links.b])
-                groups, own = [], []
-                for k in range(len(part)):
-                    at = slice(links.first[k], links.first[k + 1])
-                    groups.append(aligner.groups(a[first_a[k]:first_a[k + 1]], b[first_b[k]:first_b[k + 1]],
-                                                 (links.a[at] - first_a[k]).tolist(), (links.b[at] - first_b[k]).tolist()))
-                    own.append(numbers[at].tobytes())
+                own = [numbers[links.first[k]:links.first[k + 1]].tobytes() for k in range(len(part))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.start, len(part)), pa.array(np.diff(first_a)), pa.array(np.diff(first_b)),
-                     pa.array(groups, pa.string()), pa.array(own, pa.binary())],
+                     pa.array(aligner.groups(sides, links), pa.string()), pa.array(own, pa.binary())],
                     names=["doc_id", "n_a", "n_b", "groups", "links"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

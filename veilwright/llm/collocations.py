@@ -1,21 +1,18 @@
 """Phrase collocation mining by SON partitioning.
 
-Phrases are 2 to 4 neighbouring words of one piece, counted per language. Each shard (a bounded block of text of one
-language) is mined completely at a support lowered in proportion to its share of the language's words; the phrases that
-are frequent in some shard are united, and all of them are then counted over the whole corpus, by their words, exactly.
+Phrases are 2 to 4 neighbouring words of one piece, counted per language. The corpus is parted into `SHARDS` shards, each of
+which is mined completely at a support lowered in proportion: (support - 1) // SHARDS + 1, so that what all shards may hide
+together stays below the support. The phrases that are frequent in some shard are united, and all of them are then counted
+over the whole corpus, by their words, exactly.
 
+* The number of shards does not depend on the corpus, or local supports would fall to 1. A shard is mined by many tasks:
+  every block of text gives the counts of its phrases, and blocks of one shard are added up by an aggregate.
 * A phrase cannot be more frequent than its parts, so words are counted first, then pairs are mined among frequent words
-  and longer phrases among candidate pairs.
-* A shard reports what a phrase has beyond the support it could have had unseen. A phrase whose reports and the unseen
-  rest of all shards together stay below the support is no candidate. Phrases travel as 64-bit hashes there: equal hashes
-  can only add candidates.
+  and longer phrases among candidate pairs. Phrases travel as 64-bit hashes there: equal hashes can only add candidates.
 * Candidates reach the tasks as a bit set of bounded size (`MOST_BITS`). A false hit is counted, and dropped for its count.
 
-Local supports fall to 1 where shards are many; then a shard reports all that its frequent words leave over, and the sums
-are the counts.
-
 Nulls and odd cases: a null text is empty, a null language is `und`. Repeated rows count each time; ids play no part. A very
-long text is cut into shards at blanks, each of which sees the three words behind it, so no phrase is lost. An empty table
+long text is cut into blocks at blanks, each of which sees the three words behind it, so no phrase is lost. An empty table
 gives an empty result; further columns are ignored. In text that is no UTF-8 the byte 0xFF ends a piece.
 """
 
@@ -26,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -34,10 +32,8 @@ from veilwright.sources.scratch import written
 
 from .batches import mix64
 
-#: Bytes of text of one shard; words of the longest phrase; bits of the candidates' set, at most (16 MB).
-SHARD, LONGEST, MOST_BITS = 6 << 20, 4, 1 << 27
-#: Languages whose sizes travel to the tasks; the others' shards are mined at a support of 1, which loses nothing.
-LANGUAGES = 1000
+#: Shards; bytes of text of one block; words of the longest phrase; bits of the candidates' set, at most (16 MB).
+SHARDS, BLOCK, LONGEST, MOST_BITS = 6, 6 << 20, 4, 1 << 27
 
 BREAK = b"\xff"
 #: A-Z in lower case, and every byte that ends a piece as one sign.
@@ -47,7 +43,7 @@ _LOOKAHEAD = re.compile(rb"(?:[ \t]*[^ \t\xff]+){0,%d}" % (LONGEST - 1))
 _JOIN = np.uint64(0x9FB21C651E98DF25)
 
 
-class Shard:
+class Block:
     """Words of a block of text as numbers; number 0 is the end of a piece. Phrases start in the first `starts` places."""
 
     def __init__(self, lang: str, text: bytes, behind: bytes = b"") -> None:
@@ -127,7 +123,7 @@ class BitSet:
 
 
 def segments(text: bytes, most: int) -> Iterator[tuple[bytes, bytes]]:
-    """A prepared text in parts of about `most` bytes, cut at separators, each with the words behind it in its piece."""
+    """A prepared text in blocks of about `most` bytes, cut at separators, each with the words behind it in its piece."""
     at = 0
     while at < len(text):
         end = len(text)
@@ -138,21 +134,21 @@ def segments(text: bytes, most: int) -> Iterator[tuple[bytes, bytes]]:
         at = end
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
-    """The shards of a stream of (lang, text). What waits for its shard to fill is `most` bytes and one text at most."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
+    """The blocks of a stream of (lang, text), of one language each. What waits for its block to fill is `most` bytes and one text at most."""
     waiting: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
 
-    def close(lang: str) -> Shard:
+    def close(lang: str) -> Block:
         sizes.pop(lang)
-        return Shard(lang, BREAK.join(waiting.pop(lang)))
+        return Block(lang, BREAK.join(waiting.pop(lang)))
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             prepared = (text.as_py() or b"").translate(_PREPARED)
             if len(prepared) > most:
                 for part, behind in segments(prepared, most):
-                    yield Shard(lang, part, behind)
+                    yield Block(lang, part, behind)
             elif prepared:
                 waiting.setdefault(lang, []).append(prepared)
                 sizes[lang] = sizes.get(lang, 0) + len(prepared) + 1
@@ -166,60 +162,50 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def count_words(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+def count_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(lang, phrase, a): occurrences of every word."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in shards(batches, shard):
-            n = s.counts()
+        for b in blocks(batches, block):
+            n = b.counts()
             found = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s.lang] * len(found), pa.string()), pa.array([s.words[i] for i in found.tolist()], pa.binary()),
+                [pa.array([b.lang] * len(found), pa.string()), pa.array([b.words[i] for i in found.tolist()], pa.binary()),
                  pa.array(n[found], pa.int64())], names=["lang", "phrase", "a"])
 
     each = _texts(docs).mapInArrow(over, "lang string, phrase binary, a long")
     return each.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def mine(docs: DataFrame, totals: dict[str, int], words: BitSet, support: int, pairs: BitSet | None = None,
-         shard: int = SHARD) -> DataFrame:
-    """(lang, key) of the phrases that may reach `support`: pairs, or the longer ones made of `pairs`.
-
-    A shard with the share p of its language's words has the local support floor((support - 1) * p) + 1: what all shards
-    may hold unseen stays below `support`.
-    """
+def mine(docs: DataFrame, words: BitSet, support: int, pairs: BitSet | None = None, block: int = BLOCK,
+         shards: int = SHARDS) -> DataFrame:
+    """(key) of the phrases that are frequent in some shard: pairs, or the longer ones made of `pairs`."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in shards(batches, shard):
-            own = int(s.counts().sum())
-            unseen = (support - 1) * own // totals[s.lang] if totals.get(s.lang) else 0
-            keys, beyond = [], []
-            for length, _, hashes, counts in s.phrases(words, 2 if pairs is None else LONGEST, pairs, sieved=2):
+        shard = TaskContext.get().partitionId() % shards
+        for b in blocks(batches, block):
+            for length, _, hashes, counts in b.phrases(words, 2 if pairs is None else LONGEST, pairs, sieved=2):
                 if pairs is None or length > 2:
-                    seen = counts > unseen
-                    keys.append(hashes[seen].view(np.int64))
-                    beyond.append(counts[seen] - unseen)
-            key, n = np.concatenate(keys), np.concatenate(beyond)
-            # The row without a key tells what this shard may hold unseen.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s.lang] * (len(key) + 1), pa.string()), pa.array([*key.tolist(), None], pa.int64()),
-                 pa.array(np.append(n, unseen), pa.int64())], names=["lang", "key", "n"])
+                    found = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(found), shard, np.int8)), pa.array(hashes[found].view(np.int64)), pa.array(counts[found])],
+                        names=["shard", "key", "n"])
 
-    mined = written(_texts(docs).mapInArrow(over, "lang string, key long, n long"), "mined")
-    unseen = written(mined.where("key is null").groupBy("lang").agg(F.sum("n").alias("unseen")), "unseen")
-    summed = mined.where("key is not null").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return summed.join(unseen, "lang").where(F.col("n") + F.col("unseen") >= support).select("lang", "key")
+    each = _texts(docs).mapInArrow(over, "shard byte, key long, n long")
+    # A phrase below this in every shard has at most shards * (local - 1) < support occurrences.
+    local = (support - 1) // shards + 1
+    return each.groupBy("shard", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= local).select("key").distinct()
 
 
-def count_phrases(docs: DataFrame, words: BitSet, candidates: BitSet, shard: int = SHARD) -> DataFrame:
+def count_phrases(docs: DataFrame, words: BitSet, candidates: BitSet, block: int = BLOCK) -> DataFrame:
     """(lang, phrase, k, a): exact counts, by their words, of the phrases in `candidates`."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in shards(batches, shard):
-            for length, rows, _, counts in s.phrases(words, LONGEST, candidates):
+        for b in blocks(batches, block):
+            for length, rows, _, counts in b.phrases(words, LONGEST, candidates):
                 found = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s.lang] * len(found), pa.string()), pa.array([s.text_of(rows[i]) for i in found.tolist()], pa.binary()),
+                    [pa.array([b.lang] * len(found), pa.string()), pa.array([b.text_of(rows[i]) for i in found.tolist()], pa.binary()),
                      pa.array([length] * len(found), pa.int32()), pa.array(counts[found], pa.int64())],
                     names=["lang", "phrase", "k", "a"])
 
@@ -227,29 +213,27 @@ def count_phrases(docs: DataFrame, words: BitSet, candidates: BitSet, shard: int
     return each.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a"))
 
 
-def frequent_phrases(docs: DataFrame, support: int = 30, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, support: int = 30, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables (lang, phrase, k, a) of the phrases of 2 to 4 words and (lang, phrase, a) of the words that occur `support`
     times, and (lang, n) of all words."""
-    words = written(count_words(docs, shard), "words")
+    words = written(count_words(docs, block), "words")
     n = written(words.groupBy("lang").agg(F.sum("a").alias("n")), "languages")
-    largest = n.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    totals = {r["lang"]: r["n"] for r in largest}
     words = words.where(F.col("a") >= support)
     allowed = BitSet.of(words.select(F.xxhash64("lang", "phrase").alias("key")), "key")
-    pairs = written(mine(docs, totals, allowed, support, None, shard), "pairs")
-    longer = written(mine(docs, totals, allowed, support, BitSet.of(pairs, "key"), shard), "longer")
+    pairs = written(mine(docs, allowed, support, None, block), "pairs")
+    longer = written(mine(docs, allowed, support, BitSet.of(pairs, "key"), block), "longer")
     united = BitSet.of(pairs.unionByName(longer), "key")
-    counted = count_phrases(docs, allowed, united, shard).where(F.col("a") >= support)
+    counted = count_phrases(docs, allowed, united, block).where(F.col("a") >= support)
     return written(counted, "phrases"), words, n
 
 
-def collocations(docs: DataFrame, support: int = 30, most: int = 2000, shard: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, support: int = 30, most: int = 2000, block: int = BLOCK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's `most` best phrases.
 
     A phrase's score is that of its worst cut, floor(2000000 * a / (l + r)) for the frequencies l and r of both sides.
     Phrases inside a longer one that is at least four fifths as frequent are left out.
     """
-    phrases, words, n = frequent_phrases(docs, support, shard)
+    phrases, words, n = frequent_phrases(docs, support, block)
     known = written(phrases.select("lang", "phrase", "a").unionByName(words.select("lang", "phrase", "a")), "known")
     text = F.col("phrase").cast("string")
     cuts = phrases.select("lang", text.alias("phrase"), "k", "a", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
