@@ -267,3 +267,48 @@ def test_expectation_maximisation_finds_the_rates():
     assert abs(fitted.good - 0.8) < 0.03
     assert all(abs(a - b) < 0.06 for a, b in zip(fitted.bad_on_good + fitted.bad_on_bad, good + bad))
 
+
+
+# --- hashes of words -----------------------------------------------------------------------
+
+
+def thue_morse(length, letters="ab"):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(length))
+
+
+@pytest.mark.parametrize("crowd", [substrings.CROWD, 1])
+def test_patterned_words_and_their_mirrors_are_different(make_docs, crowd):
+    """Words, and orders of words, that polynomial hashes cannot tell apart."""
+    around = prose(1, 59).split()
+    words = [" ".join(around[:30] + [thue_morse(n, letters)] + around[30:]) for n in (1024, 4096) for letters in ("ab", "ba")]
+    orders = [" ".join(thue_morse(128, letters)) for letters in ("xy", "yx")]
+    rows = list(enumerate(words + orders, 1))
+    assert dedup(make_docs(rows), crowd=crowd) == kept_by_hand(rows, 50)
+    assert all(removed == 0 for _, _, removed, _ in dedup(make_docs(rows[:4]), crowd=crowd))
+
+
+def test_word_hashes_depend_on_all_bytes_and_the_seed():
+    from veilwright.llm.batches import WordHash, word_bounds
+
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"ab") for _ in range(n)) for n in [*range(1, 40), 500, 511, 512, 513, 5000] for _ in range(20)]
+    words += [w[:-1] + b"c" for w in words] + [b"c" + w[1:] for w in words] + [thue_morse(n, x).encode() for n in (512, 8192) for x in ("ab", "ba")]
+    data = b" ".join(words)
+    seen = {}
+    for seed in (1, 2):
+        hashes = WordHash(seed).slices(data, *word_bounds(data)).tolist()
+        assert len(set(hashes)) == len(set(words)) and len({*zip(words, hashes)}) == len(set(words))
+        seen[seed] = set(hashes)
+    assert not seen[1] & seen[2]
+
+
+def test_texts_of_ten_megabytes(make_docs, spark):
+    """Whole long texts, one of many words and one of a single word."""
+    many = prose(1, 1000) + " "
+    rows = [(1, many * 1400), (2, prose(2, 60) + " " + many), (3, "z" * 10_000_000), (4, "a b c")]
+    found = {r[0]: r for r in dedup(make_docs(rows))}
+    assert found[1][2] == 0 and found[2][2] == 1000 and found[3][1:3] == (1, 0)
+    near = {r["doc_id"]: r for r in simhash.near_duplicates(make_docs([*rows, (5, many * 1400)])).collect()}
+    assert near[5]["component_id"] == 1 and near[3]["component_id"] == 3
+    judged = {r["doc_id"]: r for r in quality_rules.judge(make_docs(rows)).collect()}
+    assert judged[1]["n_words"] == 1_400_000 == judged[1]["n_repeat_words"] and judged[3]["word_chars"] == 10_000_000

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh64_intdigest
 
 #: Mixing constants of a 64-bit finaliser (fixed values).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -42,6 +43,40 @@ class ByteHash:
         return mix64((running[ends] - running[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+class WordHash:
+    """64-bit hashes of many slices of one byte buffer: eight bytes after the other are mixed in, so nothing is linear.
+
+    Hashes of two seeds are independent of each other. A slice of up to eight bytes shares its hash with none of its length.
+    """
+
+    #: Steps of eight bytes that all slices take together; what is longer goes on alone.
+    STEPS = 64
+
+    def __init__(self, seed: int) -> None:
+        self._seed = seed
+        self._start, self._add = mix64(np.array([2 * seed + 1, 2 * seed + 2], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def slices(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        # All stretches of eight bytes, as numbers.
+        eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+        out = mix64((ends - starts).astype(np.uint64) + self._start)
+        rows, at = np.arange(len(starts)), starts
+        for _ in range(self.STEPS):
+            left = np.minimum(ends[rows] - at, 8)
+            some = left > 0
+            if not some.all():
+                rows, at, left = rows[some], at[some], left[some]
+            if not len(rows):
+                return out
+            value = eights[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)))
+            out[rows] = mix64((out[rows] ^ value) * np.uint64(ByteHash.BASE) + self._add)
+            at = at + 8
+        for row, begin in zip(rows.tolist(), at.tolist(), strict=True):
+            rest = xxh64_intdigest(data[begin:ends[row]], self._seed)
+            out[row:row + 1] = mix64((out[row:row + 1] ^ np.uint64(rest)) * np.uint64(ByteHash.BASE) + self._add)
+        return out
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1

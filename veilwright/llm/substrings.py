@@ -9,8 +9,11 @@ doc_id, judged on the input. Three things keep the work in proportion to the tex
 * What remains is dealt out by anchor and cut into shards of bounded size. A shard is an FM-index over its runs; all runs
   are streamed through it by backward search over a wavelet matrix, and the matching windows' smallest document is read
   off the interval that the search ends with. Each run finds at least itself, so no match ever breaks off.
-* An anchor with over `CROWD` different runs would make a shard too large. There the windows themselves are grouped by a
-  128-bit hash: equal ones meet after a map-side minimum, so the crowd spreads over all tasks.
+* An anchor with over `CROWD` different runs would make a shard too large. There the windows themselves are grouped by two
+  64-bit hashes: equal ones meet after a map-side minimum, so the crowd spreads over all tasks.
+
+Runs and windows stand for their words by two 64-bit hashes. Each is made of its own hash of every word (two seeds, nothing
+linear), mixed with the word's place, so different words or orders share both by chance only, however they are patterned.
 
 Nulls and odd cases: a null or empty text has no words. A row with a null doc_id keeps all its words and is nobody's
 earlier document. Rows with the same doc_id are never earlier than each other; those with the same text too are judged
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 
 from veilwright.sources.scratch import written
 
-from .batches import ByteHash, bounded, mix64, word_bounds
+from .batches import WordHash, bounded, mix64, ragged_arange, word_bounds
 from .fmindex import matching_windows
 
 WINDOW, GRAM = 50, 10
 #: Windows of one run: its verdict is one bit each of a long.
 RUN = 64
 #: Words that a shard gathers before it is indexed; different runs of one anchor up to which it is indexed as a whole.
-SHARD, CROWD = 600_000, 12_000
+SHARD, CROWD = 600_000, 3_000
 #: Bytes of text treated at a time (a longer text stands alone).
 CHUNK = 1 << 20
 
@@ -44,20 +47,25 @@ _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _RUNS = "doc_id long, th long, start int, n int, anchor long, k1 long, k2 long"
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(1, n), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def _rolling(words: np.ndarray, base: np.uint64, length: int) -> np.ndarray:
-    """Hashes of all stretches of `length` word hashes."""
+    """Hashes of all stretches of `length` word hashes, to choose anchors by: equal stretches have equal ones."""
     out = np.zeros(len(words) - length + 1, np.uint64)
     for k in range(length):
         out = out * base + words[k:k + len(out)]
     return mix64(out)
 
 
+def _content(words: np.ndarray, begin: np.ndarray, size: np.ndarray, step: np.uint64) -> np.ndarray:
+    """A hash of the words of each stretch: every word's hash mixed with its place in the stretch."""
+    out = np.zeros(len(begin), np.uint64)
+    for low in range(0, len(begin), 10_000):
+        part = slice(low, low + 10_000)
+        place = ragged_arange(size[part])
+        mixed = mix64(words[np.repeat(begin[part], size[part]) + place] + (place + 1).astype(np.uint64) * step)
+        out[part] = np.add.reduceat(mixed, np.cumsum(size[part]) - size[part])
+    return mix64(out + size.astype(np.uint64))
+
+
 def _sliding_min(values: np.ndarray, length: int) -> np.ndarray:
     reach = 1
     while 2 * reach <= length:
@@ -66,7 +74,7 @@ def _sliding_min(values: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def runs_of(texts: list[bytes], hasher: ByteHash, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
+def runs_of(texts: list[bytes], hashers: tuple[WordHash, WordHash], window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Runs of neighbouring windows with one anchor: text number, first word, number of windows, anchor, content keys."""
     data = b" ".join(texts)
     starts, ends = word_bounds(data)
@@ -75,7 +83,7 @@ def runs_of(texts: list[bytes], hasher: ByteHash, window: int = WINDOW, gram: in
         return empty
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
     first_word = np.searchsorted(owner, np.arange(len(texts)))
-    words = hasher.slices(data, starts, ends)
+    words, others = (h.slices(data, starts, ends) for h in hashers)
     anchor = _sliding_min(_rolling(words, _C1, gram), window - gram + 1)
     valid = np.flatnonzero(owner[:len(anchor)] == owner[window - 1:])
     if not len(valid):
@@ -90,19 +98,27 @@ def runs_of(texts: list[bytes], hasher: ByteHash, window: int = WINDOW, gram: in
     begin = valid[heads]
     size = n + window - 1
     out = {"text": owner[begin], "start": begin - first_word[owner[begin]], "n": n, "anchor": led[heads].view(np.int64)}
-    for name, base, values in (("k1", _C1, words), ("k2", _C2, mix64(words + _C2))):
-        powers, inverse = _powers(base, len(words)), _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(words))
-        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers, dtype=np.uint64)])
-        content = (running[begin + size] - running[begin]) * inverse[begin]
-        out[name] = mix64(content + size.astype(np.uint64)).view(np.int64)
+    out["k1"] = _content(words, begin, size, _C1).view(np.int64)
+    out["k2"] = _content(others, begin, size, _C2).view(np.int64)
     return out
 
 
 def window_keys(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of every window of a list of words."""
-    hasher, data = ByteHash(), b" ".join(words)
-    hashes = hasher.slices(data, *word_bounds(data))
-    return (_rolling(hashes, _C1, window).view(np.int64), _rolling(mix64(hashes + _C2), _C2, window).view(np.int64))
+    data = b" ".join(words)
+    bounds = word_bounds(data)
+    out = []
+    for hasher, step in zip(_hashers(), (_C1, _C2), strict=True):
+        hashes = hasher.slices(data, *bounds)
+        key = np.zeros(len(hashes) - window + 1, np.uint64)
+        for k in range(window):
+            key += mix64(hashes[k:k + len(key)] + np.array(k + 1, np.uint64) * step)
+        out.append(mix64(key).view(np.int64))
+    return out[0], out[1]
+
+
+def _hashers() -> tuple[WordHash, WordHash]:
+    return WordHash(1), WordHash(2)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -112,12 +128,12 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def _find_runs(docs: DataFrame, window: int) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = ByteHash()
+        hashers = _hashers()
         for batch in batches:
             ids, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             texts = [t.as_py() or b"" for t in batch.column(2)]
             for part in bounded(texts, CHUNK):
-                r = runs_of([texts[i] for i in part], hasher, window)
+                r = runs_of([texts[i] for i in part], hashers, window)
                 at = r["text"] + part.start
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at], pa.int64()), pa.array(th[at], pa.int64()), pa.array(r["start"], pa.int32()),
