@@ -2,32 +2,66 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN: ContextVar[str | None] = ContextVar("scratch_run", default=None)
+_OWN: dict[str, str] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only a session without one (tests, a laptop) gets a folder of its own.
+    A session without one gets a folder under the warehouse, which every executor reaches too; it goes with the session.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = configured or spark.sparkContext.getCheckpointDir()
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="veilwright-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            _OWN[application] = f"{warehouse}/_scratch-{uuid.uuid4().hex}"
+            files, path = _located(spark, _OWN[application])
+            files.mkdirs(path)
+            files.deleteOnExit(path)
+        configured = _OWN[application]
     return configured.rstrip("/")
 
 
+def _located(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    files, path = _located(spark, folder)
+    files.delete(path, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """All scratch tables made inside the block lie in one folder, which goes at its end.
+
+        with run_folder(spark, "pipeline"):
+            run(spark, folder).write.parquet(output)
+
+    Results are lazy, so what outlives the block must be written elsewhere inside it.
+    """
+    root = scratch_path(spark, label)
+    before = _RUN.set(root)
+    try:
+        yield root
+    finally:
+        _RUN.reset(before)
+        remove(spark, root)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -59,5 +93,4 @@ class Rounds:
         return self._spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *failure) -> None:
-        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._root)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self._spark, self._root)
