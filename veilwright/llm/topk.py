@@ -11,9 +11,9 @@ far and the bounds still open reach the k-th best.
 Shards of vectors and blocks of queries have bounded sizes. Each block visits each shard, its best per shard are merged.
 Rows are dealt out by their place in the table, so no value can make a shard large.
 
-Nulls and odd cases: vectors that are null, empty, of another length than most (`dimensions`), or that hold a null or
-non-finite component take no part, nor do rows with a null id. Repeated ids are repeated candidates, but no row is a
-candidate for a query of its own id. Equal scores go by the smaller id. An empty table gives an empty result; further
+Nulls and odd cases: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows with a
+null id. Vectors of different lengths have no inner product: they are an error. Repeated ids are repeated candidates and
+repeated queries, each with its own k best rows; only the row itself is no candidate. Equal scores go by the smaller id. An empty table gives an empty result; further
 columns are ignored. Where a score might leave 64 bits, it is computed with whole numbers of any size; a weight or a found
 score that does not fit in a bigint is an error.
 """
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from veilwright.sources.scratch import written
 
-#: Vectors of a shard and queries of a block.
-SHARD, BLOCK = 20_000, 1_000
+#: Vectors of a shard, queries of a block, and as many blocks as there should be before blocks grow (to a shard's size at
+#: most): every vector is sent to each block.
+SHARD, BLOCK, BLOCKS = 20_000, 1_000, 16
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -47,14 +48,15 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 @dataclass
 class Postings:
-    """Postings of one shard: per term (dimension, sign) the places of its vectors, and the largest weight."""
+    """Postings of one shard: per term (dimension, sign) its vectors, and the largest weight. `places` tell rows apart."""
 
     ids: np.ndarray
+    places: np.ndarray
     matrix: np.ndarray
 
     def __post_init__(self) -> None:
-        order = np.argsort(self.ids, kind="stable")
-        self.ids, self.matrix = self.ids[order], np.ascontiguousarray(self.matrix[order].T)
+        order = np.lexsort((self.places, self.ids))
+        self.ids, self.places, self.matrix = self.ids[order], self.places[order], np.ascontiguousarray(self.matrix[order].T)
         self.positive = [np.flatnonzero(row > 0) for row in self.matrix]
         self.negative = [np.flatnonzero(row < 0) for row in self.matrix]
         self.most = np.maximum(self.matrix.max(axis=1), 0)
@@ -62,7 +64,7 @@ class Postings:
         self.size = np.maximum(self.most.astype(float), -self.least.astype(float))
 
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors for one query; ties by the smaller id."""
+        """Ids and scores of the k best vectors for the query in place `own`; ties by the smaller id."""
         if float(np.abs(query.astype(float)) @ self.size) >= 2.0**61:  # sums of bounds and scores might overflow
             return self._best_wide(own, query, k)
         bounds = np.where(query > 0, query * self.most, query * self.least)
@@ -77,7 +79,7 @@ class Postings:
             if query[term]:
                 at = self.positive[term] if query[term] > 0 else self.negative[term]
                 score[at] += query[term] * self.matrix[term][at]
-        others, rest = self.ids != own, open_after[essential]
+        others, rest = self.places != own, open_after[essential]
         candidates = np.flatnonzero(others & (score + rest >= threshold))
         if len(candidates) > k:
             # The full scores of the best so far raise the threshold.
@@ -108,21 +110,21 @@ class Postings:
 
     def _best_wide(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The same by Python's whole numbers, of all vectors."""
-        others = np.flatnonzero(self.ids != own)
+        others = np.flatnonzero(self.places != own)
         scores = [0] * len(others)
         for weight, row in zip(query.tolist(), self.matrix, strict=True):
             if weight:
                 scores = [s + weight * w for s, w in zip(scores, row[others].tolist(), strict=True)]
         top = sorted(range(len(others)), key=lambda i: -scores[i])[:k]  # places are in the ids' order
         if any(not -(1 << 63) <= scores[i] < 1 << 63 for i in top):
-            raise OverflowError(f"a score of query {own} does not fit in a bigint")
+            raise OverflowError("a score does not fit in a bigint")
         return self.ids[others[top]], np.array([scores[i] for i in top], np.int64)
 
     def _first_threshold(self, own: int, query: np.ndarray, term: int, k: int) -> int:
         """A k-th best score that some vectors really have: those with the largest weights under the best terms."""
         size = min(len(self.ids), 8 * k + 1)
         strongest = np.argpartition(-(self.matrix[term] * query[term]), size - 1)[:size]
-        strongest = strongest[self.ids[strongest] != own]
+        strongest = strongest[self.places[strongest] != own]
         if len(strongest) < k:
             return -(1 << 62)
         full = query @ self.matrix[:, strongest]
@@ -132,31 +134,33 @@ class Postings:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard: int = SHARD,
           block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best other rows."""
-    stored = written(quantized(vectors, scale), "vectors")
-    lengths = stored.groupBy(F.size("weights").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    rows, dimensions = (lengths["count"], lengths["n"]) if lengths else (0, 0)
-    usable = stored.where(F.size("weights") == dimensions).withColumn("place", F.monotonically_increasing_id())
+    stored = written(quantized(vectors, scale).withColumn("place", F.monotonically_increasing_id()), "vectors")
+    sizes = stored.groupBy(F.size("weights").alias("n")).count().limit(2).collect()
+    if len(sizes) > 1:
+        raise ValueError("vectors of different lengths have no inner product")
+    rows = sizes[0]["count"] if sizes else 0
     shards = max(1, -(-rows // shard))
-    queries = usable.where(is_query)
-    blocks = max(1, -(-queries.count() // block))
+    queries = stored.where(is_query)
+    asked_for = queries.count()
+    blocks = max(1, -(-asked_for // max(block, min(shard, asked_for // BLOCKS))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    side = usable.select("vec_id", "weights", F.pmod("place", F.lit(shards)).cast("int").alias("s"), every(blocks).alias("b"))
-    asked = queries.select("vec_id", "weights", every(shards).alias("s"), F.pmod("place", F.lit(blocks)).cast("int").alias("b"))
+    side = stored.select("vec_id", "place", "weights", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("s"), every(blocks).alias("b"))
+    asked = queries.select("vec_id", "place", "weights", every(shards).alias("s"), F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int").alias("b"))
     both = side.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
 
     def one_cell(table: pa.Table) -> pa.Table:
-        ids, asks = table["vec_id"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
+        ids, places, asks = (table[c].to_numpy(zero_copy_only=False) if c == "asks" else table[c].to_numpy() for c in ("vec_id", "place", "asks"))
         weights = table["weights"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         out: list[tuple] = []
         if (~asks).any():
-            postings = Postings(ids[~asks], weights[~asks])
-            for own, query in zip(ids[asks].tolist(), weights[asks], strict=True):
-                found, scores = postings.best(own, query, k)
-                out += [(own, int(v), int(s)) for v, s in zip(found, scores, strict=True)]
-        columns = list(zip(*out, strict=True)) if out else [()] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = both.groupBy("s", "b").applyInArrow(one_cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            postings = Postings(ids[~asks], places[~asks], weights[~asks])
+            for own, place, query in zip(ids[asks].tolist(), places[asks].tolist(), weights[asks], strict=True):
+                found, scores = postings.best(place, query, k)
+                out += [(own, place, int(v), int(s)) for v, s in zip(found, scores, strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "place", "vec_id", "score"])
+
+    found = both.groupBy("s", "b").applyInArrow(one_cell, "query_id long, place long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
