@@ -23,7 +23,8 @@ def connected(links: DataFrame) -> DataFrame:
             # Stored: so this is a join of two plain shuffles, and Spark can split the many links of a root.
             least = rounds.written(both.groupBy("a").agg(F.min("b").alias("near")).select("a", F.least("a", "near").alias("least")))
             large = both.where("b > a").join(least, "a").select(F.col("least").alias("a"), "b")
-            lowest = large.groupBy("b").agg(F.min("a").alias("least"))
+            large = rounds.written(large)
+            lowest = rounds.written(large.groupBy("b").agg(F.min("a").alias("least")))
             small = large.join(lowest, "b").select(F.col("least").alias("a"), F.col("a").alias("b")).where("a < b")
             edges = rounds.written(small.unionByName(lowest.select(F.col("least").alias("a"), "b")).distinct())
             state, before = _state(edges), state

@@ -14,7 +14,7 @@ has at most 65 of them, so a crowd of any size costs 65 rows each and loses no l
 
 Nulls and odd cases: a null or empty text has fingerprint 0 and links like any other. A null doc_id never names a
 component that has another id; a component of null ids only has a null id. Repeated rows share a component. An empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns are ignored. Texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -198,7 +198,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     roots = connected(links(distinct, bits))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Stored, and the aggregate too: Spark can split the fingerprints of a giant component.
+    rooted = written(rooted, "rooted")
+    smallest = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest_ids")
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
