@@ -6,7 +6,8 @@ documents are moved, exchanged one for one or two for one between underfull sequ
 squared fills, until sequences become empty. That sum is a bounded integer, so the search ends.
 
 Nulls and odd cases: a null or empty text has the end token only. A null doc_id is kept as it is. Repeated rows are
-packed as often as they occur. An empty table gives an empty result. Further columns of the input are ignored.
+packed as often as they occur. An empty table gives an empty result. Further columns of the input are ignored. Texts of any
+length are tokenized whole, word by word; what a task remembers of words is bounded in bytes and goes with the task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,10 @@ from veilwright.sources.scratch import written
 
 from .batches import bounded
 
-#: Words that a worker remembers: two generations of so many each, which bounds its memory.
-REMEMBERED = 500_000
+#: Bytes of words, with what a table needs for them, that a task remembers: two generations of so many each.
+REMEMBERED = 24 << 20
+#: Bytes of one entry beside its word and ids.
+ENTRY = 200
 #: Bytes of text whose pieces make one batch (a longer text stands alone).
 CHUNK = 1 << 20
 #: Pieces of one packing group.
@@ -52,6 +54,7 @@ class WordTokenizer:
         self._model = self._tokenizer.model
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
+        self._held = 0
         self._marks = {mark: self._encode(bytes([mark])) for mark in b".,"}
 
     def ids(self, text: bytes) -> bytes:
@@ -60,8 +63,8 @@ class WordTokenizer:
         if None in found:
             for i in [i for i, ids in enumerate(found) if ids is None]:
                 found[i] = self._unmet(words[i])
-            if len(known) > REMEMBERED:
-                self._old, self._young = known, {}
+            if self._held > REMEMBERED:
+                self._old, self._young, self._held = known, {}, 0
         return b"".join(found)
 
     def _unmet(self, w: bytes) -> bytes:
@@ -73,10 +76,14 @@ class WordTokenizer:
             if w[-1] in self._marks and bare.decode("utf-8", "replace").isalpha():
                 if (core := known.get(bare) or old.get(bare)) is None:
                     core = self._encode(bare)
+                if bare not in known:
+                    self._held += len(bare) + len(core) + ENTRY
                 known[bare] = core
                 ids = core + self._marks[w[-1]]
             else:
                 ids = self._encode(w)
+        if w not in known:
+            self._held += len(w) + len(ids) + ENTRY
         known[w] = ids
         return ids
 
@@ -115,22 +122,12 @@ def lowered(text: bytes) -> bytes:
         return text
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
                  with_ids: bool = False) -> DataFrame:
     """One row per piece: its place in its document, its length and its ids' CRC-32 (and the ids, if asked for)."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode, end, width = WordTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t.as_py() or b"" for t in batch.column(1)]
             for part in bounded(texts, CHUNK):
@@ -232,24 +229,26 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
 
 
 class _Places:
-    """Which item lies in which bin, as arrays, so that one step of the search looks at every partner at once."""
+    """Which item lies in which bin. Partners are looked for by length, so equal items are looked at once."""
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, fill: np.ndarray, capacity: int) -> None:
         self.bins, self.lengths, self.fill, self.capacity = bins, lengths, fill, capacity
         self.home = np.zeros(len(lengths), np.int64)
         for b, items in enumerate(bins):
             self.home[items] = b
+        #: Contents that no exchange has helped since the last one: bins of the same lengths need no further look.
+        self.stuck: set[tuple[int, ...]] = set()
+        self._offers: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def drain(self, source: int) -> None:
         """Move items out of `source`, or exchange them for shorter ones, while the sum of squared fills rises."""
-        while self.bins[source] and (self.move(source) or self.one_for_one(source) or self.two_for_one(source)):
-            pass
-
-    def room_elsewhere(self, source: int) -> np.ndarray:
-        """Room of each bin that may take from `source`: the bin must not end emptier than `source` was."""
-        room = np.where((self.fill > 0), self.capacity - self.fill, 0)
-        room[source] = 0
-        return room
+        while self.bins[source]:
+            content = tuple(sorted(int(self.lengths[i]) for i in self.bins[source]))
+            if content in self.stuck:
+                return
+            if not (self.move(source) or self.one_for_one(source) or self.two_for_one(source)):
+                self.stuck.add(content)
+                return
 
     def shift(self, i: int, to: int) -> None:
         here, size = self.home[i], int(self.lengths[i])
@@ -258,34 +257,66 @@ class _Places:
         self.fill[here] -= size
         self.fill[to] += size
         self.home[i] = to
+        self.stuck.clear()
+        self._offers = None
+
+    def by_length(self, source: int) -> dict[int, list[int]]:
+        """Items of a bin by length, the longest first."""
+        out: dict[int, list[int]] = {}
+        for i in sorted(self.bins[source], key=lambda i: -self.lengths[i]):
+            out.setdefault(int(self.lengths[i]), []).append(i)
+        return out
 
     def gains(self, source: int, target: int, net: int) -> bool:
         """Does it raise the sum of squares to carry `net` from `source` to `target`?"""
         return net > 0 and net + int(self.fill[target]) - int(self.fill[source]) > 0
 
     def move(self, source: int) -> bool:
-        room = self.room_elsewhere(source)
-        for i in sorted(self.bins[source], key=lambda i: -self.lengths[i]):
-            size = int(self.lengths[i])
+        room = np.where(self.fill > 0, self.capacity - self.fill, 0)
+        room[source] = 0
+        for size, items in self.by_length(source).items():
             fits = np.flatnonzero(room >= size)
             if len(fits):
                 target = int(fits[np.argmin(room[fits])])
                 if self.gains(source, target, size):
-                    self.shift(i, target)
+                    self.shift(items[0], target)
                     return True
         return False
 
+    def offers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the items of bins with room: each different (length, room of the bin), and two items in different bins with it.
+
+        Two, so that one is left where the other lies in the bin that asks.
+        """
+        if self._offers is None:
+            room = (self.capacity - self.fill)[self.home]
+            open_ = np.flatnonzero(room > 0)
+            open_ = open_[np.lexsort((self.home[open_], room[open_], self.lengths[open_]))]
+            key = self.lengths[open_] * (self.capacity + 1) + room[open_]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(key)) - 1
+            self._offers = key[first], open_[first], open_[last]
+        return self._offers
+
+    def partner(self, source: int, size: int) -> tuple[int, int] | None:
+        """The item elsewhere for which `size` from `source` is exchanged so that its bin ends fullest: room left, item."""
+        key, first, last = self.offers()
+        item = np.where(self.home[first] == source, last, first)
+        net, room = size - key // (self.capacity + 1), key % (self.capacity + 1)
+        fits = (net > 0) & (net <= room) & (self.home[item] != source)
+        if not fits.any():
+            return None
+        left = np.where(fits, room - net, self.capacity + 1)
+        best = int(np.argmin(left))
+        return (int(left[best]), int(item[best])) if self.gains(source, int(self.home[item[best]]), int(net[best])) else None
+
     def one_for_one(self, source: int) -> bool:
         """The exchange that fills some other bin best."""
-        room = self.room_elsewhere(source)[self.home]
         best: tuple[int, int, int] | None = None
-        for i in self.bins[source]:
-            net = int(self.lengths[i]) - self.lengths
-            left = np.where((net > 0) & (net <= room), room - net, self.capacity + 1)
-            j = int(np.argmin(left))
-            if left[j] <= self.capacity and self.gains(source, int(self.home[j]), int(net[j])):
-                if best is None or left[j] < best[0]:
-                    best = (int(left[j]), i, j)
+        for size, items in self.by_length(source).items():
+            found = self.partner(source, size)
+            if found and (best is None or found[0] < best[0]):
+                best = (found[0], items[0], found[1])
         if best is None:
             return False
         _, i, j = best
@@ -295,18 +326,18 @@ class _Places:
         return True
 
     def two_for_one(self, source: int) -> bool:
-        """Two items of `source` for one longer item's place elsewhere."""
-        room, items = self.room_elsewhere(source)[self.home], self.bins[source]
-        for a in range(len(items)):
-            for b in range(a):
-                net = int(self.lengths[items[a]] + self.lengths[items[b]]) - self.lengths
-                left = np.where((net > 0) & (net <= room), room - net, self.capacity + 1)
-                j = int(np.argmin(left))
-                target = int(self.home[j])
-                if left[j] <= self.capacity and self.gains(source, target, int(net[j])):
-                    first, second = items[a], items[b]
-                    self.shift(j, source)
-                    self.shift(first, target)
-                    self.shift(second, target)
-                    return True
+        """Two items of `source` for one longer item's place elsewhere; pairs of one sum are looked at once."""
+        own, seen = self.by_length(source), set()
+        for a in own:
+            for b in own:
+                if b <= a and (a != b or len(own[a]) > 1) and a + b not in seen:
+                    seen.add(a + b)
+                    found = self.partner(source, a + b)
+                    if found:
+                        first, second = own[a][0], own[b][-1]
+                        target = int(self.home[found[1]])
+                        self.shift(found[1], source)
+                        self.shift(first, target)
+                        self.shift(second, target)
+                        return True
         return False
