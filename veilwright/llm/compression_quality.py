@@ -7,7 +7,8 @@ dictionary.
 
 Nulls and odd cases: null and empty texts have difference 0 and get the curve's value there. A null doc_id is scored
 and counts as held out. Without labels of both kinds the score is the share of label 1 (0.5 without any label). Repeated
-rows are scored one by one; an empty table gives an empty result; further columns are ignored.
+rows are scored one by one; an empty table gives an empty result; further columns are ignored. Texts of any length are
+compressed whole, block by block.
 """
 
 from __future__ import annotations
@@ -147,6 +148,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose score reaches the threshold, with their own columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return score(whole, model, ("_row",)).where(F.col("score") >= threshold).select("_row.*")
+    """The rows of `docs` whose score reaches the threshold, with their own columns.
+
+    A row goes to Python once, as a whole, and only kept rows come back.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    place = docs.columns.index("text")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = Compressors(model.good, model.bad)
+        for batch in batches:
+            texts = batch.column(0).field(place).cast(pa.binary())
+            found = np.array([both.difference(t.as_py() or b"") for t in texts])
+            yield batch.filter(pa.array(model.score(found) >= threshold))
+
+    return rows.mapInArrow(over, rows.schema).select("_row.*")
