@@ -10,7 +10,8 @@ their border that would have been merged earlier. One path per position passes,
 
 Models: byte-pair with byte fallback, identity normalisation, a dummy prefix and no removal of white space; others are
 refused. Nulls and odd cases: a null text has null ids, an empty one none. A null doc_id is kept. Repeated rows are
-encoded one by one; an empty table gives an empty result; further columns are ignored.
+encoded one by one; an empty table gives an empty result; further columns are ignored. Texts of any length are encoded
+whole: their words are indexed in parts.
 """
 
 from __future__ import annotations
@@ -262,10 +263,10 @@ def _bisect(block: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndar
 
 
 class Encoder:
-    """A model and the words it has encoded lately."""
+    """A model and the words it has encoded lately. The words belong to one task."""
 
     def __init__(self, path: str) -> None:
-        self.model = PieceModel(path)
+        self.model = piece_model(path)
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
@@ -286,9 +287,10 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def piece_model(path: str) -> PieceModel:
+    """A worker's model, for all its tasks."""
+    return PieceModel(path)
 
 
 def encode(docs: DataFrame, model_path: str, with_text: bool = False) -> DataFrame:
@@ -300,7 +302,7 @@ def encode(docs: DataFrame, model_path: str, with_text: bool = False) -> DataFra
     names = ["doc_id", "ids", "text"] if with_text else ["doc_id", "ids"]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model_path)
+        own = Encoder(model_path)
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
             for part in bounded(texts, CHUNK):
@@ -319,7 +321,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """`encoded` (doc_id, ids) with the text that the ids stand for."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(model_path).model
+        model = piece_model(model_path)
         for batch in batches:
             texts = [None if not i.is_valid else model.decode(i.as_py()) for i in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=["doc_id", "ids", "text"])
