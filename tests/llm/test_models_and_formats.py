@@ -313,9 +313,9 @@ def best_by_hand(vectors, k, every):
     usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors
               if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in usable:
+    for place, (i, q) in enumerate(usable):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in usable if j != i)
+            scores = sorted((-sum(a * b for a, b in zip(q, w)), j) for other, (j, w) in enumerate(usable) if other != place)
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -341,7 +341,7 @@ def test_top_k_of_large_components(spark):
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q) == [
             (n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     # The bound is too large for 64 bits, the scores found are not.
-    wide = topk.Postings(np.arange(3), np.array([[1 << 60, 0], [-(1 << 60), 1], [3, 4]]))
+    wide = topk.Postings(np.arange(3), np.arange(3), np.array([[1 << 60, 0], [-(1 << 60), 1], [3, 4]]))
     ids, scores = wide.best(0, np.array([1 << 60, 0]), 1)
     assert (ids.tolist(), scores.tolist()) == ([2], [3 << 60])
     with pytest.raises(OverflowError):
@@ -365,7 +365,7 @@ def test_top_k_scores_along_the_postings(filled):
     matrix = np.zeros((3000, 64), np.int64)
     for row in matrix:
         row[rng.choice(64, filled, replace=False)] = rng.integers(-300, 300, filled)
-    postings = topk.Postings(np.arange(3000), matrix.copy())
+    postings = topk.Postings(np.arange(3000), np.arange(3000), matrix.copy())
     postings.matrix = postings.matrix.view(Counted)
     Counted.places = 0
     for own in range(40):
@@ -377,6 +377,21 @@ def test_top_k_scores_along_the_postings(filled):
         assert Counted.places / 40 < 4000
 
 
+@pytest.mark.parametrize("shard", [topk.SHARD, 5])
+def test_top_k_of_repeated_ids(spark, shard):
+    """Every row of an id is a query and a candidate; only the row itself is left out."""
+    vectors = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (0, [0.5, 0.5])] + [(i, [i / 40, 1 - i / 40]) for i in range(1, 12)]
+    found = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, shard=shard, block=2)
+    assert sorted(tuple(r) for r in found.collect()) == best_by_hand(vectors, 5, 50)
+    assert found.where("query_id = 50").count() == 15
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="lengths"):
+        topk.top_k(rows, F.col("vec_id") == 1)
+
+
 def test_top_k_of_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [-0.5])], schema)
@@ -423,3 +438,203 @@ def test_markers_in_messages_are_broken_up(spark):
 
 def test_no_conversations(spark):
     assert chat.rendered_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def equal_turns(seed, many):
+    rng = __import__("random").Random(seed)
+    rows = [(1, rng.choice([None, 5, 5, 6]), rng.choice(["user", "assistant"]), str(rng.randrange(many))) for _ in range(many)]
+    return rows + [(1, None, "user", "again and again")] * 2500 + [(2, 5, "user", "x"), (2, 5, "user", "x")]
+
+
+@pytest.mark.parametrize("crowd", [chat.CROWD, 10, 1])
+def test_a_hot_conversation_with_null_and_equal_turn_numbers(spark, crowd):
+    """Places follow (turn, hash), whatever the parts; equal turns stand side by side."""
+    rows = equal_turns(crowd, 600)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    placed = chat.places(df, 4, crowd).collect()
+    for conv in (1, 2):
+        mine = sorted((r for r in placed if r["conv_id"] == conv), key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == list(range(1, sum(r[0] == conv for r in rows) + 1))
+        order = [(r["turn"] is not None, r["turn"] or 0, r["t1"], r["t2"]) for r in mine]
+        assert order == sorted(order)
+    rendered = chat.rendered_turns(df, 4, crowd).collect()
+    expected = sorted(f"<|im_start|>{r}\n{x}<|im_end|>\n" for c, _, r, x in rows)
+    assert sorted(r["rendered"] for r in rendered) == expected
+
+
+def test_a_hot_conversation_is_parted(spark):
+    rows = [(1, None, "user", str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    alike = chat.places(df, 256, 100)
+    assert sorted(r["place"] for r in alike.collect()) == list(range(1, 3001))
+    plan = alike._jdf.queryExecution().toString()
+    assert "of_hash" in plan or "part" in plan
+
+
+def test_snapshots_with_equal_turn_numbers_collapse(spark):
+    """Equal turns by number are ordered by their hash alone, in every conversation alike."""
+    base = [(0, "user", "a"), (0, "user", "b"), (0, "user", "a"), (1, "assistant", "c")]
+    rows = [(1, *m) for m in base] + [(2, *m) for m in base[:3]] + [(3, *m) for m in reversed(base)]
+    found = chat.rendered_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["conv_id"] for r in found} == {1} and len(found) == 4
+
+
+# --- classifiers, by hand ------------------------------------------------------------------
+
+
+def features_by_hand(text):
+    """Words, neighbours and skip-grams as strings."""
+    words = "".join(c.lower() if c.isascii() else c for c in text)
+    words = "".join(c if c.isalnum() and c.isascii() or not c.isascii() else " " for c in words).split()
+    out = {("w", w) for w in words}
+    for gap in (1, 2, 3):
+        out |= {(gap, a, b) for a, b in zip(words, words[gap:])}
+    return out
+
+
+def ftrl_by_hand(texts, labels):
+    """FTRL-proximal per coordinate, in dictionaries over string features."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(f):
+        if f == "bias":
+            return -z.get(f, 0.0) / ((toxicity.BETA + math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA)
+        if abs(z.get(f, 0.0)) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[f]) - z[f]) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for text, y in zip(texts, labels):
+            active = [*features_by_hand(text), "bias"]
+            own = {f: weight(f) for f in active}
+            gradient = 1 / (1 + math.exp(-max(-30, min(30, sum(own.values()))))) - y
+            for f in active:
+                rate = (math.sqrt(n.get(f, 0.0) + gradient ** 2) - math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA
+                z[f] = z.get(f, 0.0) + gradient - rate * own[f]
+                n[f] = n.get(f, 0.0) + gradient ** 2
+    return lambda text: 1 / (1 + math.exp(-max(-30, min(30, sum(weight(f) for f in {*features_by_hand(text), "bias"})))))
+
+
+def labelled_prose(seed, many):
+    rng = __import__("random").Random(seed)
+    good, bad = "calm river stone meadow light über".split(), "rotten vile hateful filth scum".split()
+    rows = []
+    for i in range(many):
+        y = rng.random() < 0.4
+        rows.append((i, " ".join(rng.choice((good + bad) if y else good) + rng.choice(["", ",", "!"]) for _ in range(rng.randrange(3, 25))), int(y)))
+    return rows
+
+
+def test_toxicity_like_ftrl_by_hand(spark, make_docs):
+    rows = labelled_prose(3, 300)
+    texts, labels = [t for _, t, _ in rows], [y for *_, y in rows]
+    hasher = toxicity.ByteHash()
+    slots = {}
+    for text in texts:  # no two features share a slot here, so the comparison is exact
+        found = set(toxicity.features([text.encode()], hasher)[1].tolist())
+        assert len(found) == len(features_by_hand(text))
+        for f in features_by_hand(text):
+            slots.setdefault(f, set(found)).intersection_update(found)
+    model = toxicity.train([t.encode() for t in texts], labels)
+    by_hand = ftrl_by_hand(texts, labels)
+    more = texts + [t for _, t, _ in labelled_prose(4, 50)] + ["", "scum"]
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(make_docs(list(enumerate(more))), model).collect()}
+    assert len(model.slots) > 3
+    assert all(abs(scored[i] - by_hand(t)) < 1e-5 for i, t in enumerate(more))
+
+
+def test_quality_like_compression_by_hand(spark, make_docs):
+    """Sizes from direct calls of the library, block by block; the curve by a plain search for its largest likelihood."""
+    import math
+
+    import zstandard
+
+    rows = labelled_prose(5, 400)
+    good, bad = compression_quality.train_dictionaries([t.encode() for _, t, _ in rows[:200]], [1 - y for *_, y in rows[:200]])
+
+    def size(content, text):
+        packer = zstandard.ZstdCompressor(level=compression_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content),
+                                          write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(packer.compress(text[at:at + 2048])) for at in range(0, len(text), 2048))
+
+    long = " ".join(t for _, t, _ in rows)
+    texts = [t for _, t, _ in rows[200:]] + ["", long, "x"]
+    differences = []
+    for text in texts:
+        a, b = size(good, text.encode()), size(bad, text.encode())
+        differences.append((b - a) / (a + b) if a + b else 0.0)
+    x, y = np.array(differences[:200]), np.array([1 - y for *_, y in rows[200:]])
+    curve = compression_quality.logistic(x, y)
+    loss = lambda i, s: float(np.sum(np.log1p(np.exp(i + s * x)) - y * (i + s * x)))
+    assert all(loss(*curve) <= loss(curve[0] + di, curve[1] + ds) + 1e-2 for di in (-0.3, 0, 0.3) for ds in (-5, 0, 5))
+    model = compression_quality.Model(good, bad, *curve)
+    docs = make_docs(list(enumerate(texts)))
+    found = {r["doc_id"]: r for r in compression_quality.score(docs, model).collect()}
+    for i, d in enumerate(differences):
+        assert abs(found[i]["score"] - 1 / (1 + math.exp(-max(-30, min(30, curve[0] + curve[1] * d))))) < 1e-9
+    kept = compression_quality.keep_good(docs, model, 0.5)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if r["score"] >= 0.5}
+
+
+# --- packing: equal items, bounded memories ------------------------------------------------
+
+
+def test_many_equal_pieces_are_packed_at_once():
+    import time
+
+    lengths = np.array([1100] * 19_000 + [1] * 900)
+    started = time.monotonic()
+    sequence, _ = packing.pack_lengths(lengths, 2048)
+    assert time.monotonic() - started < 5 and len(set(sequence.tolist())) == 19_000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_leaves_no_gaps_and_few_sequences(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 2048 if seed % 2 else 900, 3000)
+    sequence, offset = packing.pack_lengths(lengths, 2048)
+    fills = np.bincount(sequence, lengths).astype(int)
+    assert fills.max() <= 2048 and lengths.sum() == fills.sum()
+    for number in range(0, len(fills), 97):
+        own = np.flatnonzero(sequence == number)
+        own = own[np.argsort(offset[own])]
+        assert offset[own].tolist() == [0, *np.cumsum(lengths[own])[:-1].tolist()]
+    best = packing.best_fit(lengths, 2048)
+    assert len(fills) <= len(best)
+
+
+def test_a_tasks_words_are_bounded_in_bytes(monkeypatch):
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "REMEMBERED", 20_000)
+    small, free = packing.WordTokenizer(path), None
+    texts = [prose(i, 200).encode() for i in range(40)]
+    monkeypatch.undo()
+    free = packing.WordTokenizer(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 20_000)
+    for text in texts:
+        assert small.ids(text) == free.ids(text)
+        assert small._held <= 20_000 + 200 * 300
+
+
+def test_long_texts_of_the_tokenizing_operators(spark, make_docs):
+    import sentencepiece
+
+    text = ("The quick brown fox, é jumps. " + prose(1, 50) + " ") * 20_000  # some 8 MB
+    docs = make_docs([(1, text), (2, None), (3, "short")])
+    path = __import__("public_tokenizers").path
+    ids = {r["doc_id"]: r["ids"] for r in sentencepieces.encode(docs, path("piece_bpe_32k.model")).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    assert np.frombuffer(ids[1], "<u4").tolist() == library.encode(text)
+    pieces = [r for r in packing.token_pieces(docs, path("word_bpe_49k.json")).collect() if r["doc_id"] == 1]
+    assert len(pieces) > 100 and sum(r["length"] for r in pieces) % 20_000 == 1
+    scored = toxicity.score(docs, toxicity.Model(np.array([5]), np.array([0.5]), 0.0)).collect()
+    assert len(scored) == 3 and all(0 <= r["score"] <= 1 for r in scored)
+
+
+def test_arrow_opens_paths_of_hadoops_connectors():
+    assert warc.arrow_uri("s3a://bucket/x/y") == "s3://bucket/x/y" and warc.arrow_uri("/x") == "/x"
+    assert warc.arrow_uri("wasbs://c@a.blob.core.windows.net/x") == "abfss://c@a.dfs.core.windows.net/x"
+    assert warc.arrow_uri("file:/x") == "file:///x" and warc.arrow_uri("hdfs://n:1/x") == "hdfs://n:1/x"

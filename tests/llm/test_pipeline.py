@@ -72,6 +72,46 @@ def test_run_applies_all_stages(spark, folder):
 
 def test_all_operators_are_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def written_corpus(spark, path, docs, labels):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string, anchor string, start int, row struct<a: int>"
+    spark.createDataFrame([(i, t, "en", "s", None, "own", "own", "own", 3, (7,)) for i, t in docs], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written_corpus(spark, tmp_path, [], [])).collect() == []
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null texts, no labels, further columns named like helpers: all rows keep their columns."""
+    docs = [(None, prose(1, 90)), (None, None), (1, prose(2, 90)), (1, prose(2, 90)), (1, prose(3, 90)), (2, None), (3, ""), (4, prose(2, 90)),
+            (5, prose(4, 3000))]
+    folder = written_corpus(spark, tmp_path, docs, [(None, 1, 1), (1, None, None)])
+    table = queries.load(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = written(stage(spark, table, folder), name)
+        assert table.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "fp", "anchor", "start", "row"]
+        assert all(r["score"] == "own" and r["start"] == 3 and r["row"]["a"] == 7 for r in table.collect())
+    ids = sorted((r["doc_id"] for r in table.collect()), key=repr)
+    assert ids == [1, 1, 1, 5, None]  # 4 is a copy of 1; the rows of 1 stay together
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert sorted({r["doc_id"] for r in rows}, key=repr) == [1, 5, None]
+
+
+def test_run_leaves_only_what_its_result_reads(spark, folder):
+    from veilwright.sources.scratch import run_folder
+
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    with run_folder(spark, "check") as root:
+        n = corpus_pipeline.run(spark, folder).count()
+        place = files(root)
+        left = [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+        # The last stage's input and its pieces.
+        assert n > 100 and len(left) == 2
+    assert not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

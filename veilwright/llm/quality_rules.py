@@ -2,11 +2,14 @@
 
 Every rule looks at a few counts of the whole text and votes good, bad or abstains. Expectation-maximisation over the
 counts of vote patterns (3 ** rules at most, whatever the corpus' size) estimates how often each rule votes bad on good
-and on bad documents; the posterior probability of a good document replaces a filter that all rules must pass. Two base
+and on bad documents, within limits that keep the two meanings apart (a good share of 0.5 to 0.99; a rule accuses at most
+0.3 of the good documents and at least 0.05 of the bad, and half as much again as of the good): a rule that accuses fewer
+ends on the limit, which then is no estimate. The posterior probability of a good document replaces a filter that all rules must pass. Two base
 rules stay hard: fewer than 50 words, or over half the words in repeated three-word windows.
 
 Nulls and odd cases: a null or empty text has no words, so all counts are 0 and the base rules fail it. A null doc_id
-is kept as it is; repeated rows are judged one by one. An empty table gives an empty result. Further columns of the
+is kept as it is; repeated rows are judged one by one. Texts of any length are counted whole. An empty table gives an empty
+result. Further columns of the
 input are ignored by `text_counts`, and kept untouched by `keep_good` unless they bear the helpers' leading underscore.
 """
 

@@ -7,7 +7,7 @@ leaves few weights, whose table has at most 2 ** `BITS` entries whatever the cor
 
 Nulls and odd cases: null and empty texts have no features and get the intercept's probability. A null doc_id is scored
 and does not count as held out. Without labels the score is 0.5. Repeated rows are scored one by one; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored. Texts of any length are scored whole.
 """
 
 from __future__ import annotations

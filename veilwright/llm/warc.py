@@ -71,10 +71,23 @@ BATCH_BYTES = 8 << 20
 HEAD_BYTES = 4096
 
 
+#: Schemes of Hadoop's connectors, as Arrow names them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A Hadoop path as Arrow's file systems read it; a path without a scheme stays one."""
+    if "://" not in uri:
+        return "file://" + uri[5:] if uri.startswith("file:") else uri
+    scheme, rest = uri.split("://", 1)
+    if scheme in ("wasb", "wasbs"):
+        rest = rest.replace(".blob.core.", ".dfs.core.", 1)
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}"
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[5:])
+    uri = arrow_uri(uri)
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
 # --- records -------------------------------------------------------------------------------
