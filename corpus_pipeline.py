@@ -1,14 +1,18 @@
 """The corpus pipeline: five operators, one after the other, over whole tables.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of documents; the
-last one returns the packed pieces. Null and empty texts fail the quality rules; the operators' docstrings say what they
-make of nulls, repeated rows and further columns.
+last one returns the packed pieces.
+
+Nulls and odd cases: null and empty texts fail the quality rules. Documents with a null id are judged like others, go if a
+document with an id is a near duplicate, and keep all their words. Rows repeated with one id and text stay or go together.
+Texts of any length are treated whole. An empty table gives an empty result, missing labels a classifier that keeps all it is
+unsure of. Further columns pass through all stages but the last, whatever their names but for a leading underscore.
 """
 
 from __future__ import annotations
 
 from veilwright.llm import compression_quality, packing, quality_rules, queries, simhash, substrings
-from veilwright.sources.scratch import written
+from veilwright.sources.scratch import remove, run_folder, scratch_path
 
 
 def quality_rules_stage(spark, docs, sf_dir):
@@ -53,7 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = queries.load(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage writes on its way goes when its output is written, and that when the next one's is."""
+    docs, before = queries.load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        output = scratch_path(spark, name)
+        with run_folder(spark, f"{name}_scratch"):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(output)
+        docs = spark.read.schema(result.schema).parquet(output)
+        if before:
+            remove(spark, before)
+        before = output
     return STAGES[-1][1](spark, docs, sf_dir)
