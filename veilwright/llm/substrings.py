@@ -58,8 +58,8 @@ def _rolling(words: np.ndarray, base: np.uint64, length: int) -> np.ndarray:
 def _content(words: np.ndarray, begin: np.ndarray, size: np.ndarray, step: np.uint64) -> np.ndarray:
     """A hash of the words of each stretch: every word's hash mixed with its place in the stretch."""
     out = np.zeros(len(begin), np.uint64)
-    for low in range(0, len(begin), 10_000):
-        part = slice(low, low + 10_000)
+    for low in range(0, len(begin), 1_000):
+        part = slice(low, low + 1_000)
         place = ragged_arange(size[part])
         mixed = mix64(words[np.repeat(begin[part], size[part]) + place] + (place + 1).astype(np.uint64) * step)
         out[part] = np.add.reduceat(mixed, np.cumsum(size[part]) - size[part])
@@ -103,18 +103,18 @@ def runs_of(texts: list[bytes], hashers: tuple[WordHash, WordHash], window: int
     return out
 
 
-def window_keys(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window of a list of words."""
-    data = b" ".join(words)
+def window_keys(passages: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of the passages (words joined by spaces): the passage's number, its place there, and two hashes."""
+    data = b" ".join(passages)
     bounds = word_bounds(data)
-    out = []
-    for hasher, step in zip(_hashers(), (_C1, _C2), strict=True):
-        hashes = hasher.slices(data, *bounds)
-        key = np.zeros(len(hashes) - window + 1, np.uint64)
-        for k in range(window):
-            key += mix64(hashes[k:k + len(key)] + np.array(k + 1, np.uint64) * step)
-        out.append(mix64(key).view(np.int64))
-    return out[0], out[1]
+    sizes = np.array([p.count(b" ") + 1 for p in passages], np.int64)
+    counts = np.maximum(sizes - window + 1, 0)
+    owner, place = np.repeat(np.arange(len(passages)), counts), ragged_arange(counts)
+    begin = (np.cumsum(sizes) - sizes)[owner] + place
+    length = np.full(len(begin), window, np.int64)
+    keys = [_content(hasher.slices(data, *bounds), begin, length, step).view(np.int64)
+            for hasher, step in zip(_hashers(), (_C1, _C2), strict=True)]
+    return owner, place, keys[0], keys[1]
 
 
 def _hashers() -> tuple[WordHash, WordHash]:
@@ -203,12 +203,14 @@ def _crowded_masks(passages: DataFrame, window: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, first, passage in zip(*[batch.column(k).to_pylist() for k in range(1, 5)], strict=True):
-                w1, w2 = window_keys(passage.split(b" "), window)
-                n = len(w1)
+            k1, k2, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            values = batch.column(4).to_pylist()
+            for part in bounded(values, CHUNK):
+                owner, place, w1, w2 = window_keys(values[part.start:part.stop], window)
+                owner = owner + part.start
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array([first] * n, pa.int64()),
-                     pa.array(range(n), pa.int32()), pa.array(w1), pa.array(w2)],
+                    [pa.array(k1[owner], pa.int64()), pa.array(k2[owner], pa.int64()), pa.array(first[owner], pa.int64()),
+                     pa.array(place, pa.int32()), pa.array(w1), pa.array(w2)],
                     names=["k1", "k2", "first", "place", "w1", "w2"])
 
     each = written(passages.mapInArrow(windows, "k1 long, k2 long, first long, place int, w1 long, w2 long"), "windows")
