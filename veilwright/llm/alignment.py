@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -184,16 +185,23 @@ class Aligner:
 
     def _learn(self, units: list[str]) -> None:
         """Number and tokenize units that are not known."""
-        found = [side.encode(units) for side in self.sides]
+        data = b" " + " ".join(units).encode()
+        sizes = np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in units), np.int64, len(units)) + 1
         right = np.ones(len(units), bool)
-        for k, unit in enumerate(units):
-            expected = b" " + unit.encode()
-            right[k] = all(b"".join(map(side.bytes.__getitem__, ids[k])) == expected for side, ids in zip(self.sides, found, strict=True))
+        for k, side in enumerate(self.sides):
+            ids = side.encode(units)
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+            # All at once: the same bytes in all, and as many of them in each.
+            ends = np.append(0, np.cumsum(self._lengths[k][flat]))[np.append(0, np.cumsum(counts))]
+            alike = (ends[1:] - ends[:-1]) == sizes
+            if not alike.all() or b"".join(map(side.bytes.__getitem__, chain.from_iterable(ids))) != data:
+                alike = np.array([b"".join(map(side.bytes.__getitem__, own)) == b" " + unit.encode() for own, unit in zip(ids, units, strict=True)])
+            right &= alike
+            self._ids[k] = np.concatenate([self._ids[k], flat])
+            self._first[k] = np.concatenate([self._first[k], self._first[k][-1] + np.cumsum(counts)])
         self._known.update(zip(units, range(len(self._right), len(self._right) + len(units)), strict=True))
         self._right = np.concatenate([self._right, right])
-        for k, ids in enumerate(found):
-            self._ids[k] = np.concatenate([self._ids[k], np.fromiter((t for own in ids for t in own), np.int64)])
-            self._first[k] = np.concatenate([self._first[k], self._first[k][-1] + np.cumsum([len(own) for own in ids], dtype=np.int64)])
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Flat ids of both sides, each with the first place of every text; none where they do not give back the text."""
@@ -201,11 +209,10 @@ class Aligner:
         if len(self._known) > REMEMBERED:
             self._forget()
         # In the order met, so that a run does not depend on hashing.
-        missing = [u for u in dict.fromkeys(u for units in split for u in units) if u not in self._known]
+        missing = [u for u in dict.fromkeys(chain.from_iterable(split)) if u not in self._known]
         if missing:
             self._learn(missing)
-        known = self._known
-        units = np.fromiter((known[u] for own in split for u in own), np.int64)
+        units = np.fromiter(map(self._known.__getitem__, chain.from_iterable(split)), np.int64)
         owner = np.repeat(np.arange(len(texts)), [len(own) for own in split])
         right = np.bincount(owner[~self._right[units]], minlength=len(texts)) == 0
         units, owner = units[right[owner]], owner[right[owner]]
@@ -228,8 +235,8 @@ class Aligner:
         """`a1,a2|b1;a3|b2,b3` of every text: the tokens between neighbouring cuts."""
         (a, first_a), (b, first_b) = sides
         # The group of each token, and its place when all groups are written one behind the other.
-        group_a = np.searchsorted(links.a, np.arange(len(a)))
-        group_b = np.searchsorted(links.b, np.arange(len(b)))
+        group_a, group_b = (np.cumsum(np.bincount(linked + 1, minlength=len(ids) + 1))[:-1] if len(ids) else linked
+                            for linked, ids in ((links.a, a), (links.b, b)))
         place_a = np.arange(len(a)) + np.concatenate([[0], links.b + 1])[group_a]
         place_b = np.arange(len(b)) + (links.a + 1)[group_b]
         shown = np.empty(len(a) + len(b), np.int64)
