@@ -123,7 +123,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, '{"msg":"progress","tablesDone":"many"}')
         .otherwise(progress)
     )
-    line = F.when(i % 20 == 19, F.concat(line, F.when(i % 40 == 19, " tail").otherwise("{}"))).otherwise(line)
+    behind = F.element_at(F.array(*[F.lit(t) for t in (" tail", "{}", "] tail", "]", "]{", "}")]), (i / 20 % 6 + 1).cast("int"))
+    line = F.when(i % 20 == 19, F.concat(line, behind)).otherwise(line)
     return load(spark, sf_dir, "events").select(
         F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run"), i.alias("line_no"), line.alias("value")
     )
@@ -144,9 +145,10 @@ def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = F.when(i % 24 == 20, ',"publishedAt":"not-a-time"').when(kind.isin(5, 6, 8), F.concat(
         F.lit(',"publishedAt":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"')
     )).otherwise("")
+    behind = F.element_at(F.array(*[F.lit(t) for t in ("] tail", "]", "]{", "}", "{}")]), (i / 24 % 5 + 1).cast("int"))
     name = F.when(kind == 9, "").otherwise(F.concat(F.lit("backup-"), i.cast("string")))
     text = F.concat(
         F.lit('{"name":"'), name, F.lit('","destination":"'), destination, F.lit('"'), version, published,
-        F.when(kind == 10, "").otherwise("}"), F.when(i % 24 == 18, " {}").otherwise(""),
+        F.when(kind == 10, "").otherwise("}"), F.when(i % 24 == 18, " {}").when(i % 24 == 23, behind).otherwise(""),
     )
     return load(spark, sf_dir, "events").select("event_id", text.alias("value"))

@@ -41,6 +41,27 @@ def mod(h: str, modulus: int | str) -> str:
     return f"list_reduce([0::HUGEINT, {pieces}], lambda a, x: (a * 65536 + x) % {modulus}::HUGEINT)"
 
 
+def all_digits(source: str, key: str, hashes: list[str]) -> str:
+    """CTEs that end in `places` (key, and each hash as 78 decimal places): long division by 10^9, pass by pass."""
+    words = ", ".join(f"('0x' || substr({h}, {1 + 8 * i}, 8))::BIGINT AS {h}_w{i}" for h in hashes for i in range(8))
+    ctes = [f"d0 AS (SELECT {key}, {words} FROM {source})"]
+    for step in range(9):
+        parts = []
+        for h in hashes:
+            for i in range(8):
+                here = f"{h}_w{i}" if i == 0 else f"({h}_r{i - 1} * 4294967296 + {h}_w{i})"
+                parts += [f"{here} // 1000000000 AS {h}_q{i}", f"{here} % 1000000000 AS {h}_r{i}"]
+        kept = "".join(f", {h}_p{k}" for h in hashes for k in range(step))
+        names = ", ".join(f"{h}_q{i} AS {h}_w{i}" for h in hashes for i in range(8))
+        rests = ", ".join(f"{h}_r7 AS {h}_p{step}" for h in hashes)
+        ctes.append(f"e{step} AS (SELECT *, {', '.join(parts)} FROM d{step})")
+        ctes.append(f"d{step + 1} AS (SELECT {key}, {names}{kept}, {rests} FROM e{step})")
+    texts = ", ".join(
+        f"right({' || '.join(f'lpad({h}_p{k}::VARCHAR, 9, chr(48))' for k in reversed(range(9)))}, 78) AS {h}" for h in hashes)
+    ctes.append(f"places AS (SELECT {key}, {texts} FROM d9)")
+    return ", ".join(ctes)
+
+
 def digits(h: str, length: int) -> str:
     return f"lpad(({mod(h, 10**length)})::VARCHAR, {length}, '0')"
 
@@ -248,7 +269,7 @@ logs AS (SELECT 'r' || user_id AS run, event_id AS line_no,
 """
 POINTER_ROWS = """
 pointers AS (SELECT event_id, ts, event_id % 12 AS kind,
-  event_id % 12 IN (5, 6, 8, 11) AND event_id % 24 NOT IN (18, 20) AS valid,
+  event_id % 12 IN (5, 6, 8, 11) AND event_id % 24 NOT IN (18, 20, 23) AS valid,
   CASE WHEN event_id % 12 IN (5, 6, 7) THEN CASE event_id % 12 WHEN 5 THEN 1 WHEN 6 THEN 2 ELSE 0 END ELSE 1 END AS version
   FROM events)
 """
@@ -302,9 +323,13 @@ def oracles() -> dict[str, str]:
           WITH b AS (SELECT o_orderkey, {row_hash('orders', 'o_orderkey::VARCHAR', 'code')} AS c,
             {row_hash('orders', 'o_orderkey::VARCHAR', 'amount')} AS a FROM orders)
           SELECT o_orderkey, {digits('c', 33)} AS code, ({mod('a', 2**62 + 3)})::VARCHAR AS amount FROM b""",
+        "digits_78": f"""
+          WITH b AS (SELECT o_orderkey, {row_hash('orders', 'o_orderkey::VARCHAR', 'code')} AS c,
+            {row_hash('orders', 'o_orderkey::VARCHAR', 'longer')} AS l FROM orders), {all_digits('b', 'o_orderkey', ['c', 'l'])}
+          SELECT o_orderkey, c AS code, lpad(l, 90, '0') AS longer FROM places""",
         # Blanks at the ends are cut as pairs of hex digits; the data has none beyond ASCII.
         "hash_binary": f"""
-          WITH h AS (SELECT doc_id, substr(hex(encode(text)), 3 + 2 * (doc_id % 7)::INTEGER, 82) AS x FROM documents),
+          WITH h AS (SELECT doc_id, substr(hex(encode(text)), 3 + 2 * (doc_id % 7)::INTEGER) AS x FROM documents),
           t AS (SELECT doc_id, regexp_replace(regexp_replace(x, '^(20|09|0A|0B|0C|0D)+', ''), '(20|09|0A|0B|0C|0D)+$', '') AS x FROM h)
           SELECT doc_id, CASE WHEN x = '' THEN '' ELSE {hmac("(encode('hash' || chr(31)) || unhex(x))")} END AS value FROM t""",
         "nfc_trim": f"SELECT doc_id, sha256({norm(variant)}) AS digest FROM documents",

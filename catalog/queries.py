@@ -73,11 +73,12 @@ def digest_mod(spark, sf_dir):
     df = df.withColumns({f"w{i}": w for i, w in enumerate(digest.digest_words(F.col("h")))})
     moduli = {"mod_101": 101, "mod_e9": 10**9, "mod_e18": 10**18}
     df = df.withColumns({f"odd_{name}": digest.odd_residue(words, m) for name, m in moduli.items()})
+    df = digest.with_low_digits(df, "h", 33, "low_33")
     return df.select(
         "l_orderkey",
         *[digest.join_residue(words, F.col(f"odd_{name}"), m).alias(name) for name, m in moduli.items()],
         digest.wide_mod(F.col("h"), 2**64).alias("mod_2_64"),
-        digest.wide_mod(F.col("h"), 10**33).alias("mod_e33"),
+        F.regexp_replace("low_33", "^0+(?=.)", "").alias("mod_e33"),
     )
 
 
@@ -93,10 +94,18 @@ def digits_33(spark, sf_dir):
     return rewritten(df, plan_for(df, "orders", columns, ["o_orderkey"]), KEYRING)
 
 
+@query
+def digits_78(spark, sf_dir):
+    """Codes of all the 78 places that a digest has, and of more, which begin with zeros."""
+    df = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("code"), F.col("o_orderpriority").alias("longer"))
+    columns = [{"name": "code", "strategy": "digits", "params": {"length": 78}}, {"name": "longer", "strategy": "digits", "params": {"length": 90}}]
+    return rewritten(df, plan_for(df, "orders", columns, ["o_orderkey"]), KEYRING)
+
+
 @query
 def hash_binary(spark, sf_dir):
-    """Bytes cut out of the documents at odd places, so that many are no UTF-8; text cut the same way beside them."""
-    raw = F.substring(F.col("text").cast("binary"), F.lit(2) + F.pmod("doc_id", F.lit(7)).cast("int"), F.lit(41))
+    """The documents' bytes from odd places on, so that many are no UTF-8; text cut the same way beside them."""
+    raw = F.expr("substring(cast(text as binary), 2 + cast(pmod(doc_id, 7) as int))")
     df = load(spark, sf_dir, "documents").select("doc_id", raw.alias("value"))
     out = rewritten(df, plan_for(df, "documents", [{"name": "value", "strategy": "hash"}], ["doc_id"]), KEYRING)
     return out.select("doc_id", F.col("value").cast("string").alias("value"))

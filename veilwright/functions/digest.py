@@ -1,7 +1,7 @@
 """Keyed digests and the arithmetic on them, as Catalyst expressions.
 
 A digest travels as 64 lower-case hex characters. Everything here stays on the
-JVM side except reductions by moduli above 33 digits, which no Spark type can hold.
+JVM side.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ import hashlib
 import hmac
 import re
 import secrets
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DEFAULT_NAMESPACE = "veilwright"
 MAX_ATTEMPTS = 8
@@ -175,22 +174,15 @@ def join_residue(words: list[Column], residue: Column, modulus: int) -> Column:
     return residue + F.lit(odd) * factor
 
 
-@F.pandas_udf(T.StringType())
-def _wide_mod(digest: pd.Series, modulus: pd.Series) -> pd.Series:
-    remainders = [None if h is None else str(int(h, 16) % int(m)) for h, m in zip(digest, modulus)]
-    return pd.Series(remainders, dtype=object)
-
-
 def wide_mod(digest: Column, modulus: int) -> Column:
-    """Digest mod any modulus, as decimal text.
+    """Digest mod a modulus of up to 33 digits that no bigint steps fit, as decimal text.
 
-    Up to 33 digits in `decimal(38,0)`, by steps of as many hex digits as keep every product inside; beyond that no
-    Spark type holds them, so it is done in Arrow batches.
+    In `decimal(38,0)`, by steps of as many hex digits as keep every product inside. Powers of ten have `low_digits`.
     """
     if modulus == 2**64:
         return F.conv(F.substring(digest, 49, 16), 16, 10)
     if modulus > 10**33:
-        return _wide_mod(digest, F.lit(str(modulus)))
+        raise ValueError("only powers of ten may have more than 33 digits")
     whole = "decimal(38,0)"
     size, value, width = F.lit(str(modulus)).cast(whole), None, min(12, (126 - modulus.bit_length()) // 4)
     for start in range(1, 65, width):
@@ -202,6 +194,65 @@ def wide_mod(digest: Column, modulus: int) -> Column:
     return value.cast("string")
 
 
+# --- the last decimal places of a digest --------------------------------------------------
+
+#: Places of one limb: 16 products of 16 bits and a limb, and a carry, stay inside a bigint.
+PLACES = 9
+
+
+def low_digits(places: int) -> list[Callable[[Column, list[Column]], list[Column]]]:
+    """Projections that end in the digest modulo 10 ** places as text of that many places, in bigints only.
+
+    The digest is the sum of its sixteen 16-bit pieces, each times a power of two. Those powers, written in limbs of nine
+    places, are constants, so every limb of the sum is sixteen products; carries then go from limb to limb. Each projection
+    takes the digest and the columns of the one before. The products are an array's, not columns: generated code of that
+    many columns would be too long for the JVM's compiler, and run interpreted with all that is fused to it.
+    """
+    limbs = -(-places // PLACES)
+    base = 10**PLACES
+    powers = [1 << (16 * (15 - i)) for i in range(16)]
+    constants = [[power // base**number % base for power in powers] for number in range(limbs)]
+
+    def pieces(digest: Column, words: list[Column]) -> list[Column]:
+        return [F.array(*[F.shiftrightunsigned(words[i // 4], 48 - 16 * (i % 4)).bitwiseAND(F.lit(65535)) for i in range(16)])]
+
+    def products(digest: Column, before: list[Column]) -> list[Column]:
+        table = F.array(*[F.array(*[F.lit(c).cast("bigint") for c in row]) for row in constants])
+        return [F.transform(table, lambda row: F.aggregate(
+            F.zip_with(before[0], row, lambda piece, power: piece * power), F.lit(0).cast("bigint"), lambda total, term: total + term))]
+
+    def apart(digest: Column, before: list[Column]) -> list[Column]:
+        return [before[0][number] for number in range(limbs)]
+
+    def carry(number: int):
+        def projection(digest: Column, before: list[Column]) -> list[Column]:
+            here = before[number]
+            if number + 1 == limbs:
+                return [*before[:number], here % F.lit(base)]
+            onward = before[number + 1] + F.call_function("div", here, F.lit(base))
+            return [*before[:number], here % F.lit(base), onward, *before[number + 2:]]
+
+        return projection
+
+    def text(digest: Column, before: list[Column]) -> list[Column]:
+        first = places - PLACES * (limbs - 1)
+        head = F.lpad((before[-1] % F.lit(10**first)).cast("string"), first, "0")
+        return [F.concat(head, *[F.lpad(r.cast("string"), PLACES, "0") for r in reversed(before[:-1])])]
+
+    return [lambda digest, before: digest_words(digest), pieces, products, apart, *[carry(n) for n in range(limbs)], text]
+
+
+def with_low_digits(df: DataFrame, digest: str, places: int, name: str) -> DataFrame:
+    """`df` with a column: the hex digest in `digest` modulo 10 ** places, as text of that many places."""
+    columns: list[Column] = []
+    kept, staged = df.columns, df
+    for level, projection in enumerate(low_digits(places)):
+        labels = {f"__{name}_{level}_{i}": c for i, c in enumerate(projection(F.col(digest), columns))}
+        staged = staged.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(label) for label, c in labels.items()])
+        columns = [F.col(label) for label in labels]
+    return staged.select(*[F.col(f"`{c}`") for c in kept], columns[0].alias(name))
+
+
 def digest_mod(digest: Column, modulus: int) -> Column:
     """Digest mod `modulus`, in one expression: bigint where that is enough, else decimal text.
 

@@ -1,8 +1,10 @@
 """Questions over tables of backups and runs, asked per group and at any size.
 
 A group (a cluster, an output, a schedule) may hold a large share of all rows, so no
-operator gathers one: selections are hash aggregates with map-side combine whose answers
-meet their rows again through a salted join, and top-k cuts are ranked filters that Spark
+operator gathers one: selections are hash aggregates over fixed-width integers with
+map-side combine. Their answers, a row per group, are stored, so that Spark broadcasts
+them while they are small and splits a large group's rows where they are not; no group's
+rows are shuffled for an answer of one row. Top-k cuts are ranked filters that Spark
 limits before the shuffle.
 """
 
@@ -11,17 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # Backup states that are counted.
 STATES = ("Succeeded", "Failed", "Running", "Starting")
-#: Tasks that one group's rows are spread over when its answer is joined back.
-SALTS = 32
-
-
-def meet(rows: DataFrame, answers: DataFrame, by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join one answer per group back to the group's rows, spreading each group over `salts` tasks."""
-    salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)))
-    salted_answers = answers.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted_rows.join(salted_answers, [*by, "__salt"], how).drop("__salt")
 
 
 def _newest_first(*moments: Column) -> list[Column]:
@@ -62,14 +57,15 @@ def state_counts(backups: DataFrame, by: list[str]) -> DataFrame:
 def _first_of(rows: DataFrame, by: list[str], lead: Column, then: list[Column], counts: list[Column]) -> DataFrame:
     """Per group: the row with the greatest `lead` (a bigint, NULL for rows that cannot win), ties by `then`, and counts.
 
-    A hash aggregate finds the greatest value; only rows that hold it are ranked.
+    A hash aggregate finds the greatest value. The rows that hold it meet it on group and value together, so a large
+    group is no skew, and only they are ranked.
     """
     led = rows.withColumn("__lead", lead)
-    top = led.groupBy(*by).agg(F.max("__lead").alias("__top"), *counts)
-    holders = meet(led.where(F.col("__lead").isNotNull()), top.select(*by, "__top"), by).where("__lead = __top")
+    top = written(led.groupBy(*by).agg(F.max("__lead").alias("__lead"), *counts), "tops")
+    holders = led.where(F.col("__lead").isNotNull()).join(top.select(*by, "__lead"), [*by, "__lead"], "left_semi")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*then))
-    winners = holders.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__lead", "__top")
-    return top.drop("__top").join(winners, by, "left")
+    winners = holders.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__lead")
+    return top.drop("__lead").join(winners, by, "left")
 
 
 def latest_succeeded(backups: DataFrame, by: list[str]) -> DataFrame:
@@ -89,17 +85,17 @@ def latest_succeeded(backups: DataFrame, by: list[str]) -> DataFrame:
 
 def selection_reason(backups: DataFrame, by: list[str]) -> DataFrame:
     """Why each group's selection stands, given backups created after it."""
-    chosen = latest_succeeded(backups.where(selectable()), by).where(F.col("selected").isNotNull())
-    newer = meet(backups, chosen.select(*by, "selected", "selected_created_at"), by).where(
+    chosen = written(latest_succeeded(backups.where(selectable()), by).where(F.col("selected").isNotNull()), "chosen")
+    newer = backups.select(*by, "name", "state", "created_at").join(chosen.select(*by, "selected_created_at"), by).where(
         F.col("created_at") > F.col("selected_created_at")
     )
     busy = F.col("state").isin("Running", "Starting")
-    order = F.struct(-F.unix_micros("created_at"), F.col("name").alias("name"))
-    facts = newer.groupBy(*by).agg(
-        F.count_if(F.col("state") == "Failed").alias("newer_failed"),
-        F.min(F.when(busy, order)).getField("name").alias("in_progress"),
-    )
+    facts = _first_of(
+        newer, by, F.when(busy, F.unix_micros("created_at")), [F.col("name")],
+        [F.count_if(F.col("state") == "Failed").alias("newer_failed")],
+    ).select(*by, "newer_failed", F.col("name").alias("in_progress"))
     failed = F.coalesce("newer_failed", F.lit(0))
+    # Reasons and messages, which users' alerts compare.
     reason = (
         F.when(failed > 0, "NewerBackupFailed")
         .when(F.col("in_progress").isNotNull(), "NewerBackupInProgress")
@@ -123,6 +119,7 @@ def no_candidate_reason(backups: DataFrame, published: DataFrame, by: list[str])
     looked = empty.join(alive, [*by, "current"], "left")
     missing = F.coalesce("missing_completion", F.lit(0))
     dangling = F.col("current").isNotNull() & F.col("alive").isNull()
+    # Phases, reasons and messages, which users' alerts compare.
     return looked.select(
         *by,
         F.when(dangling, "Dangling").otherwise("NoCandidate").alias("phase"),
@@ -157,15 +154,16 @@ def retention_prune(
     failed_after_hours = failed_after_hours if failed_after_hours > 0 else 24
     group = backups.where(~F.col("has_owner_reference"))
     succeeded = group.where(F.col("state") == "Succeeded")
-    lacking = succeeded.groupBy(*by).agg(F.max(F.col("completed_at").isNull()).alias("__lacking"))
+    lacking = written(succeeded.groupBy(*by).agg(F.max(F.col("completed_at").isNull()).alias("__lacking")), "lacking")
     order = [*_newest_first(F.when(~F.col("__lacking"), F.col("completed_at")), F.col("created_at")), F.col("name")]
-    # Spark cuts `row_number <= keep` per task before the shuffle, so a large group stays spread.
+    # Narrow rows are ranked, and Spark cuts `row_number <= keep` per task before the shuffle, so a large group stays spread.
     kept = (
-        meet(succeeded, lacking, by).withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        succeeded.select(*by, "name", "completed_at", "created_at").join(lacking, by)
+        .withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         .where(F.col("__rank") <= keep)
         .select(*by, "name")
     )
-    beyond = succeeded.join(kept, [*by, "name"], "left_anti")
+    beyond = succeeded.join(written(kept, "kept"), [*by, "name"], "left_anti")
     age = F.unix_micros(now) - F.unix_micros("created_at")
     old = group.where((F.col("state") == "Failed") & (age >= F.lit(int(failed_after_hours * 3600 * 1_000_000))))
     settled = owners.where("settled").select("run_uid").distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import PolicyError
 from ..functions import corpora
 from ..functions.digest import (
-    Keyring, digest_words, fits_long, hex_int, join_residue, odd_residue, pick, stretch, wide_mod,
+    Keyring, digest_words, fits_long, hex_int, join_residue, low_digits, odd_residue, pick, stretch, wide_mod,
 )
 from ..plans.rules import Rule
 
@@ -68,6 +68,8 @@ def stages(rule: Rule, keyring: Keyring) -> list[Callable[[Column, list[Column]]
     uses more than once get a stage of their own, so Catalyst computes them once.
     """
     size = modulus(rule, keyring)
+    if rule.strategy == "digits" and not fits_long(size):
+        return low_digits(min(rule.params["length"], _DIGEST_DIGITS))
     if size is not None and not fits_long(size):
         return [lambda h, before: [wide_mod(h, size)]]
     if size is not None:

@@ -134,14 +134,18 @@ class Catalog(Dataset):
         return self._overlays.get(database, {}).get(table, {})
 
     def enter(self, spark, database):
+        self._before = spark.catalog.currentDatabase()
         spark.catalog.setCurrentDatabase(database)
 
+    def leave(self, spark, database):
+        spark.catalog.setCurrentDatabase(self._before)
+
 
 class Jdbc(Dataset):
     """Tables of a SQL server, read in parallel ranges of one numeric key column.
 
-    `ranges[database][table]` gives (column, lower, upper, partitions). Needs the driver's
-    jar on the classpath, so it is not exercised by the tests.
+    `ranges[database][table]` gives (column, lower, upper, partitions). A table without them would be read by one task
+    alone, so it is refused. Needs the driver's jar on the classpath, so reading is not exercised by the tests.
     """
 
     def __init__(self, spark: SparkSession, url: str, tables: dict[str, list[str]], ranges: dict, overlays=None, **options):
@@ -155,13 +159,13 @@ class Jdbc(Dataset):
         return table in self._names.get(database, [])
 
     def table(self, database, table):
+        if table not in self._ranges.get(database, {}):
+            raise SchemaError(f"{database}.{table}: a JDBC table needs a key column with bounds and a number of partitions")
+        column, lower, upper, partitions = self._ranges[database][table]
         reader = self._spark.read.format("jdbc").options(url=self._url, dbtable=f"{database}.{table}", **self._options)
-        if table in self._ranges.get(database, {}):
-            column, lower, upper, partitions = self._ranges[database][table]
-            reader = reader.options(
-                partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions
-            )
-        return reader.load()
+        return reader.options(
+            partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions
+        ).load()
 
     def overlay(self, database, table):
         return self._overlays.get(database, {}).get(table, {})

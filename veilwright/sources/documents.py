@@ -33,9 +33,14 @@ _RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z
 
 
 def one_document(text: Column) -> Column:
-    """True where the text is one JSON value and nothing more: as the only item of a list it must still parse."""
+    """True where the text is one JSON value and nothing more.
+
+    It must parse as the only item of a list and as the only member of an object: what stands behind the value would have to
+    close both a bracket and a brace first.
+    """
     items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    return F.coalesce(F.size(items) == 1, F.lit(False))
+    member = F.from_json(F.concat(F.lit('{"d":'), text, F.lit("}")), "d string")
+    return F.coalesce((F.size(items) == 1) & member["d"].isNotNull(), F.lit(False))
 
 
 def moment(text: Column) -> Column:

@@ -1,10 +1,11 @@
-"""Small bounded files read on the driver: policies, seeds, constants, SQL steps. Local paths or any URI Arrow opens."""
+"""Small bounded files read on the driver: policies, seeds, constants, SQL steps. Local paths, or any URI that Hadoop opens."""
 
 from __future__ import annotations
 
 import posixpath
 
-from pyarrow import fs
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import SparkSession
 
 from ..errors import PolicyError
 
@@ -23,18 +24,36 @@ def inside(root: str | None, *names: str) -> str:
 
 
 def read_bounded(path: str, maximum: int = MAX_BYTES) -> bytes:
-    """A whole file of at most `maximum` bytes."""
+    """A whole file of at most `maximum` bytes. URIs are opened as Spark opens them, with the session's credentials."""
     try:
-        system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        with system.open_input_file(place) as source:
-            data = source.read(maximum + 1)
-    except (OSError, ValueError):
+        data = _through_hadoop(path, maximum) if "://" in path else _local(path, maximum)
+    except (OSError, ValueError, Py4JJavaError):
         raise PolicyError("an input file is missing or unreadable") from None
     if len(data) > maximum:
         raise PolicyError(f"an input file is larger than {maximum} bytes")
     return data
 
 
+def _local(path: str, maximum: int) -> bytes:
+    with open(path, "rb") as source:
+        return source.read(maximum + 1)
+
+
+def _through_hadoop(uri: str, maximum: int) -> bytes:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise OSError("a URI needs a Spark session")
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).getLen() > maximum:
+        return bytes(maximum + 1)
+    stream = files.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def read_seed(path: str) -> bytes:
     seed = read_bounded(path)
     if len(seed) < 32:
