@@ -453,6 +453,7 @@ def oracles() -> dict[str, str]:
         "null_array": "SELECT vec_id, label, NULL::INTEGER AS n_values FROM embeddings",
         "chunk_resume": _RESUMED,
         "chunk_resume_files": _RESUMED,
+        "chunk_resume_packed": _RESUMED,
         "chunk_resume_text_key": f"""
           WITH b AS (SELECT *, {row_hash('orders', name_key, 'c_mktsegment')} AS h FROM customer)
           SELECT c_name, c_custkey, {digits('h', 9)} AS c_mktsegment FROM b""",
@@ -464,6 +465,10 @@ def oracles() -> dict[str, str]:
           SELECT o_orderkey, year(o_orderdate)::INTEGER AS year,
             left(o_orderpriority, 1) || repeat('*', greatest(length(o_orderpriority) - 1, 0)) AS o_orderpriority, 6 AS width
           FROM orders""",
+        "run_keeps_layout": """
+          SELECT o_orderkey, year(o_orderdate)::INTEGER AS year,
+            left(o_orderpriority, 1) || repeat('*', greatest(length(o_orderpriority) - 1, 0)) AS o_orderpriority,
+            year(o_orderdate)::INTEGER AS folder, 'orc' AS format FROM orders""",
         "keyless_run": """
           SELECT l_orderkey, l_linenumber, repeat('*', length(l_returnflag)) AS l_returnflag, l_quantity FROM lineitem""",
         "folder_of_orc": """
@@ -486,6 +491,9 @@ def oracles() -> dict[str, str]:
           WITH b AS (SELECT event_id, {consistent('hash', 'event_type')} AS e,
             {row_hash('events', 'event_id::VARCHAR', 'value')} AS v FROM events)
           SELECT event_id, left(e, 16) AS event_type, {digits('v', 9)} AS value FROM b""",
+        "stream_commits": f"""
+          WITH b AS (SELECT event_id, {consistent('hash', 'event_type')} AS e FROM events)
+          SELECT event_id, left(e, 16) AS event_type FROM b""",
         "state_counts": f"""
           WITH {BACKUPS} SELECT cluster, count(*) FILTER (WHERE state = 'Succeeded') AS succeeded, count(*) FILTER (WHERE state = 'Failed') AS failed,
             count(*) FILTER (WHERE state = 'Running') AS running, count(*) FILTER (WHERE state = 'Starting') AS starting FROM backups GROUP BY cluster""",

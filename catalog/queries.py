@@ -18,7 +18,7 @@ from veilwright.plans.runner import run_totals as totals_of_run
 from veilwright.plans.steps import run_step, run_steps
 from veilwright.sources import dataset, documents, fixtures
 from veilwright.sources.scratch import scratch_path, written
-from veilwright.streaming.apply_stream import apply_policy_stream, start_to_files
+from veilwright.streaming.apply_stream import apply_policy_stream, start_checked, start_to_files
 
 from . import demo
 from .demo import KEYRING, POLICY_HASH, REFERENCE_DATE, SEED, load, plan_for
@@ -632,6 +632,32 @@ def folder_of_orc(spark, sf_dir):
     return run.result("demo", "supplier")
 
 
+@query
+def run_keeps_layout(spark, sf_dir):
+    """A run over partitioned ORC by pages gives partitioned ORC: rows, their folders and their files' format."""
+    root = scratch_path(spark, "layout")
+    year = F.year("o_orderdate").alias("year")
+    load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", year).repartition(4, "year").write.partitionBy(
+        "year").orc(f"{root}/demo/orders")
+    overlay = {"primaryKey": ["o_orderkey"], "columns": {"o_orderkey": {"nullable": False}}}
+    source = dataset.Folder(spark, root, "orc", {"demo": {"orders": overlay}})
+    policy = {"databases": [{"name": "demo", "tables": [{"name": "orders", "columns": ORDERS_RULES[1:]}]}]}
+    run = Run(spark, policy, source, _options(spark, "layout-run", page_size=100, pages=10))
+    run.execute()
+    place = F.col("_metadata.file_path")
+    out = run.result("demo", "orders")
+    return out.select("o_orderkey", "year", "o_orderpriority", F.regexp_extract(place, "/year=([0-9]+)/", 1).cast("int").alias("folder"),
+                      F.regexp_extract(place, "[.]([a-z]+)$", 1).alias("format"))
+
+
+@query
+def chunk_resume_packed(spark, sf_dir):
+    """A resumed run over packs of files, of a table whose files are not clustered by its key."""
+    df = written(_some_orders(spark, sf_dir).repartition(12), "spread")
+    plan = scratch_path(spark, "packs")
+    return _resumed(spark, "by-packs", df, ORDERS_RULES, ["o_orderkey"], lambda df: resume.packed_chunks(df, plan, count=4))
+
+
 @query
 def progress_identity(spark, sf_dir):
     """Per chunk of a finished run: its rule, and whether exactly one commit belongs to it."""
@@ -726,6 +752,20 @@ def _plain(df: DataFrame, *moments: str) -> DataFrame:
     return df.withColumns({m: F.col(m).cast("timestamp_ntz") for m in moments})
 
 
+@query
+def stream_commits(spark, sf_dir):
+    """Micro-batches committed through a run's manifest; the stream starts a second time and finds nothing to do."""
+    schema = load(spark, sf_dir, "events").schema
+    output = scratch_path(spark, "commits")
+    manifest, key = Manifest(spark, f"{output}/_progress"), ProgressKey("stream", "table", "demo", "events", POLICY_HASH)
+    columns = [{"name": "event_type", "strategy": "hash", "params": {"length": 16}}]
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", "event_type")
+        start_checked(stream, plan_for(stream, "events", columns, ["event_id"]), KEYRING, manifest, key, f"{output}/rows",
+                      f"{output}/state").start().awaitTermination()
+    return resume.committed(manifest, key)
+
+
 @query
 def state_counts(spark, sf_dir):
     return ledger.state_counts(demo.backups(spark, sf_dir), ["cluster"])

@@ -14,7 +14,7 @@ from veilwright.plans.policy import decode
 from veilwright.plans.preflight import preflight
 from veilwright.plans.progress import Manifest, ProgressKey
 from veilwright.plans.report import Report
-from veilwright.plans.resume import committed, file_chunks, key_chunks, run_chunks
+from veilwright.plans.resume import Chunk, committed, file_chunks, key_chunks, packed_chunks, run_chunks
 from veilwright.plans.schema import ColumnInfo, unfit, violation
 from veilwright.plans.steps import execute, resolve_step, run_step
 from veilwright.sources.dataset import match_databases
@@ -419,3 +419,161 @@ def test_links_count_no_null_keys(spark):
     parent = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (None, "c")], "id int, name string")
     row = checks.link_preserved(child, parent, [("k", "id"), ("v", "name")]).first()
     assert (row["child_rows"], row["linked_rows"]) == (5, 2)
+
+
+def spread_files(spark, tmp_path, rows=400, files=16):
+    """A table that is not clustered by its key: every file holds keys of the whole range."""
+    path = str(tmp_path / "in" / "demo" / "people")
+    spark.range(rows).selectExpr("id", "'v' || id payload").repartition(files).write.parquet(path)
+    return path
+
+
+def test_packs_of_files_read_no_file_twice(spark, tmp_path):
+    df = spark.read.parquet(spread_files(spark, tmp_path))
+    chunks = packed_chunks(df, str(tmp_path / "plan"), size=100)
+    assert 3 <= len(chunks) <= 5 and {c.rule for c in chunks} == {"packed"}
+    files = [{r[0] for r in c.rows(df).select("_metadata.file_path").distinct().collect()} for c in chunks]
+    assert sum(map(len, files)) == len(set.union(*files)) == 16
+    assert sorted(r["id"] for c in chunks for r in c.rows(df).collect()) == list(range(400))
+    # The files of other chunks are not opened: the scan lists its own only.
+    scan = chunks[0].rows(df)
+    assert len(scan.inputFiles()) >= len(files[0]) and scan.rdd.getNumPartitions() <= len(files[0])
+    assert len(packed_chunks(df, str(tmp_path / "one"), count=1)) == 1
+    assert packed_chunks(df.where("id < 0"), str(tmp_path / "none"), size=10)[0].rule in ("all", "packed")
+
+
+def test_many_groups_of_packs_cover_all_files(spark, tmp_path, monkeypatch):
+    import veilwright.plans.resume as resume
+
+    monkeypatch.setattr(resume, "PACKS", 2)
+    df = spark.read.parquet(spread_files(spark, tmp_path))
+    chunks = packed_chunks(df, str(tmp_path / "plan"), size=30)
+    assert len(chunks) > 6 and len({c.index for c in chunks}) == len(chunks)
+    assert sorted(r["id"] for c in chunks for r in c.rows(df).collect()) == list(range(400))
+
+
+def test_page_size_makes_the_chunks(spark, tmp_path):
+    spread_files(spark, tmp_path)
+    source = Folder(spark, str(tmp_path / "in"), overlays={"demo": {"people": KEY}})
+    numbers = {}
+    for size in (10, 50, None):
+        run = Run(spark, policy(), source, options(tmp_path, f"pages-{size}", page_size=size, pages=4))
+        run.options.output += str(size)
+        assert run.execute().result == "ok", run.__dict__.get("error")
+        rows = run.manifest.rows().where("not done")
+        numbers[size] = rows.count()
+        assert {r["rule"] for r in rows.collect()} == {"packed"} and run.result("demo", "people").count() == 400
+    assert numbers[10] > numbers[50] > numbers[None] == 1
+    # A table's own setting comes first, and rows that come from no file are cut by key into as many chunks.
+    frame = spark.createDataFrame([(i, "x") for i in range(100)], "id long, payload string")
+    run = Run(spark, policy(pageSize=5), dataset(spark, df=frame), options(tmp_path, "by-key", page_size=100, pages=4))
+    assert run.execute().result == "ok" and run.manifest.rows().where("not done AND rule = 'range'").count() == 5
+    for wrong in ({"pages": 0}, {"chunks": 0}, {"chunk_by": "rows"}):
+        assert Run(spark, policy(), dataset(spark), options(tmp_path, "wrong", **wrong)).execute().failure_class == "policy"
+
+
+def test_a_lost_packed_run_goes_on(spark, tmp_path, monkeypatch):
+    import veilwright.plans.resume as resume
+
+    spread_files(spark, tmp_path)
+    source = Folder(spark, str(tmp_path / "in"), overlays={"demo": {"people": KEY}})
+    real, calls = resume.write_checked, []
+
+    def failing(marked, path, *layout):
+        calls.append(path)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return real(marked, path, *layout)
+
+    monkeypatch.setattr(resume, "write_checked", failing)
+    make = lambda: Run(spark, policy(), source, options(tmp_path, "packed", page_size=20, pages=4))
+    assert make().execute().result == "error"
+    second = make()
+    assert second.execute().result == "ok"
+    planned = second.manifest.rows().where("not done").count()
+    assert planned >= 4 and len(calls) == planned + 1
+    assert sorted(r["id"] for r in second.result("demo", "people").collect()) == list(range(400))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
+def test_format_and_partitions_are_kept(spark, tmp_path, fmt):
+    path = tmp_path / "in" / "demo" / "people"
+    rows = spark.range(60).selectExpr("id", "'v' || id payload", "id % 3 part", "id % 2 half")
+    rows.repartition(2).write.partitionBy("part", "half").format(fmt).save(str(path))
+    source = Folder(spark, str(tmp_path / "in"), fmt, {"demo": {"people": KEY}})
+    assert source.layout("demo", "people") == (fmt, ("part", "half"))
+    run = Run(spark, policy([{"name": "payload", "strategy": "mask"}]), source, options(tmp_path, page_size=5, pages=4))
+    assert run.execute().result == "ok", run.__dict__.get("error")
+    out = run.result("demo", "people")
+    assert out.schema == source.table("demo", "people").schema
+    assert sorted(tuple(r) for r in out.select("id", "payload", "part", "half").collect()) == [
+        (i, "*" * (1 + len(str(i))), i % 3, i % 2) for i in range(60)]
+    made = [p for p in (tmp_path / "out" / "demo" / "people").rglob(f"*.{fmt}") if "_plan" not in p.parts]
+    assert made and all(p.parent.name.startswith("half=") and p.parent.parent.name.startswith("part=") for p in made)
+
+
+def test_two_drivers_of_one_run(spark, tmp_path):
+    """Two manifests over one folder, both empty when they are read: one executes the step, both may write, one counts."""
+    first, second = Manifest(spark, str(tmp_path / "p")), Manifest(spark, str(tmp_path / "p"))
+    step = ProgressKey("r", "step", "demo", "pre:0:s", "sha256:" + "0" * 64)
+    assert first.entries(step) == second.entries(step) == []
+    assert first.claim(step, "a") and not second.claim(step, "a") and second.claim(step, "b")
+    assert run_step(spark, f"INSERT OVERWRITE DIRECTORY '{tmp_path / 'rows'}' USING parquet SELECT 1 AS n", first, step) is True
+    assert run_step(spark, "SELECT no_such_column", second, step) is False
+    # A driver that has begun and not ended.
+    begun = ProgressKey("r", "step", "demo", "pre:1:s", "sha256:" + "0" * 64)
+    assert second.entries(begun) == [] and first.claim(begun)
+    with pytest.raises(UncertainStep):
+        run_step(spark, "SELECT 1", second, begun)
+    # Chunks: both write, to two places, and readers see one.
+    df = spark.range(40).selectExpr("id", "'v' || id payload")
+    info = table_info(df.schema)
+    plan = TableTransform("demo", "t", (compile_rule({"name": "payload", "strategy": "mask"}),), (info.column("payload"),), (info.column("id"),))
+    keyring = Keyring.derive(SEED, "sha256:" + "0" * 64, DAY)
+    table = ProgressKey("r", "table", "demo", "t", "sha256:" + "0" * 64)
+    for manifest in (first, second):
+        manifest.entries(table)
+    rewrite = lambda part: transform(part, plan, keyring, mark=True)
+    chunks = lambda: [Chunk(0, "hash", 2), Chunk(1, "hash", 2)]
+    for manifest in (first, second):
+        assert run_chunks(df, rewrite, chunks, manifest, table, str(tmp_path / "o"), ("id",)) == 40
+    third = Manifest(spark, str(tmp_path / "p"))
+    assert len({r["path"] for r in third.entries(table) if r["done"]}) == 4
+    assert committed(third, table).count() == committed(first, table).count() == 40
+    from veilwright.plans.runner import run_totals
+
+    totals = {r["kind"]: r for r in run_totals(third, "r").collect()}
+    assert totals["table"]["units_done"] == 2 and totals["table"]["rows_done"] == 40
+
+
+def test_errors_of_the_data_are_no_transient_ones(spark, tmp_path):
+    frame = spark.createDataFrame([(i, str(i - 2)) for i in range(5)], "id long, payload string")
+    for uid, where in (("zero", "1 div cast(payload as int) = 1"), ("cast", "cast(payload || 'x' as int) = 1")):
+        report = Run(spark, policy(ignore={"where": where}), dataset(spark, df=frame), options(tmp_path, uid)).execute()
+        assert report.failure_class == "schema" and report.exit_code() == 11, report.message
+
+
+def test_files_behind_uris_are_read_as_spark_reads_them(spark, tmp_path):
+    (tmp_path / "seed").write_bytes(b"s" * 40)
+    assert read_bounded(f"file://{tmp_path}/seed") == b"s" * 40 == read_seed(f"file://{tmp_path}/seed")
+    for path, most in ((f"file://{tmp_path}/none", 100), (f"file://{tmp_path}/seed", 39), ("nosuchscheme://x/y", 10)):
+        with pytest.raises(PolicyError):
+            read_bounded(path, most)
+
+
+def test_tables_of_a_server_need_ranges(spark):
+    from veilwright.sources.dataset import Jdbc
+
+    with pytest.raises(SchemaError, match="bounds"):
+        Jdbc(spark, "jdbc:none:", {"demo": ["t"]}, {}).table("demo", "t")
+
+
+def test_the_catalog_goes_back_to_its_database(spark):
+    from veilwright.sources.dataset import Catalog
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS elsewhere")
+    source, before = Catalog(spark), spark.catalog.currentDatabase()
+    source.enter(spark, "elsewhere")
+    assert spark.catalog.currentDatabase() == "elsewhere"
+    source.leave(spark, "elsewhere")
+    assert spark.catalog.currentDatabase() == before

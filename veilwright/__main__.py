@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from .errors import AnonymizeError
 from .plans.report import Report
+from .plans.resume import PAGES
 from .plans.runner import Run, RunOptions
 from .sources.dataset import Catalog, Folder
 from .sources.files import read_bounded, read_seed
@@ -33,8 +34,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--constants-dir")
     run.add_argument("--workers", type=int, default=4)
     run.add_argument("--page-size", type=int)
-    run.add_argument("--chunks", type=int, default=1)
-    run.add_argument("--chunk-by", choices=("key", "files"), default="key")
+    run.add_argument("--chunks", type=int, help="without it, as many as --pages pages make")
+    run.add_argument("--pages", type=int, default=PAGES, help="pages of one chunk")
+    run.add_argument("--chunk-by", choices=("key", "files"))
     run.add_argument("--allow-keyless", action="store_true")
     run.add_argument("--dry-run", action="store_true")
     run.add_argument("--report", help="file for the one-line report")
@@ -56,7 +58,7 @@ def _anonymize(spark: SparkSession, args: argparse.Namespace) -> Report:
     dataset = Folder(spark, args.input, args.format, overlays) if args.input else Catalog(spark, overlays)
     options = RunOptions(
         args.run_uid, seed, dt.datetime.fromisoformat(args.reference_time), args.output, workers=args.workers,
-        page_size=args.page_size, chunks=args.chunks, chunk_by=args.chunk_by, dry_run=args.dry_run,
+        page_size=args.page_size, chunks=args.chunks, pages=args.pages, chunk_by=args.chunk_by, dry_run=args.dry_run,
         steps_dir=args.steps_dir, constants_dir=args.constants_dir, allow_keyless=args.allow_keyless,
         progress=lambda line: print(json.dumps(line), file=sys.stderr),
     )

@@ -7,9 +7,11 @@ is there, so output that a lost run left behind is never read.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,27 @@ class Manifest:
             raise PolicyError("recorded progress belongs to another policy hash")
         return mine
 
+    def refresh(self, key: ProgressKey) -> None:
+        """Forget what is remembered of a run: another driver may have recorded more."""
+        self._known.pop(key.run_uid, None)
+
+    def claim(self, key: ProgressKey, unit: str = "") -> bool:
+        """Take a unit of work: True for the one who makes its file, which is made only if it is not there."""
+        identity = "\x1f".join((key.run_uid, key.kind, key.db, key.name, key.policy_hash, unit))
+        folder = f"{self._path}/_claims"  # no reader looks into it
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{hashlib.sha256(identity.encode()).hexdigest()}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(path.getParent())
+        if files.getScheme() == "file":  # where Hadoop looks first and creates then
+            return self.spark._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+        try:
+            files.create(path, False).close()
+        except Py4JJavaError as error:
+            if files.exists(path):
+                return False
+            raise error
+        return True
+
     def append(self, key: ProgressKey, **values) -> None:
         self.append_all(key, [values])
 

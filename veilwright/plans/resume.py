@@ -1,18 +1,20 @@
 """Chunked, resumable rewriting of one table.
 
-A chunk is one of three things. Ranges suit a single ordered key whose files are clustered by it, since statistics then
-keep each chunk to its own files. Parts by the key's hash suit every other key: text, binary or composite, with hot
-leading values. Groups of files, by the hash of their paths, suit any stored table: no file is read twice, partition
-columns and formats stay as they are, and no file list passes through the driver.
+A stored table's chunks are packs of whole files with about as many rows as a number of pages: no byte is read by two
+chunks, whatever the key, and partition columns and formats stay as they are. Files are counted and packed by a Spark job
+and the plan is a table; the driver gets the numbers of the chunks, and one chunk's file names at a time. Rows that come from
+no file are cut by key: ranges suit a single ordered key, parts by the key's hash every other one; each such chunk reads the
+whole input, so there should be few.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +23,18 @@ from ..operators.apply import TOUCHED, VIOLATIONS, quote_identifier
 from .progress import Manifest, ProgressKey
 
 _BOUNDARY_ACCURACY = 10000
+#: Pages of one chunk; packs that one task makes (its files are put in order, others' are not).
+PAGES, PACKS = 200, 64
+_PACKED = "chunk int, file string, rows bigint"
 _ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass(frozen=True)
 class Chunk:
-    """`rule` is all, range (lower < key <= upper), hash (of the key) or files (hash of a row's file)."""
+    """`rule` is all, range (lower < key <= upper), hash (of the key), files (hash of a row's file) or packed.
+
+    A packed chunk's files are the rows of the table `lower` names that bear its index.
+    """
 
     index: int
     rule: str = "all"
@@ -42,6 +50,9 @@ class Chunk:
         if self.rule == "files":
             # Spark tries a predicate over file metadata on the file list, so other files are not opened.
             return df.where(F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(self.parts)) == self.index)
+        if self.rule == "packed":
+            mine = df.sparkSession.read.schema(_PACKED).parquet(self.lower).where(F.col("chunk") == self.index)
+            return df.where(F.col("_metadata.file_path").isin([row["file"] for row in mine.collect()]))
         if self.rule == "range":
             kind = df.schema[key[0]].dataType
             above = F.lit(True) if self.lower is None else columns[0] > _bound(self.lower, kind)
@@ -83,6 +94,41 @@ def file_chunks(df: DataFrame, count: int) -> list[Chunk]:
     return [Chunk(0)] if count <= 1 else [Chunk(i, "files", count) for i in range(count)]
 
 
+def from_files(df: DataFrame) -> bool:
+    """Do all rows come from files that are read as they are?"""
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
+
+
+def packed_chunks(df: DataFrame, plan: str, size: int | None = None, count: int | None = None) -> list[Chunk]:
+    """Chunks of whole files with about `size` rows each, or about `count` of them; the plan is written to `plan`.
+
+    Row counts come from the files' footers where the format has them. A file with more rows is a chunk by itself.
+    """
+    files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    counted = f"{plan}/files"
+    files.write.mode("overwrite").parquet(counted)
+    files = df.sparkSession.read.parquet(counted)
+    total = files.agg(F.sum("rows")).first()[0] or 0
+    size = size or max(1, -(-total // (count or 1)))
+    groups = max(1, -(-total // (size * PACKS)))
+    mine = Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    packed = files.withColumn("group", F.pmod(F.xxhash64("file"), F.lit(groups))).withColumn(
+        "pack", F.floor(F.coalesce(F.sum("rows").over(mine), F.lit(0)) / F.lit(size)))
+    # Packs of a group are counted on from the group's first number; there are PACKS or one more of them, by and large.
+    numbered = packed.select((F.col("group") * F.lit(8 * PACKS) + F.col("pack")).cast("int").alias("chunk"), "file", "rows")
+    if groups > 1 and packed.agg(F.max("pack")).first()[0] >= 8 * PACKS:
+        raise PolicyError("a group of files is far larger than the others; choose larger pages")
+    place = f"{plan}/packed"
+    numbered.write.mode("overwrite").parquet(place)
+    numbers = df.sparkSession.read.schema(_PACKED).parquet(place).select("chunk").distinct().orderBy("chunk").collect()
+    # A table without files, or without rows, is one chunk.
+    return [Chunk(row["chunk"], "packed", len(numbers), place) for row in numbers] or [Chunk(0)]
+
+
 def run_chunks(
     df: DataFrame,
     rewrite: Callable[[DataFrame], DataFrame],
@@ -91,12 +137,16 @@ def run_chunks(
     progress_key: ProgressKey,
     output: str,
     key: tuple[str, ...] = (),
+    layout: tuple = (),
 ) -> int:
     """Rewrite every chunk not committed yet; return the rows selected over all chunks.
 
     `rewrite` returns the marked rows of `transform(..., mark=True)`. Counting and
     checking happen in the pass that writes. Chunks are fixed by the first run and read
-    back by later ones.
+    back by later ones. `layout` is the format and the partition columns to write with.
+
+    Two drivers of one run do not write to one place: the first to take a chunk writes to the chunk's folder, any other
+    to one of its own, and readers settle on one commit a chunk. Both hold the same rows.
     """
     recorded = manifest.entries(progress_key)
     plan = sorted((_chunk_of(row) for row in recorded if not row["done"]), key=lambda chunk: chunk.index)
@@ -110,7 +160,9 @@ def run_chunks(
     for chunk in plan:
         if chunk.index not in done:
             path = f"{output}/chunk={chunk.index}"
-            done[chunk.index] = write_checked(rewrite(chunk.rows(df, key)), path)
+            if not manifest.claim(progress_key, f"chunk {chunk.index}"):
+                path = f"{path}-{uuid.uuid4().hex}"
+            done[chunk.index] = write_checked(rewrite(chunk.rows(df, key)), path, *layout)
             manifest.append(progress_key, chunk=chunk.index, rows_done=done[chunk.index], path=path)
     return sum(done.values())
 
@@ -119,7 +171,7 @@ def _chunk_of(row) -> Chunk:
     return Chunk(row["chunk"], row["rule"], row["parts"], row["lower"], row["upper"])
 
 
-def write_checked(marked: DataFrame, path: str) -> int:
+def write_checked(marked: DataFrame, path: str, fmt: str = "parquet", partitions: tuple[str, ...] = ()) -> int:
     """Write marked rows and count them in the same pass; fail before anything is committed."""
     names = [field.name for field in marked.schema[VIOLATIONS].dataType.fields]
     bad = F.greatest(*[F.col(f"{VIOLATIONS}.`{n}`") for n in names], F.lit(False))
@@ -127,21 +179,32 @@ def write_checked(marked: DataFrame, path: str) -> int:
     observed = marked.observe(
         seen, F.count_if(F.col(TOUCHED)).alias("selected"), F.count_if(bad).alias("bad")
     )
-    observed.drop(TOUCHED, VIOLATIONS).write.mode("overwrite").parquet(path)
+    observed.drop(TOUCHED, VIOLATIONS).write.mode("overwrite").format(fmt).partitionBy(*partitions).save(path)
     counts = seen.get
     if counts.get("bad", 0):
         raise SchemaError("replacement does not fit its column")
     return counts.get("selected", 0) or 0
 
 
-def committed(manifest: Manifest, progress_key: ProgressKey) -> DataFrame:
-    """The rows of a finished table: every planned chunk must be committed."""
+def committed(manifest: Manifest, progress_key: ProgressKey, layout: tuple = (), schema: T.StructType | None = None) -> DataFrame:
+    """The rows of a finished table: every planned chunk must be committed. `layout` and `schema` are the input's."""
     recorded = manifest.entries(progress_key)
-    done = {row["chunk"]: row["path"] for row in recorded if row["done"]}
+    commits = sorted((row for row in recorded if row["done"]), key=lambda row: (row["updated_at"].timestamp(), row["path"] or ""), reverse=True)
+    done = {row["chunk"]: row["path"] for row in commits}  # the earliest of a chunk's commits stays
     missing = {row["chunk"] for row in recorded if not row["done"]} - set(done)
     if missing or not done:
         raise PolicyError(f"the table is not finished: {len(missing) or 'all'} chunks are missing")
-    return manifest.spark.read.parquet(*[done[index] for index in sorted(done)])
+    paths = [done[index] for index in sorted(done)]
+    fmt, partitions = (*layout, ())[:2] if layout else ("parquet", ())
+    reader = manifest.spark.read.format(fmt)
+    if schema is not None and layout:
+        reader = reader.schema(schema)
+    if not partitions:
+        return reader.load(paths)
+    # From the folder above, so that partition folders are read as such; the chunk's own folder then is one as well.
+    root = paths[0].rsplit("/chunk=", 1)[0]
+    found = reader.option("basePath", root).load(paths).drop("chunk")
+    return found.select(*schema.names) if schema is not None else found
 
 
 def pending_chunks(planned: DataFrame, finished: DataFrame, key: list[str]) -> DataFrame:

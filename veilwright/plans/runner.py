@@ -22,7 +22,7 @@ from .preflight import ExecutionPlan, PreflightOptions, TablePlan, preflight
 from .progress import Manifest, ProgressKey
 from .record import freeze
 from .report import Report
-from .resume import committed, file_chunks, key_chunks, run_chunks
+from .resume import PAGES, Chunk, committed, from_files, key_chunks, packed_chunks, run_chunks
 from .steps import run_steps
 
 
@@ -34,8 +34,9 @@ class RunOptions:
     output: str
     workers: int = 4
     page_size: int | None = None
-    chunks: int = 1
-    chunk_by: str = "key"
+    chunks: int | None = None  # None: as many as `pages` pages of the table's page size make
+    chunk_by: str | None = None  # "files" or "key"; None: files, but the key where a number of chunks is asked for
+    pages: int = PAGES
     dry_run: bool = False
     steps_dir: str | None = None
     constants_dir: str | None = None
@@ -71,6 +72,8 @@ class Run:
         o = self.options
         if not o.run_uid or len(o.run_uid) > 128 or o.reference_time is None:
             raise PolicyError("a run needs a uid of at most 128 characters and a reference time")
+        if o.chunk_by not in (None, "files", "key") or o.pages < 1 or (o.chunks is not None and o.chunks < 1):
+            raise PolicyError("chunks are made by files or by key, of one page or more")
         if not 1 <= o.workers <= 32 or not 1 <= (o.page_size or 5000) <= 50000:
             raise PolicyError("workers (1..32) or page size (1..50000) is out of range")
         spec, policy_hash = decode(self._policy)
@@ -120,19 +123,19 @@ class Run:
         output, rows = f"{o.output}/{plan.database}/{plan.table}", 0
         if plan.action == "Truncate":
             if not any(row["done"] for row in self.manifest.entries(self._key(plan))):
-                truncated(frame).write.mode("overwrite").parquet(f"{output}/chunk=0")
+                fmt, partitions = self._layout(plan) or ("parquet", ())
+                truncated(frame).write.mode("overwrite").format(fmt).partitionBy(*partitions).save(f"{output}/chunk=0")
                 self.manifest.append(self._key(plan), path=f"{output}/chunk=0")
         else:
             transform = plan.transform
             # Found when the first open chunk asks, so a finished table costs no second resolution.
             retries = cache(lambda: resolve_unique(frame, transform, self.keyring, o.against_originals))
             key = tuple(column.name for column in transform.primary_key)
-            by_files = o.chunk_by == "files" or not key
             rows = run_chunks(
                 frame,
                 lambda part: transform_unique(part, transform, self.keyring, retries(), mark=True),
-                lambda: file_chunks(frame, o.chunks) if by_files else key_chunks(frame, key, o.chunks),
-                self.manifest, self._key(plan), output, key,
+                lambda: self._chunks(plan, frame, key, f"{output}/_plan"),
+                self.manifest, self._key(plan), output, key, self._layout(plan),
             )
         with self._lock:
             self.report.tablesDone += 1
@@ -144,15 +147,30 @@ class Run:
                     "tablesTotal": r.tablesTotal, "rowsDone": r.rowsDone, "stepsDone": r.stepsDone,
                 })
 
+    def _layout(self, plan: TablePlan) -> tuple:
+        return self.dataset.layout(plan.database, plan.table)
+
+    def _chunks(self, plan: TablePlan, frame: DataFrame, key: tuple[str, ...], place: str) -> list[Chunk]:
+        """Packs of files where rows come from files, else cuts by key; of `pages` pages each, or `chunks` of them."""
+        o, size = self.options, plan.page_size * self.options.pages
+        by_key = o.chunk_by == "key" or (o.chunk_by is None and o.chunks is not None)
+        if from_files(frame) and not (by_key and key):
+            return packed_chunks(frame, place, None if o.chunks else size, o.chunks)
+        if not key:
+            return [Chunk(0)]
+        return key_chunks(frame, key, o.chunks or max(1, -(-frame.count() // size)))
+
     def result(self, database: str, table: str) -> DataFrame:
         """Committed rows of one table."""
         plan = next(t for d in self.plan.databases for t in d.tables if (d.name, t.table) == (database, table))
-        return committed(self.manifest, self._key(plan))
+        return committed(self.manifest, self._key(plan), self._layout(plan), self.dataset.table(database, table).schema)
 
 
 def run_totals(manifest: Manifest, run_uid: str) -> DataFrame:
     """Per table and over the run: committed chunks and rows; steps done."""
     mine = manifest.rows().where((F.col("run_uid") == run_uid) & F.col("done"))
-    return mine.groupBy("kind", "db", "name").agg(
+    # Two drivers may both commit a chunk, with the same rows.
+    once = mine.groupBy("kind", "db", "name", "chunk").agg(F.max("rows_done").alias("rows_done"))
+    return once.groupBy("kind", "db", "name").agg(
         F.count("*").alias("units_done"), F.sum("rows_done").alias("rows_done")
     )

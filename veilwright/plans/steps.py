@@ -17,7 +17,7 @@ def execute(spark: SparkSession, body: str) -> None:
 
 
 def run_step(spark: SparkSession, body: str, manifest: Manifest, key: ProgressKey) -> bool:
-    """Run a step unless it is done. An intent without an end is refused."""
+    """Run a step unless it is done. An intent without an end is refused, and so is a step that another driver has taken."""
     if key.kind != "step":
         raise PolicyError("a step needs a progress key of kind step")
     states = [row["done"] for row in manifest.entries(key)]
@@ -25,6 +25,11 @@ def run_step(spark: SparkSession, body: str, manifest: Manifest, key: ProgressKe
         return False
     if states:
         raise UncertainStep()
+    if not manifest.claim(key):
+        manifest.refresh(key)
+        if any(row["done"] for row in manifest.entries(key)):
+            return False
+        raise UncertainStep()
     manifest.append(key, done=False)
     try:
         execute(spark, body)

@@ -31,6 +31,10 @@ class Dataset:
         """Lengths, keys and other facts that the stored format does not keep."""
         return {}
 
+    def layout(self, database: str, table: str) -> tuple:
+        """Format and partition columns that a rewritten table keeps; empty for plain parquet."""
+        return ()
+
     def enter(self, spark: SparkSession, database: str) -> None:
         """Make the database's tables visible to SQL steps."""
 
@@ -95,6 +99,14 @@ class Folder(Dataset):
     def has_table(self, database, table):
         return self._path(database, table) is not None
 
+    def layout(self, database, table):
+        partitions, path = [], self._path(database, table)
+        while folders := [n for n in self._children(path) if "=" in n]:
+            partitions.append(folders[0].split("=", 1)[0])
+            path = f"{path}/{folders[0]}"
+        kept = self._format if self._format in ("parquet", "orc", "json", "avro") else "parquet"
+        return () if kept == "parquet" and not partitions else (kept, tuple(partitions))
+
     def table(self, database, table):
         return self._spark.read.format(self._format).options(**self._options).load(self._path(database, table))
 
