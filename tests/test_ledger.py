@@ -123,6 +123,20 @@ def test_one_group_spreads_over_tasks(spark):
     assert joined.count() == 1000 and joined.select("id").distinct().count() == 1000
 
 
+def test_one_group_with_ties_has_one_winner_and_no_salted_join(spark):
+    """All rows in one group, a third of them tied: the first by creation, then by name."""
+    done, early, late = (F.timestamp_seconds(F.lit(n)) for n in (5000, 100, 200))
+    rows = spark.range(900).select(
+        F.lit("g").alias("cluster"), F.concat(F.lit("b"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("name"),
+        F.lit("Succeeded").alias("state"), F.lit("s3://b/k").alias("destination"),
+        F.when(F.col("id") % 2 == 0, late).otherwise(early).alias("created_at"),
+        F.when(F.col("id") % 3 == 0, done).otherwise(F.timestamp_seconds(F.col("id"))).alias("completed_at"))
+    found = ledger.latest_succeeded(rows, ["cluster"])
+    assert (found.first()["selected"], found.first()["succeeded"]) == ("b0000", 900)
+    plan = found._jdf.queryExecution().toString()
+    assert "__salt" not in plan and "SortAggregate" not in plan
+
+
 @pytest.mark.parametrize("destination,good", [
     ("s3://b/k", True), ("s3://b/a/b c", True), ("s3://b/", False), ("s3://b", False), ("http://b/k", False),
     ("s3://u@b/k", False), ("s3://u:p@b/k", False), ("s3://b/k?x", False), ("s3://b/k?", False), ("s3://b/k#f", False),

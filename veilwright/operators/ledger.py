@@ -19,6 +19,20 @@ from ..sources.scratch import written
 STATES = ("Succeeded", "Failed", "Running", "Starting")
 
 
+#: Tasks that `meet` spreads one group's rows over.
+SALTS = 32
+
+
+def meet(rows: DataFrame, answers: DataFrame, by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join one answer per group back to the group's rows, spreading each group over `salts` tasks.
+
+    For answers that are neither stored nor small; the selections here store theirs.
+    """
+    salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)))
+    salted_answers = answers.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted_rows.join(salted_answers, [*by, "__salt"], how).drop("__salt")
+
+
 def _newest_first(*moments: Column) -> list[Column]:
     """Ascending sort keys that put the newest moment first and unknown ones last."""
     return [F.coalesce(-F.unix_micros(m), F.lit(2**62)) for m in moments]
