@@ -393,6 +393,16 @@ def oracles() -> dict[str, str]:
             length(o_orderstatus)::VARCHAR || ':' || o_orderstatus ||
             length(o_orderpriority)::VARCHAR || ':' || o_orderpriority), 1, 15))::BIGINT)::DECIMAL(38, 0) AS checksum
           FROM orders""",
+        "checksum_chunks": """
+          WITH o AS (
+            SELECT 'source' AS side, o_orderkey::VARCHAR AS a, o_custkey::VARCHAR AS b, o_orderstatus AS c, o_orderpriority AS d FROM orders
+            UNION ALL SELECT 'result', o_orderkey::VARCHAR, o_custkey::VARCHAR,
+              left(o_orderstatus, 1) || repeat('*', greatest(length(o_orderstatus) - 1, 0)),
+              left(o_orderpriority, 1) || repeat('*', greatest(length(o_orderpriority) - 1, 0)) FROM orders)
+          SELECT side, count(*) AS rows, sum(('0x' || substr(md5(length(a)::VARCHAR || ':' || a || length(b)::VARCHAR || ':' || b ||
+            length(c)::VARCHAR || ':' || c || length(d)::VARCHAR || ':' || d), 1, 15))::BIGINT)::DECIMAL(38, 0) AS checksum,
+            true AS equals_one_pass
+          FROM o GROUP BY side""",
         "unique_check": """
           SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS rows, 0::BIGINT AS null_keys, count(*) AS duplicate_keys
             FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)

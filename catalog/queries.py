@@ -518,6 +518,12 @@ class _Lost(Exception):
 
 
 def _resumed(spark, label, df, columns, key, chunks):
+    """What three drivers after each other wrote of a table."""
+    manifest, identity = _three_drivers(spark, label, df, columns, key, chunks)
+    return resume.committed(manifest, identity).select(*df.columns)
+
+
+def _three_drivers(spark, label, df, columns, key, chunks, **options):
     """Three drivers after each other over one manifest: two are lost on the way, the last one ends the run."""
     plan = plan_for(df, "orders", columns, key)
     output = scratch_path(spark, label)
@@ -532,10 +538,10 @@ def _resumed(spark, label, df, columns, key, chunks):
 
         manifest = Manifest(spark, f"{output}/_progress")
         try:
-            resume.run_chunks(df, rewrite, lambda: chunks(df), manifest, identity, f"{output}/rows", tuple(key))
+            resume.run_chunks(df, rewrite, lambda: chunks(df), manifest, identity, f"{output}/rows", tuple(key), **options)
         except _Lost:
             pass
-    return resume.committed(Manifest(spark, f"{output}/_progress"), identity).select(*df.columns)
+    return Manifest(spark, f"{output}/_progress"), identity
 
 
 def _some_orders(spark, sf_dir):
@@ -565,6 +571,26 @@ def chunk_resume(spark, sf_dir):
     return _resumed(spark, "by-key", _some_orders(spark, sf_dir), ORDERS_RULES, key, lambda df: resume.key_chunks(df, tuple(key), 4))
 
 
+@query
+def checksum_chunks(spark, sf_dir):
+    """Checksums added up from chunks' commits, of a source and of what three drivers wrote, beside those of one pass."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    df = written(load(spark, sf_dir, "orders").select(*columns).repartition(6, "o_orderkey"), "split")
+    rules = [{"name": name, "strategy": "mask", "params": {"keepPrefix": 1}} for name in ("o_orderpriority", "o_orderstatus")]
+    manifest, identity = _three_drivers(
+        spark, "summed", df, rules, ["o_orderkey"], lambda df: resume.file_chunks(df, 3), checksums=True)
+    proof = ProgressKey("summed/before", "proof", "demo", "orders", POLICY_HASH)
+    resume.prove_chunks(df, lambda: resume.file_chunks(df, 4), manifest, proof)
+    made = []
+    for side, key, rows in (("source", proof, df), ("result", identity, resume.committed(manifest, identity))):
+        merged = resume.merged_checksum(manifest, key)
+        made.append(checks.table_checksum(rows, columns).select(
+            F.lit(side).alias("side"), F.lit(merged.rows).cast("bigint").alias("rows"),
+            F.lit(merged.checksum).cast("decimal(38,0)").alias("checksum"),
+            ((F.col("rows") == merged.rows) & (F.col("checksum") == F.lit(merged.checksum))).alias("equals_one_pass")))
+    return made[0].unionByName(made[1])
+
+
 @query
 def chunk_resume_files(spark, sf_dir):
     """The same run over groups of input files; the source is split into several files first."""

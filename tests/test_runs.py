@@ -395,6 +395,25 @@ def test_checks(spark):
     assert many.where(apply.after_cursor(("a",), (1,))).count() == 10
 
 
+@pytest.mark.parametrize("key", [["i"], ["l"], ["s", "l"], ["l", "s"], ["i", "b"], ["s"], ["d"]])
+@pytest.mark.parametrize("repeated", [0, 1, 5])
+def test_keys_in_words_count_like_keys_one_by_one(spark, key, repeated):
+    """Integers next to a word's borders, below zero and at the ends of their types; NULL parts; repeated rows."""
+    values = [-(2**63), -(2**63) + 1, -65, -64, -63, -1, 0, 1, 62, 63, 64, 65, 127, 128, 2**40, 2**63 - 1]
+    rows = [(i, v, f"t{i % 3}", i % 5 - 2, f"{i}.5") for i, v in enumerate(values)]
+    rows += rows[:repeated] + [(None, None, "t0", 1, "0"), (None, None, None, None, None), (77, 99, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, l long, s string, b int, d string").select(
+        "i", "l", "s", F.col("b").cast("tinyint").alias("b"), F.col("d").cast("decimal(9,1)").alias("d"))
+    for frame in (df, df.repartition(4), df.limit(0)):
+        assert checks.unique_check(frame, key).collect() == checks._counted_by_key(frame, key).collect()
+
+
+def test_key_columns_may_bear_any_name(spark):
+    df = spark.range(0, 10_000, 1, 4).select(F.col("id").alias("word"), F.lit("x").alias("bit"), F.lit(1).alias("part_0"))
+    for key in (["bit", "word"], ["WORD", "part_0"], ["word"]):
+        assert tuple(checks.unique_check(df, key).first()) == (10_000, 0, 0)
+
+
 def test_declared_lengths_are_read_from_the_schema():
     schema = T.StructType([T.StructField("a", T.VarcharType(7)), T.StructField("b", T.StringType(), metadata={
         "__CHAR_VARCHAR_TYPE_STRING": "char(3)"}), T.StructField("c", T.StringType())])
@@ -577,3 +596,49 @@ def test_the_catalog_goes_back_to_its_database(spark):
     assert spark.catalog.currentDatabase() == "elsewhere"
     source.leave(spark, "elsewhere")
     assert spark.catalog.currentDatabase() == before
+
+
+def test_checksums_of_chunks_add_up(spark, tmp_path, monkeypatch):
+    """A lost run and a lost proof go on; sums equal one pass; only open chunks are read again."""
+    import veilwright.plans.resume as resume
+
+    df = spark.range(60).selectExpr("id", "if(id % 7 = 0, null, 'v' || id) payload", "timestamp_seconds(id) at", "id / 7 share")
+    df.repartition(6).write.parquet(str(tmp_path / "in" / "demo" / "people"))
+    source = Folder(spark, str(tmp_path / "in"), overlays={"demo": {"people": KEY}})
+    make = lambda **more: Run(spark, policy(), source, options(tmp_path, "sums", page_size=10, pages=1, **more))
+    dry = make(dry_run=True)
+    assert dry.execute().result == "ok"
+    real, calls = resume.table_checksum, []
+
+    def failing(rows, *rest):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return real(rows, *rest)
+
+    monkeypatch.setattr(resume, "table_checksum", failing)
+    with pytest.raises(OSError):
+        dry.prove_source("demo", "people", "before")
+    before = dry.prove_source("demo", "people", "before")
+    assert tuple(before) == tuple(real(source.table("demo", "people")).first())
+    count = len(calls)
+    assert dry.prove_source("demo", "people", "before") == before and len(calls) == count
+    run = make(checksums=True)
+    assert run.execute().result == "ok"
+    # Another driver's session may show instants in another zone.
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert tuple(run.checksum("demo", "people")) == tuple(real(run.result("demo", "people")).first())
+        again = make(checksums=True)
+        assert again.execute().result == "ok" and again.checksum("demo", "people") == run.checksum("demo", "people") != before
+        assert again.prove_source("demo", "people", "after") == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_chunks_without_checksums_are_refused(spark, tmp_path):
+    run = Run(spark, policy(), dataset(spark), options(tmp_path, "plain"))
+    assert run.execute().result == "ok"
+    with pytest.raises(PolicyError):
+        run.checksum("demo", "people")

@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--pages", type=int, default=PAGES, help="pages of one chunk")
     run.add_argument("--chunk-by", choices=("key", "files"))
     run.add_argument("--allow-keyless", action="store_true")
+    run.add_argument("--checksums", action="store_true", help="record the checksum of what each chunk writes")
     run.add_argument("--dry-run", action="store_true")
     run.add_argument("--report", help="file for the one-line report")
     demo = commands.add_parser("seed-demo", help="write the demo dataset once")
@@ -59,7 +60,7 @@ def _anonymize(spark: SparkSession, args: argparse.Namespace) -> Report:
     options = RunOptions(
         args.run_uid, seed, dt.datetime.fromisoformat(args.reference_time), args.output, workers=args.workers,
         page_size=args.page_size, chunks=args.chunks, pages=args.pages, chunk_by=args.chunk_by, dry_run=args.dry_run,
-        steps_dir=args.steps_dir, constants_dir=args.constants_dir, allow_keyless=args.allow_keyless,
+        steps_dir=args.steps_dir, constants_dir=args.constants_dir, allow_keyless=args.allow_keyless, checksums=args.checksums,
         progress=lambda line: print(json.dumps(line), file=sys.stderr),
     )
     return Run(spark, policy, dataset, options).execute()

@@ -19,7 +19,7 @@ from ..errors import PolicyError
 
 SCHEMA = (
     "run_uid string, kind string, db string, name string, chunk int, rule string, parts int, lower string, upper string, "
-    "rows_done bigint, done boolean, policy_hash string, path string, updated_at timestamp"
+    "rows_done bigint, done boolean, policy_hash string, path string, updated_at timestamp, rows bigint, checksum decimal(38,0)"
 )
 
 
@@ -33,7 +33,7 @@ class ProgressKey:
 
     def __post_init__(self):
         limits = ((self.run_uid, 128), (self.db, 64), (self.name, 128), (self.policy_hash, 80))
-        if any(not text or len(text) > size for text, size in limits) or self.kind not in ("step", "table"):
+        if any(not text or len(text) > size for text, size in limits) or self.kind not in ("step", "table", "proof"):
             raise PolicyError("a progress entry needs a run, kind, database, name and policy hash of bounded length")
 
 
@@ -95,7 +95,7 @@ class Manifest:
             row = {
                 "run_uid": key.run_uid, "kind": key.kind, "db": key.db, "name": key.name, "chunk": 0, "rule": None, "parts": None,
                 "lower": None, "upper": None, "rows_done": 0, "done": True, "policy_hash": key.policy_hash, "path": None,
-                "updated_at": now, **entry,
+                "updated_at": now, "rows": None, "checksum": None, **entry,
             }
             if row["rows_done"] < 0:
                 raise PolicyError("a progress entry cannot count fewer than zero rows")

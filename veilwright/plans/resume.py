@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from typing import Callable
+from decimal import Decimal
+from typing import Callable, NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import PolicyError, SchemaError
 from ..operators.apply import TOUCHED, VIOLATIONS, quote_identifier
+from ..operators.checks import row_piece, table_checksum
 from .progress import Manifest, ProgressKey
 
 _BOUNDARY_ACCURACY = 10000
@@ -138,16 +140,37 @@ def run_chunks(
     output: str,
     key: tuple[str, ...] = (),
     layout: tuple = (),
+    checksums: bool = False,
 ) -> int:
     """Rewrite every chunk not committed yet; return the rows selected over all chunks.
 
     `rewrite` returns the marked rows of `transform(..., mark=True)`. Counting and
     checking happen in the pass that writes. Chunks are fixed by the first run and read
-    back by later ones. `layout` is the format and the partition columns to write with.
+    back by later ones. `layout` is the format and the partition columns to write with. With `checksums` each chunk's commit
+    holds the checksum of the rows written, taken in the same pass; `merged_checksum` adds them up.
 
     Two drivers of one run do not write to one place: the first to take a chunk writes to the chunk's folder, any other
     to one of its own, and readers settle on one commit a chunk. Both hold the same rows.
     """
+    plan, finished = _planned(manifest, progress_key, chunks)
+    done = {row["chunk"]: row["rows_done"] for row in finished}
+    for chunk in plan:
+        if chunk.index not in done:
+            path = f"{output}/chunk={chunk.index}"
+            if not manifest.claim(progress_key, f"chunk {chunk.index}"):
+                path = f"{path}-{uuid.uuid4().hex}"
+            rewritten, state = rewrite(chunk.rows(df, key)), {}
+            if checksums:
+                rewritten, seen = _summed(rewritten, df.columns)
+            done[chunk.index] = write_checked(rewritten, path, *layout)
+            if checksums:
+                state = {"rows": seen.get["rows"], "checksum": seen.get["checksum"] or Decimal(0)}
+            manifest.append(progress_key, chunk=chunk.index, rows_done=done[chunk.index], path=path, **state)
+    return sum(done.values())
+
+
+def _planned(manifest: Manifest, progress_key: ProgressKey, chunks: Callable[[], list[Chunk]]) -> tuple[list[Chunk], list[Row]]:
+    """The chunks that the first run fixed, made now if there are none, and the commits there are."""
     recorded = manifest.entries(progress_key)
     plan = sorted((_chunk_of(row) for row in recorded if not row["done"]), key=lambda chunk: chunk.index)
     if not plan:
@@ -156,15 +179,49 @@ def run_chunks(
             {"chunk": c.index, "rule": c.rule, "parts": c.parts, "lower": c.lower, "upper": c.upper, "done": False}
             for c in plan
         ])
-    done = {row["chunk"]: row["rows_done"] for row in recorded if row["done"]}
+    return plan, [row for row in recorded if row["done"]]
+
+
+def _summed(marked: DataFrame, columns: list[str]) -> tuple[DataFrame, Observation]:
+    """The same rows, whose count and checksum are observed as they are written."""
+    seen = Observation()
+    return marked.observe(seen, F.count("*").alias("rows"), F.sum(row_piece(marked, columns)).alias("checksum")), seen
+
+
+def prove_chunks(
+    df: DataFrame, chunks: Callable[[], list[Chunk]], manifest: Manifest, progress_key: ProgressKey, key: tuple[str, ...] = (),
+) -> None:
+    """Record the checksum of every chunk of a table that has none yet; nothing of the table is written.
+
+    The key's kind is `proof`. A proof that was interrupted goes on with the chunks that are open, and `merged_checksum` gives
+    the whole table's value. Two proofs, such as before and after a dry run, are two run uids.
+    """
+    plan, finished = _planned(manifest, progress_key, chunks)
+    done = {row["chunk"] for row in finished}
     for chunk in plan:
         if chunk.index not in done:
-            path = f"{output}/chunk={chunk.index}"
-            if not manifest.claim(progress_key, f"chunk {chunk.index}"):
-                path = f"{path}-{uuid.uuid4().hex}"
-            done[chunk.index] = write_checked(rewrite(chunk.rows(df, key)), path, *layout)
-            manifest.append(progress_key, chunk=chunk.index, rows_done=done[chunk.index], path=path)
-    return sum(done.values())
+            state = table_checksum(chunk.rows(df, key), df.columns).first()
+            manifest.append(progress_key, chunk=chunk.index, rows=state["rows"], checksum=state["checksum"])
+
+
+class Checksum(NamedTuple):
+    rows: int
+    checksum: Decimal
+
+
+def merged_checksum(manifest: Manifest, progress_key: ProgressKey) -> Checksum:
+    """Row count and checksum of a finished table, added up from its chunks' commits: no row is read again.
+
+    Equals `table_checksum` over all rows. A chunk that two drivers committed counts once: they wrote the same rows.
+    """
+    recorded = manifest.entries(progress_key)
+    states = {row["chunk"]: (row["rows"], row["checksum"]) for row in recorded if row["done"]}
+    missing = {row["chunk"] for row in recorded if not row["done"]} - set(states)
+    if missing or not states:
+        raise PolicyError(f"the table is not finished: {len(missing) or 'all'} chunks are missing")
+    if any(total is None for _, total in states.values()):
+        raise PolicyError("the table's chunks were written without checksums")
+    return Checksum(sum(rows for rows, _ in states.values()), sum((total for _, total in states.values()), Decimal(0)))
 
 
 def _chunk_of(row) -> Chunk:

@@ -6,6 +6,7 @@ import datetime as dt
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import cache
 from threading import Lock
 from typing import Callable
@@ -22,7 +23,7 @@ from .preflight import ExecutionPlan, PreflightOptions, TablePlan, preflight
 from .progress import Manifest, ProgressKey
 from .record import freeze
 from .report import Report
-from .resume import PAGES, Chunk, committed, from_files, key_chunks, packed_chunks, run_chunks
+from .resume import PAGES, Checksum, Chunk, committed, from_files, key_chunks, merged_checksum, packed_chunks, prove_chunks, run_chunks
 from .steps import run_steps
 
 
@@ -43,6 +44,7 @@ class RunOptions:
     allow_keyless: bool = False
     verify_keys: bool = True
     against_originals: bool = True
+    checksums: bool = False  # record the checksum of what each chunk writes
     namespace: str = DEFAULT_NAMESPACE
     progress: Callable[[dict], None] | None = None
 
@@ -125,7 +127,7 @@ class Run:
             if not any(row["done"] for row in self.manifest.entries(self._key(plan))):
                 fmt, partitions = self._layout(plan) or ("parquet", ())
                 truncated(frame).write.mode("overwrite").format(fmt).partitionBy(*partitions).save(f"{output}/chunk=0")
-                self.manifest.append(self._key(plan), path=f"{output}/chunk=0")
+                self.manifest.append(self._key(plan), path=f"{output}/chunk=0", rows=0, checksum=Decimal(0))
         else:
             transform = plan.transform
             # Found when the first open chunk asks, so a finished table costs no second resolution.
@@ -135,7 +137,7 @@ class Run:
                 frame,
                 lambda part: transform_unique(part, transform, self.keyring, retries(), mark=True),
                 lambda: self._chunks(plan, frame, key, f"{output}/_plan"),
-                self.manifest, self._key(plan), output, key, self._layout(plan),
+                self.manifest, self._key(plan), output, key, self._layout(plan), o.checksums,
             )
         with self._lock:
             self.report.tablesDone += 1
@@ -160,9 +162,28 @@ class Run:
             return [Chunk(0)]
         return key_chunks(frame, key, o.chunks or max(1, -(-frame.count() // size)))
 
+    def _plan(self, database: str, table: str) -> TablePlan:
+        return next(t for d in self.plan.databases for t in d.tables if (d.name, t.table) == (database, table))
+
+    def checksum(self, database: str, table: str) -> Checksum:
+        """Rows and checksum of what a run with `checksums` wrote, from its commits alone."""
+        return merged_checksum(self.manifest, self._key(self._plan(database, table)))
+
+    def prove_source(self, database: str, table: str, label: str) -> Checksum:
+        """Rows and checksum of a source table, chunk by chunk; another driver with this label goes on where one was lost.
+
+        Proofs of one table that differ are of different rows: take one before a dry run, and one after it.
+        """
+        o, plan, frame = self.options, self._plan(database, table), self.dataset.table(database, table)
+        manifest = Manifest(self.spark, f"{o.output}/_progress")
+        proof = ProgressKey(f"{o.run_uid}/{label}", "proof", database, table, self.report.policyHash)
+        key = tuple(column.name for column in plan.transform.primary_key) if plan.transform else ()
+        prove_chunks(frame, lambda: self._chunks(plan, frame, key, f"{o.output}/_proofs/{label}/{database}/{table}"), manifest, proof, key)
+        return merged_checksum(manifest, proof)
+
     def result(self, database: str, table: str) -> DataFrame:
         """Committed rows of one table."""
-        plan = next(t for d in self.plan.databases for t in d.tables if (d.name, t.table) == (database, table))
+        plan = self._plan(database, table)
         return committed(self.manifest, self._key(plan), self._layout(plan), self.dataset.table(database, table).schema)
 
 
