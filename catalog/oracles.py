@@ -297,6 +297,15 @@ _RESUMED = f"""SELECT o_orderkey, {digits('h', 6)} AS o_orderstatus,
   FROM (SELECT o_orderkey, o_orderpriority, {_ROW_O} AS h FROM orders)"""
 
 
+_UNIQUE_CHECK = """
+  SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS rows, 0::BIGINT AS null_keys, count(*) AS duplicate_keys
+    FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+  UNION ALL SELECT 'conversations', (SELECT count(*) FROM conversations), 0, count(*)
+    FROM (SELECT 1 FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)
+  UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 0, count(*)
+    FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)"""
+
+
 def oracles() -> dict[str, str]:
     conv = """conv_id::VARCHAR || ',' || turn::VARCHAR"""
     text_key = """'\\"' || to_base64(encode(c_name)) || '\\",' || c_custkey::VARCHAR"""
@@ -403,13 +412,8 @@ def oracles() -> dict[str, str]:
             length(c)::VARCHAR || ':' || c || length(d)::VARCHAR || ':' || d), 1, 15))::BIGINT)::DECIMAL(38, 0) AS checksum,
             true AS equals_one_pass
           FROM o GROUP BY side""",
-        "unique_check": """
-          SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS rows, 0::BIGINT AS null_keys, count(*) AS duplicate_keys
-            FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
-          UNION ALL SELECT 'conversations', (SELECT count(*) FROM conversations), 0, count(*)
-            FROM (SELECT 1 FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)
-          UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 0, count(*)
-            FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)""",
+        "unique_check": _UNIQUE_CHECK,
+        "unique_check_words": _UNIQUE_CHECK,
         "preflight": """
           WITH keys AS (
             SELECT 'key_with_duplicates' AS policy, count(*) AS bad FROM

@@ -10,19 +10,22 @@ from pyspark.sql import types as T
 
 #: Keys of one word: consecutive values of an integer part that share a row of the first aggregate.
 _WORD_BITS = 6
+#: Bytes of a key's columns, as Spark estimates them, below which shuffling all keys costs less than a job of its own.
+SMALL = 64 << 20
 
 
-def unique_check(df: DataFrame, key: list[str]) -> DataFrame:
+def unique_check(df: DataFrame, key: list[str], small: int = SMALL) -> DataFrame:
     """One row: rows, rows with a NULL in the key, and key values held more than once.
 
     Where a part of the key is an integer, 64 consecutive values of it make a word: a count of rows and a bit for every value
     seen, joined in the map-side combine. A table clustered by its key so shuffles up to 64 times fewer rows, any other at
-    most as many. A word with as many rows as bits repeats nothing; where all words are so, the answer is there. Else, and
-    for keys without an integer, key values are counted one by one. The first way runs at once, the second is lazy.
+    most as many. A word with as many rows as bits repeats nothing; where all words are so, the answer is there. Else, for
+    keys without an integer and for keys of less than `small` bytes, key values are counted one by one. The first way runs
+    at once, the second is lazy; both are exact.
     """
     parts = df.select(*[F.col(f"`{name}`").alias(f"part_{i}") for i, name in enumerate(key)])
     whole = next((field.name for field in reversed(parts.schema.fields) if isinstance(field.dataType, T.IntegralType)), None)
-    if whole is None:
+    if whole is None or parts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < small:
         return _counted_by_key(df, key)
     at = F.col(whole).cast("bigint")
     place = at.bitwiseAND(F.lit(2**_WORD_BITS - 1)).cast("int")
@@ -38,7 +41,7 @@ def unique_check(df: DataFrame, key: list[str]) -> DataFrame:
     totals = found.first()
     if totals["duplicate_keys"]:
         return _counted_by_key(df, key)
-    return df.sparkSession.createDataFrame([totals], found.schema)
+    return df.sparkSession.range(0, 1, 1, 1).select(*[F.lit(totals[name]).cast("bigint").alias(name) for name in found.columns])
 
 
 def _counted_by_key(df: DataFrame, key: list[str]) -> DataFrame:
