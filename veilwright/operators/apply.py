@@ -89,6 +89,7 @@ def transform(
     keyring: Keyring,
     retry: str | None = None,
     mark: bool = False,
+    attempts: range | None = None,
 ) -> DataFrame:
     """Rewrite the policy columns of `df`; every other column and row is carried through.
 
@@ -96,6 +97,7 @@ def transform(
     trimmed text, normal form, digest, its numeric stages, formatted value. `retry` names
     a column with the UNIQUE attempt of each row. `mark` keeps two extra columns: whether
     the row was selected, and one flag per rule for a value the column cannot hold.
+    `attempts` gives every row once per attempt, all from one digest, and adds `retry`.
     """
     names = df.columns
     staged = df.withColumn(TOUCHED, touched(plan.ignore_where))
@@ -123,6 +125,8 @@ def transform(
                 guards[i], row_payload(plan.database, plan.table, key_text, info.name)
             )
     staged = _with(staged, {f"__digest_{i}": keyed_digest(keyring, payloads[i]) for i in keyed})
+    if attempts:
+        staged = staged.withColumn(retry, F.explode(F.array(*[F.lit(i) for i in attempts])))
     if retry:
         again = {f"__digest_{i}": retry_digest(keyring, F.col(f"__digest_{i}"), F.col(retry)) for i in keyed}
         staged = _with(staged, again)
@@ -155,6 +159,8 @@ def transform(
     output = [replaced[n].alias(n) if n in replaced else F.col(f"`{n}`") for n in names if n != retry]
     if mark:
         output += [F.col(TOUCHED), F.struct(*flags).alias(VIOLATIONS)]
+    if attempts:
+        output.append(F.col(retry))
     return staged.select(*output)
 
 
