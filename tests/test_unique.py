@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import scalar
-from veilwright import Keyring, TableTransform, compile_rule, resolve_unique, table_info, transform_unique
+from veilwright import Keyring, TableTransform, compile_rule, resolve_unique, table_info, transform, transform_unique
 from veilwright.errors import UniqueError
 from veilwright.operators.unique import RETRY
 
@@ -42,7 +42,7 @@ def one_by_one(rows, length, kept=(), originals=True):
     return result
 
 
-@pytest.mark.parametrize("count,length,originals", [(40, 2, False), (70, 3, True), (45, 2, True)])
+@pytest.mark.parametrize("count,length,originals", [(40, 2, False), (70, 3, True), (45, 2, True), (300, 4, False), (300, 4, True)])
 def test_same_result_as_one_row_at_a_time(spark, count, length, originals):
     rows = [(i, str(10**length - 1 - i).zfill(length) if originals else f"original-{i}") for i in range(count)]
     df = spark.createDataFrame(rows, "id long, code string")
@@ -90,6 +90,40 @@ def test_hot_value_and_composite_keys(spark):
     assert moved and all((notes[k] != base) == (k in moved) for k in notes)
 
 
+def test_two_indexes_with_nulls_and_kept_rows(spark):
+    """Rows without any value never move, however many they are; a value that a kept row holds is never had."""
+    df = spark.range(120).select(
+        "id", F.when(F.col("id") % 3 > 0, F.format_string("%02d", F.col("id") % 100)).alias("code"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("a"), "id")).alias("other"),
+    )
+    columns = [
+        {"name": "code", "strategy": "digits", "params": {"length": 3}, "consistent": False},
+        {"name": "other", "strategy": "digits", "params": {"length": 3}, "consistent": False},
+    ]
+    plan = plan_for(df, columns, ["id"], (("code",), ("other",)), "id % 10 = 7")
+    retries = resolve_unique(df.repartition(3), plan, KEYRING, against_originals=False)
+    out = transform_unique(df, plan, KEYRING, retries).collect()
+    moved = {r["id"]: r[RETRY] for r in retries.collect()}
+    assert len(out) == 120 and moved and all(0 < n < 8 for n in moved.values())
+    # Kept rows hold two digits or a letter's code, so all others have three digits, each once.
+    for name in ("code", "other"):
+        values = [r[name] for r in out if r[name] is not None and r["id"] % 10 != 7]
+        assert len(values) == len(set(values)) and all(len(v) == 3 for v in values)
+    assert all((r["code"] is None) == (r["id"] % 3 == 0) for r in out)
+    assert not [i for i in moved if i % 12 == 0 or i % 10 == 7]
+
+
+def test_many_attempts_come_from_one_digest(spark):
+    """`attempts` gives the rows that one transform per attempt gives."""
+    df = spark.range(20).select("id", F.concat(F.lit("v"), "id").alias("code"), F.lit("n").alias("note"))
+    columns = [{"name": "code", "strategy": "digits", "params": {"length": 9}}, {"name": "note", "strategy": "hash", "params": {"length": 8}}]
+    plan = plan_for(df, columns, ["id"], (("code",),), "id % 5 = 1")
+    at_once = transform(df, plan, KEYRING, retry=RETRY, attempts=range(2, 6))
+    apart = [transform(df.withColumn(RETRY, F.lit(n)), plan, KEYRING, retry=RETRY).withColumn(RETRY, F.lit(n)) for n in range(2, 6)]
+    want = sorted(tuple(r) for one in apart for r in one.collect())
+    assert sorted(tuple(r) for r in at_once.collect()) == want and len(want) == 80
+
+
 def test_exhaustion_of_a_shared_consistent_value(spark):
     df = spark.range(30).select("id", F.lit(None).cast("string").alias("code"))
     plan = plan_for(df, [{"name": "code", "strategy": "hash", "onNull": "Generate"}], ["id"], (("code",),))
