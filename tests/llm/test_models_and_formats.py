@@ -619,6 +619,33 @@ def test_a_tasks_words_are_bounded_in_bytes(monkeypatch):
         assert small._held <= 20_000 + 200 * 300
 
 
+def test_latin_texts_are_parted_without_the_library():
+    """Marks, digits and contractions too: the library's way to a word's ids costs several times the model's."""
+    library = tokenizers.Tokenizer.from_file(BPE)
+    rng = random.Random(12)
+    signs = [chr(c) for c in range(256)] + ["'s", "'LL", "'re", "..", "ab", "\u00e9t\u00c9", " "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(2000)] + ["Anthou.%%% it's 42, caf\u00c9!? don''t ..'s"]
+    texts = [t for t in texts if "<|" not in t]
+    own = packing.WordTokenizer(BPE)
+    own._tokenizer = None
+    for text in texts:
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_beyond_latin_and_other_tokenizers_equal_the_library(tmp_path):
+    rng = random.Random(13)
+    signs = list("abAB1'.\u2019\u0130\u03a3\u4e2d\u0301\u00e9 \x1c\x85\xa0\u3000") + ["'s", "<|endoftext|>", "<|", " "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(1000)] + ["Reorly, it's caf\u00c9 (42)."]
+    library = tokenizers.Tokenizer.from_file(BPE)
+    library.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([
+        tokenizers.pre_tokenizers.WhitespaceSplit(), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    library.save(str(tmp_path / "whole_words.json"))
+    for path in (BPE, str(tmp_path / "whole_words.json")):
+        own, library = packing.WordTokenizer(path), tokenizers.Tokenizer.from_file(path)
+        for text in texts:
+            assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_texts_of_the_tokenizing_operators(spark, make_docs):
     import sentencepiece
 

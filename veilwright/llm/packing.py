@@ -7,11 +7,13 @@ squared fills, until sequences become empty. That sum is a bounded integer, so t
 
 Nulls and odd cases: a null or empty text has the end token only. A null doc_id is kept as it is. Repeated rows are
 packed as often as they occur. An empty table gives an empty result. Further columns of the input are ignored. Texts of any
-length are tokenized whole, word by word; what a task remembers of words is bounded in bytes and goes with the task.
+length are tokenized whole, part by part; what a task remembers of parts is bounded in bytes and goes with the task.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,9 +27,9 @@ from veilwright.sources.scratch import written
 
 from .batches import bounded
 
-#: Bytes of words, with what a table needs for them, that a task remembers: two generations of so many each.
+#: Bytes of parts, with what a table needs for them, that a task remembers: two generations of so many each.
 REMEMBERED = 24 << 20
-#: Bytes of one entry beside its word and ids.
+#: Bytes of one entry beside its part and ids.
 ENTRY = 200
 #: Bytes of text whose pieces make one batch (a longer text stands alone).
 CHUNK = 1 << 20
@@ -37,11 +39,24 @@ GROUP = 20_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: How word_bpe tokenizers normalize texts and part them, as their files say it.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PARTING = [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: The same parts of lower-case Latin-1 bytes: letters, a digit, a contraction's end, marks. White space is in none; what
+#: follows a part is matched with it, which is faster than to search for the next part.
+PARTS = re.compile(rb"([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)"
+                   rb"|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+)[\t-\r \x85\xa0]*")
+WORDS = re.compile(r"[^ \t-\r]+")
+
+
 class WordTokenizer:
-    """Ids of a text, word by word: white space always parts this tokenizer's tokens, so words may be remembered.
+    """Ids of a text, part by part: what the tokenizer parts texts into is encoded by itself, so parts may be remembered.
 
-    Holds for byte-level tokenizers that drop white space, split between letters and marks and ignore case. Ids are
-    little-endian unsigned 32-bit sequences.
+    Latin-1 texts are parted here as the tokenizer's file says and go to its model. Others are cut at ASCII white space
+    only, and words beyond Latin-1 go to the library whole; so do all words of tokenizers that part texts in another way,
+    which must part their tokens at white space. Ids are little-endian unsigned 32-bit sequences.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,48 +67,67 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        special = self._tokenizer.get_added_tokens_decoder().values()
+        self._parted_here = (_steps(self._tokenizer.normalizer, "normalizers") == _NORMALIZER
+                             and _steps(self._tokenizer.pre_tokenizer, "pretokenizers") == _PARTING
+                             and self._tokenizer.post_processor is None and all(t.content.startswith("<|") for t in special))
+        #: Parts are bytes, words that are not parted here are strings.
+        self._young: dict[bytes | str, bytes] = {}
+        self._old: dict[bytes | str, bytes] = {}
         self._held = 0
-        self._marks = {mark: self._encode(bytes([mark])) for mark in b".,"}
 
     def ids(self, text: bytes) -> bytes:
-        words, known = lowered(text).split(), self._young
-        found = list(map(known.get, words))
+        latin = self._latin(text)
+        whole = self._ids(WORDS.findall(text.decode("utf-8", "replace")) if latin is None else PARTS.findall(latin))
+        if self._held > REMEMBERED:
+            self._old, self._young, self._held = self._young, {}, 0
+        return whole
+
+    def _ids(self, units: list[bytes] | list[str]) -> bytes:
+        found = list(map(self._young.get, units))
         if None in found:
             for i in [i for i, ids in enumerate(found) if ids is None]:
-                found[i] = self._unmet(words[i])
-            if self._held > REMEMBERED:
-                self._old, self._young, self._held = known, {}, 0
+                found[i] = self._unmet(units[i])
         return b"".join(found)
 
-    def _unmet(self, w: bytes) -> bytes:
-        """Ids of a word that the young generation does not hold (or has met just now)."""
-        known, old = self._young, self._old
-        if (ids := known.get(w) or old.get(w)) is None:
-            # A full stop or comma after a letter is a token of its own, so the word before it may be known by itself.
-            bare = w[:-1]
-            if w[-1] in self._marks and bare.decode("utf-8", "replace").isalpha():
-                if (core := known.get(bare) or old.get(bare)) is None:
-                    core = self._encode(bare)
-                if bare not in known:
-                    self._held += len(bare) + len(core) + ENTRY
-                known[bare] = core
-                ids = core + self._marks[w[-1]]
-            else:
-                ids = self._encode(w)
-        if w not in known:
-            self._held += len(w) + len(ids) + ENTRY
-        known[w] = ids
+    def _unmet(self, unit: bytes | str) -> bytes:
+        """Ids of a part or word that the young generation does not hold (or has met just now)."""
+        if (ids := self._young.get(unit)) is None:
+            if (ids := self._old.get(unit)) is None:
+                ids = self._part(unit) if isinstance(unit, bytes) else self._word(unit)
+            self._held += (len(unit) if isinstance(unit, bytes) else 4 * len(unit)) + len(ids) + ENTRY
+            self._young[unit] = ids
         return ids
 
-    def _encode(self, word: bytes) -> bytes:
-        """Words of lower-case Latin-1 letters need no preparation and go straight to the model."""
-        text = word.decode("utf-8", "replace")
-        if text.isalpha() and text.islower() and max(text) < "\u0100":
-            letters = text if text.isascii() else word.decode("latin-1").translate(BYTE_LETTERS)
-            return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
-        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _latin(self, text: bytes) -> bytes | None:
+        """`text` in lower case and Latin-1, whose letters have no other forms to compose; None if it cannot be parted here.
+
+        Special tokens, which begin with `<|` and are matched before anything else, are left to the library.
+        """
+        if not self._parted_here or b"<|" in text:
+            return None
+        if text.isascii():
+            return text.lower()
+        try:
+            return text.decode().encode("latin-1").decode("latin-1").lower().encode("latin-1")
+        except UnicodeError:
+            return None
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode("latin-1")
+        if not (text.isascii() and text.isprintable()):
+            text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self._model.tokenize(text)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if (latin := self._latin(word.encode())) is not None:
+            return self._ids(PARTS.findall(latin))
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+
+def _steps(component: object, kind: str) -> list[dict]:
+    """The steps of a tokenizer's normalizer or pre-tokenizer, as its file lists them."""
+    return json.loads(component.__getstate__()).get(kind, []) if component else []
 
 
 def _byte_letters() -> dict[int, str]:
@@ -106,22 +140,6 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
-def lowered(text: bytes) -> bytes:
-    """`text` in lower case where that cannot change its tokens: Latin-1 letters have no other forms to compose.
-
-    The tokenizer lower-cases by itself, but more words are known if they come in one case. Special tokens, which are
-    matched before that, are left alone.
-    """
-    if b"<|" in text:
-        return text
-    if text.isascii():
-        return text.lower()
-    try:
-        return text.decode().encode("latin-1").decode("latin-1").lower().encode()
-    except UnicodeError:
-        return text
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
                  with_ids: bool = False) -> DataFrame:
     """One row per piece: its place in its document, its length and its ids' CRC-32 (and the ids, if asked for)."""
